@@ -136,4 +136,6 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns they came with."""
     measured = levels(base(docs))
     cutoffs = calibrate(written(measured.select("doc_id", "stratum", "base_failed", *[f"l_{r}" for r in RULES]), "quality"), labels)
-    return judge(measured, cutoffs).where("kept").select(*docs.columns)
+    # a condition that differs by row stays above the projections; pushed down, it would be written out with every step of them
+    judged = judge(measured, cutoffs).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("__row") >= 0)).select(*docs.columns)
