@@ -30,7 +30,7 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 #: A text is split into words by so many bytes at a time.
 CHUNK = 1 << 20
 #: Variants per partition of the join that finds collisions.
-PER_PARTITION = 2_000_000
+PER_PARTITION = 1_000_000
 
 
 def _pieces(raw: bytes) -> Iterator[list[bytes]]:
@@ -96,11 +96,12 @@ def links(prints: DataFrame) -> DataFrame:
     n = prints.count()
     parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * (len(few) + len(many)) // 2 // PER_PARTITION)
     odd = F.bit_count("fingerprint") % 2 == 1
-    variant = lambda m: F.col("fingerprint").bitwiseXOR(F.col(m)).alias("variant")
-    near = prints.select("fingerprint", F.explode(F.lit(few)).alias("mask")).select(variant("mask"), F.col("fingerprint").alias("b"))
-    centres = near.repartition(parts, "variant").groupBy("variant").agg(F.min("b").alias("b"))
-    all_ = prints.select("fingerprint", F.explode(F.when(odd, F.lit(many)).otherwise(F.lit(few))).alias("mask")).select(variant("mask"), F.col("fingerprint").alias("a"))
-    met = all_.repartition(parts, "variant").join(centres.hint("shuffle_hash"), "variant").where("a != b")
+    # a variant travels with the number of its mask, from which the fingerprint is found again: half the bytes of two fingerprints
+    variants = lambda masks: prints.select("fingerprint", F.posexplode(masks).alias("nth", "mask")).select(F.col("fingerprint").bitwiseXOR(F.col("mask")).alias("variant"), "nth").repartition(parts, "variant")
+    origin = F.col("variant").bitwiseXOR(F.get(F.lit(many), F.col("nth")))
+    centres = variants(F.lit(few)).groupBy("variant").agg(F.min(origin).alias("b"))
+    members = variants(F.when(odd, F.lit(many)).otherwise(F.lit(few)))
+    met = members.join(centres.hint("shuffle_hash"), "variant").select(origin.alias("a"), "b").where("a != b")
     return met.select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
 
