@@ -94,13 +94,13 @@ WITH t AS (
   SELECT 'c' AS side, conv_id, pos, role, text FROM c UNION ALL SELECT 'r', conv_id, pos, role, text FROM r
 ), shown AS (
   SELECT s.*, n_shared, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown,
-         coalesce(sum(CASE WHEN pos >= n_shared THEN length(role) + length(text) + 13 ELSE 0 END) OVER (PARTITION BY side, conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+         coalesce(sum(CASE WHEN pos >= n_shared THEN length(role) + length(text) + 13 ELSE 0 END) OVER (PARTITION BY side, conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
   FROM sides s JOIN prefix USING (conv_id)
 ), joined AS (
   SELECT conv_id, n_shared, side,
          string_agg(CASE WHEN pos < n_shared THEN shown ELSE '' END, '' ORDER BY pos) AS prompt,
          string_agg(CASE WHEN pos >= n_shared THEN shown ELSE '' END, '' ORDER BY pos) AS completion,
-         coalesce(string_agg(CASE WHEN pos >= n_shared AND role = 'assistant' THEN CAST(CAST(at + length(role) + 5 AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(at + length(role) + length(text) + 12 AS BIGINT) AS VARCHAR) END, ',' ORDER BY pos), '') AS spans
+         coalesce(string_agg(CASE WHEN pos >= n_shared AND role = 'assistant' THEN CAST(CAST(place + length(role) + 5 AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(place + length(role) + length(text) + 12 AS BIGINT) AS VARCHAR) END, ',' ORDER BY pos), '') AS spans
   FROM shown GROUP BY conv_id, n_shared, side
 )
 SELECT a.conv_id AS pair_id, CAST(a.n_shared AS INTEGER) AS n_shared, a.prompt, a.completion AS chosen, coalesce(b.completion, '') AS rejected,

@@ -43,7 +43,7 @@ def targets(sizes: DataFrame, source: str, size: str, weights: Sequence[float],
     all_rows = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     fill = Window.orderBy("ratio", "rank")
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    after = fill.rowsBetween(0, Window.unboundedFollowing)
+    after = Window.orderBy(F.desc("ratio"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
     per = per.withColumn("rank", rank).withColumn("weight", weight).withColumn("ratio", F.lit(ceiling) * F.col("source_size") / F.col("weight"))
     capped = F.coalesce(F.sum("source_size").over(before), F.lit(0))
     per = per.withColumn("level", (F.sum("source_size").over(all_rows) - F.lit(ceiling) * capped) / F.sum("weight").over(after))
