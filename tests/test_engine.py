@@ -1,0 +1,123 @@
+"""Small hand-made cases and second implementations of what SQL doesn't cover."""
+
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewright.functions.expr import ExpressionError, predicate
+from tidewright.functions.numeric import half_up
+from tidewright.operators import clean, explore, features, timeparse
+from tidewright.plans.order import Halo, with_neighbours, with_running
+from tidewright.plans.pipeline import StaleDetection, Workspace
+from tidewright.sources import io
+from tidewright.streaming.buckets import bucket_stream
+
+SERIES = [None, None, 3.0, 4.5, None, 7.25, 2.675, None, None, None, 1.005, 8.0, None, 5.5, 6.25, None]
+
+
+def frame(spark, values=SERIES):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "pos long, v double")
+
+
+def test_half_up_is_exact(spark):
+    rng = np.random.default_rng(3)
+    xs = [*(float(x) for x in np.round(rng.normal(0, 100, 500), 3)), 2.675, 1.005, -2.5, 0.125, -0.125, 0.0, 1e12 + 0.5]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(half_up("x", 2)).collect()]
+    assert got == [float(Decimal(x).quantize(Decimal("0.01"), ROUND_HALF_UP)) + 0.0 for x in xs]
+
+
+def test_scans_do_not_depend_on_buckets(spark):
+    df = frame(spark)
+    big, small = ({r["pos"]: (r["__prev"], r["__next"]) for r in with_neighbours(df, "v", size=s).collect()} for s in (65536, 3))
+    assert big == small
+    big, small = ({r["pos"]: (r["__sum"], r["__count"]) for r in with_running(df, "v", size=s).collect()} for s in (65536, 3))
+    assert big == small
+    halo = Halo(df, 2, size=4)
+    assert sorted(r["pos"] for r in halo.own(halo.df).collect()) == list(range(len(SERIES)))
+
+
+def test_expanding_mean(spark):
+    got = {r["pos"]: r["expanding_mean_v"] for r in features.expanding_mean(frame(spark), "v").collect()}
+    for i in range(len(SERIES)):
+        before = [x for x in SERIES[:i] if x is not None]
+        assert got[i] == (float(Decimal(sum(before) / len(before)).quantize(Decimal("0.01"), ROUND_HALF_UP)) if before else None)
+
+
+@pytest.mark.parametrize("size", [65536, 4])
+def test_ewm(spark, size):
+    got = {r["pos"]: r["ewm_v_s7"] for r in features.ewm(frame(spark), "v", 7, size=size).collect()}
+    state = None
+    for i, x in enumerate(SERIES):
+        assert got[i] == (None if state is None else pytest.approx(state, abs=0.00501))
+        if x is not None:
+            state = x if state is None else state + 0.25 * (x - state)
+
+
+def test_missing_runs_and_fill(spark):
+    runs = {(r["start"], r["end"]) for r in clean.missing_runs(frame(spark), "v").collect()}
+    assert runs == {(0, 1), (4, 4), (7, 9), (12, 12), (15, 15)}
+    filled = {r["pos"]: r["v"] for r in clean.impute(frame(spark), "v", "linear").collect()}
+    assert filled[0] == 1.0 and filled[4] == 5.875 and filled[15] == 6.25
+
+
+def test_all_missing(spark):
+    df = frame(spark, [None, None, None])
+    assert [r["v"] for r in clean.impute(df, "v", "linear").orderBy("pos").collect()] == [0.0, 0.0, 0.0]
+
+
+def test_predicates(spark):
+    df = frame(spark, [0.0, 1.0, -4.0, None])
+    got = lambda text: [r[0] for r in df.orderBy("pos").select(predicate(text, {"v": F.col("v"), "mean": F.lit(0.0)})).collect()]
+    assert got("1 / v > 5") == [True, False, False, False]
+    assert got("sqrt(v) >= 0") == [True, True, False, False]
+    assert got("!(v > 0) && v % 3 == 2") == [False, False, True, False]
+    assert got("log(v) < 0 || v != v") == [True, False, False, False]
+    for bad in ("__import__('os')", "v.real", "0 < v < 1", "'a'", "open(v)"):
+        with pytest.raises(ExpressionError):
+            predicate(bad, {"v": F.col("v")})
+
+
+def test_lttb_keeps_ends(spark):
+    df = frame(spark, [math.sin(i / 7) for i in range(400)])
+    got = [r["pos"] for r in explore.lttb(df, ["v"], 50).orderBy("pos").collect()]
+    assert len(got) == 50 and got[0] == 0 and got[-1] == 399
+
+
+def test_time_text(spark):
+    df = spark.createDataFrame([("2024-6-1 8:30",), ("2024-06-01 08:30",), ("2024-13-01 08:30",), ("soon",), (None,)], "t string")
+    got = [r[0] for r in df.select(timeparse.parse(F.col("t"), "YYYY-MM-DD HH:mm")).collect()]
+    assert got[0] == got[1] is not None and got[2:] == [None, None, None]
+
+
+def test_csv_with_odd_names(spark, tmp_path):
+    path = tmp_path / "machine.csv"
+    path.write_text("时间,油温°C,a.b(%),a.b(%)\n2024-01-01 00:00:00,1.5,NA,x\n2024-01-01 00:30:00,,2, \n", encoding="utf-8-sig")
+    df = io.read(spark, str(path))
+    assert io.unique_names(["a", "a", " "]) == ["a", "a_1", "unnamed"]
+    assert df.count() == 2 and df.where("`油温°C` is null").count() == 1
+
+
+def test_workspace_undo_and_replay(spark):
+    df = frame(spark).withColumn("ts", F.timestamp_add("MINUTE", F.col("pos"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")))
+    w = Workspace.open(df, "ts")
+    w.apply("impute", all={"v": "linear"}).apply("convert_unit", column="v", factor=10.0)
+    first = sorted(map(repr, w.df.collect()))
+    assert sorted(map(repr, w.undo().redo().df.collect())) == first
+    assert sorted(map(repr, Workspace.replay(df, w.save_log()).df.collect())) == first
+    w.detect("v", "3sigma")
+    w.apply("convert_unit", column="v", factor=2.0)
+    with pytest.raises(StaleDetection):
+        w.repair("v", "clip")
+
+
+def test_bucket_stream(spark, tmp_path):
+    rows = frame(spark).withColumn("ts", F.timestamp_add("MINUTE", F.col("pos"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = bucket_stream(stream, "ts", "v", 5).writeStream.outputMode("complete").format("memory").queryName("buckets").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sum(r["n"] for r in spark.table("buckets").collect()) == sum(x is not None for x in SERIES)
