@@ -95,7 +95,8 @@ def battery(tokens: Column) -> Column:
     def summed(x: Column) -> dict[str, Column]:
         v, k = x["values"], x["k"]
         held = F.transform(F.array_distinct(v), lambda d: F.size(F.filter(v, lambda y: y == d)).cast("double"))
-        pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        rest = F.greatest(F.size(v) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(v, 1, rest), F.slice(v, 2, rest), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         return {"squares": F.aggregate(held, F.lit(0.0), lambda a, y: a + y * y), "ups": F.size(F.filter(v, lambda y: y >= k / 2)).cast("double"), "pairs": pairs, "middle": F.aggregate(v, F.lit(0.0), lambda a, y: a + y) / x["n"]}
 
     def tested(x: Column) -> dict[str, Column]:
