@@ -1,7 +1,7 @@
 """Language-model scoring by sharded Elias-Fano n-gram tries.
 
-One pass over the texts cuts them into blocks. Per block it keeps the tokens as numbers of the block's own vocabulary and, for every
-n-gram order, the distinct n-grams with their training counts. An n-gram is the hash of its context (the words before) and the hash
+A pass over the texts cuts them into blocks and takes from each, for every n-gram order, the distinct n-grams with their training
+counts; a second one, which must meet the rows in the same order (as a scan of files does, else it stops with an error), takes the tokens. An n-gram is the hash of its context (the words before) and the hash
 of its last word, its successor. N-grams go to shards by context and a few bits of the successor, so a context as common as
 all others together is spread over SPREAD shards; the contents of a shard are bounded by choosing the number of shards from their count.
 A shard adds up the counts and builds its level of the trie: sorted contexts, monotone pointers to their
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from .common import table, written
 
 ORDER, MASS = 2, 4.0
 #: Tokens after which a block is closed, and n-grams that a shard holds on average at most.
-BLOCK, SHARD = 3_000_000, 1_500_000
+BLOCK, SHARD = 2_250_000, 1_500_000
 SPREAD = 16
 #: Counts up to EXACT are stored as they are, larger ones by STEPS for each factor e; two bytes reach beyond 10^15.
 EXACT, STEPS = 1024, 2300.0
@@ -247,13 +248,17 @@ def _mix(a, b):
 
 
 class _Block:
-    def __init__(self):
+    def __init__(self, seen=None):
         from array import array
 
+        import xxhash
+
         self.words = {b"": END, b" ": START}
         self.tokens, self.ends, self.ids, self.train = array("i"), array("q"), [], array("b")
+        self.seen = seen or xxhash.xxh3_128(seed=1)
 
     def add(self, doc_id: int | None, text: bytes) -> None:
+        self.seen.update(f"{doc_id} {len(text)} ".encode() + text)
         words, number = self.words, len(self.words)
         for w in text.lower().split():
             k = words.setdefault(w, number)
@@ -318,27 +323,44 @@ def _shards(context, successor, order: int, shards: int):
     return (_mix(context, spread + np.uint64(order)) % np.uint64(shards)).astype(np.int64)
 
 
-def _emit(block: _Block, name: str, order: int, shards: int) -> Iterator[tuple]:
+def _emit(block: _Block, order: int, shards: int, asked: bool) -> Iterator[tuple]:
+    """A block's tokens, or what it asks of the shards. Its name is its partition and a digest of what was read there up to its end, so both come out alike."""
     import numpy as np
 
     hashes, tokens, ends = _hashes(block.words), np.frombuffer(block.tokens, np.int32), np.frombuffer(block.ends, np.int64)
     train = np.repeat(np.frombuffer(block.train, np.int8), np.diff(ends, prepend=0)).astype(np.int64)
+    name = f"{TaskContext.get().partitionId()}-{block.seen.hexdigest()}"
+    if not asked:
+        yield name, 0, -1, _tokens(block, tokens, ends, hashes), b"", 0
+        return
+    for k in range(1, order + 1):
+        yield from _asked(name, tokens, ends, hashes, train, k, shards)
+
+
+def _tokens(block: _Block, tokens, ends, hashes) -> bytes:
+    import numpy as np
+
     head = np.array([len(block.ids)], np.int64)
     ids = np.array([0 if x is None else x for x in block.ids], np.int64)
     null = np.array([x is None for x in block.ids], np.int8)
     parts = [_pack(x) for x in (head, ids, null, np.frombuffer(block.train, np.int8), ends, tokens, hashes)]
-    yield name, 0, -1, b"".join(len(p).to_bytes(8, "little") + p for p in parts), b"", int(train.sum())
-    for k in range(1, order + 1):
-        context, successor = _keyed(*_ngrams(tokens, ends, hashes, k), k)
-        places, inverse = _distinct(context, successor if k > 1 else context, k)
-        counts = np.bincount(inverse, weights=train, minlength=len(places)).astype(np.uint32)
-        context, successor = context[places], successor[places] if k > 1 else None
-        shard = _shards(context, successor, k, shards)
-        by = np.argsort(shard, kind="stable")
-        for part in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
-            keys = _pack_keys(context[part])
-            body = len(keys).to_bytes(8, "little") + keys + (_pack(successor[part]) if k > 1 else b"")
-            yield name, k, int(shard[part[0]]), body, _pack(counts[part]), len(part)
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def _asked(name: str, tokens, ends, hashes, train, k: int, shards: int) -> Iterator[tuple]:
+    """Per shard the block's distinct n-grams of k words and their training counts."""
+    import numpy as np
+
+    context, successor = _keyed(*_ngrams(tokens, ends, hashes, k), k)
+    places, inverse = _distinct(context, successor if k > 1 else context, k)
+    counts = np.bincount(inverse, weights=train, minlength=len(places)).astype(np.uint32)
+    context, successor = context[places], successor[places] if k > 1 else None
+    shard = _shards(context, successor, k, shards)
+    by = np.argsort(shard, kind="stable")
+    for part in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
+        keys = _pack_keys(context[part])
+        body = len(keys).to_bytes(8, "little") + keys + (_pack(successor[part]) if k > 1 else b"")
+        yield name, k, int(shard[part[0]]), body, _pack(counts[part]), len(part)
 
 
 def _read(order: int, body: bytes):
@@ -351,10 +373,8 @@ def _batch(rows: list[tuple], names: list[str], kinds: list):
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def _cut(order: int, shards: int):
+def _cut(order: int, shards: int, asked: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
 
         kinds, names = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()], ["block", "order", "shard", "keys", "counts", "tokens"]
         block = _Block()
@@ -362,11 +382,11 @@ def _cut(order: int, shards: int):
             for i in range(batch.num_rows):
                 block.add(batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer().to_pybytes() if batch.column(1)[i].is_valid else b"")
                 if len(block.tokens) >= BLOCK:
-                    for row in _emit(block, uuid.uuid4().hex, order, shards):
+                    for row in _emit(block, order, shards, asked):
                         yield _batch([row], names, kinds)
-                    block = _Block()
+                    block = _Block(block.seen)
         if block.ids:
-            for row in _emit(block, uuid.uuid4().hex, order, shards):
+            for row in _emit(block, order, shards, asked):
                 yield _batch([row], names, kinds)
 
     return cut
@@ -378,19 +398,19 @@ def _answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     import numpy as np
 
-    asked, order, known = [], 1, 0
+    asked, order = [], 1
     for batch in rows:
         for row in batch.to_pylist():
             order = row["order"]
             asked.append((row["block"], row["shard"], *_read(order, row["keys"]), _unpack(row["counts"])))
-    names, kinds = ["block", "order", "shard", "answers", "known"], [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+    names, kinds = ["block", "order", "shard", "answers", "known", "train"], [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
     contexts, counts = (np.concatenate([x[i] for x in asked]) for i in (2, 4))
     if order == 1:
         own, inverse = np.unique(contexts, return_inverse=True)
         total = np.bincount(inverse, weights=counts, minlength=len(own)).astype(np.int64)
-        known, at = int((total > 0).sum()), 0
+        known, train, at = int((total > 0).sum()), int(total.sum()), 0
         for i, (block, shard, keys, _, _) in enumerate(asked):
-            yield _batch([(block, order, shard, _pack(total[inverse[at : at + len(keys)]]), known if i == 0 else 0)], names, kinds)
+            yield _batch([(block, order, shard, _pack(total[inverse[at : at + len(keys)]]), known if i == 0 else 0, train if i == 0 else 0)], names, kinds)
             at += len(keys)
         return
     trained = counts > 0
@@ -400,7 +420,7 @@ def _answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with tempfile.NamedTemporaryFile(prefix="level-") as file:
         level = Level(contexts[places], successors[places], total).mapped(file)
         for block, shard, keys, last, _ in asked:
-            yield _batch([(block, order, shard, _pack(level.look_up(keys, last)), 0)], names, kinds)
+            yield _batch([(block, order, shard, _pack(level.look_up(keys, last)), 0, 0)], names, kinds)
 
 
 def _score(order: int, shards: int, n: int, v: int):
@@ -455,13 +475,13 @@ def score(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: i
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(8, order * size // 8 // SHARD)
-    blocks = written(docs.mapInArrow(_cut(order, shards), BLOCKS), "blocks")
-    asked = blocks.where("order > 0")
-    found = asked.groupBy("order", "shard").applyInArrow(_answer, "block string, order int, shard int, answers binary, known long")
+    asked = docs.mapInArrow(_cut(order, shards, True), BLOCKS)
+    found = asked.groupBy("order", "shard").applyInArrow(_answer, "block string, order int, shard int, answers binary, known long, train long")
     found = written(found, "answers")
-    n = blocks.where("order = 0").agg(F.sum("tokens")).first()[0] or 0
-    v = found.agg(F.sum("known")).first()[0] or 0
-    both = blocks.where("order = 0").select("block", "order", "shard", F.col("keys").alias("body")).union(found.select("block", "order", "shard", F.col("answers").alias("body")))
+    n, v = (x or 0 for x in found.agg(F.sum("train"), F.sum("known")).first())
+    # the tokens are cut again: kept from the first pass, they and the n-grams would take as much disk as the shuffle
+    tokens = docs.mapInArrow(_cut(order, shards, False), BLOCKS)
+    both = tokens.select("block", "order", "shard", F.col("keys").alias("body")).union(found.select("block", "order", "shard", F.col("answers").alias("body")))
     return both.groupBy("block").applyInArrow(_score(order, shards, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
