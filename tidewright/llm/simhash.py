@@ -96,7 +96,7 @@ def links(prints: DataFrame) -> DataFrame:
     n = prints.count()
     parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * (len(few) + len(many)) // 2 // PER_PARTITION)
     odd = F.bit_count("fingerprint") % 2 == 1
-    # a variant travels with the number of its mask, from which the fingerprint is found again: half the bytes of two fingerprints
+    # a variant travels with the number of its mask, from which the fingerprint is found again
     variants = lambda masks: prints.select("fingerprint", F.posexplode(masks).alias("nth", "mask")).select(F.col("fingerprint").bitwiseXOR(F.col("mask")).alias("variant"), "nth").repartition(parts, "variant")
     origin = F.col("variant").bitwiseXOR(F.get(F.lit(many), F.col("nth")))
     centres = variants(F.lit(few)).groupBy("variant").agg(F.min(origin).alias("b"))
