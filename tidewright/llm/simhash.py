@@ -29,7 +29,7 @@ from .common import table, written
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: A text is split into words by so many bytes at a time.
 CHUNK = 1 << 20
-#: Variants per partition of the join that finds collisions.
+#: Variants by one flip or none, 130 for each fingerprint, per partition of the join that finds collisions; the others stream past them.
 PER_PARTITION = 1_000_000
 
 
@@ -83,26 +83,45 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def masks() -> tuple[list[int], list[int]]:
-    """What to flip: no bit and each one; besides, each pair inside a half of the word."""
-    ones = [0, *(1 << i for i in range(64))]
-    pairs = [(1 << i) | (1 << j) for half in (0, 32) for i in range(half, half + 32) for j in range(i + 1, half + 32)]
-    return [_signed(x) for x in ones], [_signed(x) for x in ones + pairs]
+def masks(half: int) -> tuple[list[int], list[int]]:
+    """What to flip in one half of the word (0: low, 1: high): no bit and each one; besides, each pair."""
+    bits = [1 << i for i in range(32 * half, 32 * half + 32)]
+    ones = [0, *bits]
+    return [_signed(x) for x in ones], [_signed(x) for x in ones + [x | y for i, x in enumerate(bits) for y in bits[i + 1 :]]]
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints, by which all that link at RADIUS or fewer bits are connected. prints: one column, fingerprint, without repeats."""
-    few, many = masks()
-    n = prints.count()
-    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * (len(few) + len(many)) // 2 // PER_PARTITION)
-    odd = F.bit_count("fingerprint") % 2 == 1
-    # a variant travels with the number of its mask, from which the fingerprint is found again
-    variants = lambda masks: prints.select("fingerprint", F.posexplode(masks).alias("nth", "mask")).select(F.col("fingerprint").bitwiseXOR(F.col("mask")).alias("variant"), "nth").repartition(parts, "variant")
-    origin = F.col("variant").bitwiseXOR(F.get(F.lit(many), F.col("nth")))
-    centres = variants(F.lit(few)).groupBy("variant").agg(F.min(origin).alias("b"))
-    members = variants(F.when(odd, F.lit(many)).otherwise(F.lit(few)))
-    met = members.join(centres.hint("shuffle_hash"), "variant").select(origin.alias("a"), "b").where("a != b")
-    return met.select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
+    """Edges (a, b) between distinct fingerprints, by which all that link at RADIUS or fewer bits are connected; a written table. prints: one column, fingerprint, without repeats.
+
+    Variants that flip bits of one half only share the other half, the key. So a fingerprint travels by key, with all of them in one
+    row, and they are written out behind the shuffle; only variants that flip a bit of the key have rows of their own.
+    """
+    spark, fp, key = prints.sparkSession, F.col("fingerprint"), F.col("key")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), prints.count() * 130 // PER_PARTITION)
+    low, high = F.lit((1 << 32) - 1), F.lit(-1 << 32)
+    # a key is the half that stays; bit 32 is set if that is the low one
+    halves = F.array(F.shiftrightunsigned(fp, 32), fp.bitwiseAND(low).bitwiseOR(F.lit(1 << 32)))
+    sent = lambda flips: prints.select(fp, F.explode(halves).alias("half")).select(fp, "half", F.explode(F.lit(flips)).alias("flip")).select(fp, F.col("half").bitwiseXOR(F.col("flip")).alias("key")).repartition(parts, "key")
+    is_high = key < (1 << 32)
+    (one_low, two_low), (one_high, two_high) = masks(0), masks(1)
+    one = F.when(is_high, F.lit(one_low)).otherwise(F.lit(one_high))
+    two = F.when(is_high, F.lit(two_low)).otherwise(F.lit(two_high))
+    # the fingerprint with the key put back in its place
+    base = F.when(is_high, F.shiftleft(key, 32).bitwiseOR(fp.bitwiseAND(low))).otherwise(fp.bitwiseAND(high).bitwiseOR(key.bitwiseAND(low)))
+    spread = lambda rows, flips: rows.select(key, fp, base.alias("base"), F.explode(flips).alias("mask")).select(key, fp, F.col("base").bitwiseXOR(F.col("mask")).alias("variant"))
+    centres = spread(sent(one_low), F.when(base == fp, one).otherwise(F.array(F.lit(0).cast("long"))))
+    centres = centres.groupBy("key", "variant").agg(F.min(fp).alias("b"))
+    members = spread(sent([0]), F.when(F.bit_count(fp) % 2 == 1, two).otherwise(one))
+    met = members.join(centres.hint("shuffle_hash"), ["key", "variant"]).select(fp.alias("a"), "b").where("a != b")
+    met = met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
+    # both sides of the join lie by key already, which is enough for a join by key and variant
+    strict = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(strict)
+    spark.conf.set(strict, "false")
+    try:
+        return written(met, "links")
+    finally:
+        spark.conf.set(strict, before)
 
 
 def components(edges: DataFrame) -> DataFrame:
