@@ -161,7 +161,7 @@ def _worded(kind: Column, mention: Column, surrogate: Column) -> Column:
 
 
 def replace(df: DataFrame, *, key: str = "surrogates-1", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with the surrogates in its texts and n_entities. Only entities, and the texts that hold some, are shuffled by row."""
+    """df with the surrogates in its texts and n_entities. The rows are shuffled once, to meet their surrogates; everything before is done on mentions."""
     found = mentions(df, text).withColumn("__sum", F.xxhash64(text))
     # of each distinct pair of id and text, the mentions
     listed = written(found.where("__mentions is not null").select(F.col(doc_id).alias("__id"), "__sum", F.posexplode("__mentions").alias("at", "m")).select("__id", "__sum", "at", "m.*").distinct(), "mentions")
