@@ -286,22 +286,29 @@ def test_pii_surrogates_are_distinct(spark):
 
 
 def test_lm(docs, none):
-    got = {r["doc_id"]: r for r in lm.score(docs).collect()}
     tokens = {i: [w for w in (t or "").encode().lower().split()] + ["end"] for i, t, *_ in ROWS}
-    c, pairs = Counter(), Counter()
+    c, texts = Counter(), 0
     for i, *_ in ROWS:
         if zlib.crc32(str(i).encode()) % 7 != 2:
-            c.update(tokens[i])
-            pairs.update(zip(["start", *tokens[i]], tokens[i], strict=False))
-    n, v = sum(c.values()), len(c)
-    c["start"] = c["end"]
-    p = lambda w: (c[w] + 1) / (n + v + 1)
-    for i, w in tokens.items():
-        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert got[i]["base_score"] == pytest.approx(sum(math.log10(p(x)) for x in w))
-        assert got[i]["score"] == pytest.approx(sum(math.log10((pairs[a, b] + lm.MASS * p(b)) / (c[a] + lm.MASS)) for a, b in zip(["start", *w], w, strict=False)), rel=1e-3)
+            texts += 1
+            w = ["start", "start", *tokens[i]]
+            c.update(tuple(w[at - k : at]) for at in range(3, len(w) + 1) for k in (1, 2, 3))
+    words_ = {x: m for x, m in c.items() if len(x) == 1}
+    n, v = sum(words_.values()), len(words_)
+    c["start",] = c["start", "start"] = texts
+
+    def p(*gram):
+        return (c[gram] + lm.MASS * p(*gram[1:])) / (c[gram[:-1]] + lm.MASS) if len(gram) > 1 else (words_.get(gram, 0) + 1) / (n + v + 1)
+
+    for order in {2, 3, lm.ORDER}:
+        got = {r["doc_id"]: r for r in lm.score(docs, order=order).collect()}
+        assert set(got) == set(tokens)
+        for i, w in tokens.items():
+            assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(w), sum((x,) in words_ for x in w), n)
+            assert got[i]["base_score"] == pytest.approx(sum(math.log10(p(x)) for x in w))
+            padded = ["start", "start", *w]
+            assert got[i]["score"] == pytest.approx(sum(math.log10(p(*padded[at - order : at])) for at in range(3, len(padded) + 1)), rel=1e-3)
     assert lm.score(none).count() == 0
-    assert lm.score(docs, order=3).where("score is null or score > 0").count() == 0
 
 
 def test_elias_fano():

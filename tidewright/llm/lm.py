@@ -298,7 +298,11 @@ def _keyed(context, successor, order: int):
     """Context and successor of an n-gram as they go to shards: words are single numbers, others two."""
     import numpy as np
 
-    return (successor, None) if order == 1 else (context, successor >> np.uint64(64 - Level.SUCCESSOR))
+    if order == 1:
+        return successor, None
+    successor = successor >> np.uint64(64 - Level.SUCCESSOR)
+    # the successor's low bits move its context, which spreads a common one over the whole range and can be undone
+    return context + (successor % np.uint64(SPREAD)) * np.uint64((1 << 64) // SPREAD), successor
 
 
 def _distinct(context, successor, order: int):
@@ -316,11 +320,11 @@ def _distinct(context, successor, order: int):
     return by[new], inverse
 
 
-def _shards(context, successor, order: int, shards: int):
+def _shards(context, shards: int):
+    """Equal ranges of the hash, so that what a block sends to a shard lies close together and takes fewer bytes as differences."""
     import numpy as np
 
-    spread = np.zeros(len(context), np.uint64) if order == 1 else successor % np.uint64(SPREAD)
-    return (_mix(context, spread + np.uint64(order)) % np.uint64(shards)).astype(np.int64)
+    return ((context >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def _emit(block: _Block, order: int, shards: int, asked: bool) -> Iterator[tuple]:
@@ -355,17 +359,29 @@ def _asked(name: str, tokens, ends, hashes, train, k: int, shards: int) -> Itera
     places, inverse = _distinct(context, successor if k > 1 else context, k)
     counts = np.bincount(inverse, weights=train, minlength=len(places)).astype(np.uint32)
     context, successor = context[places], successor[places] if k > 1 else None
-    shard = _shards(context, successor, k, shards)
-    by = np.argsort(shard, kind="stable")
-    for part in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
-        keys = _pack_keys(context[part])
-        body = len(keys).to_bytes(8, "little") + keys + (_pack(successor[part]) if k > 1 else b"")
+    shard = _shards(context, shards)
+    for part in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+        fields = [_pack_keys(context[part])]
+        if k > 1:
+            own, index = np.unique(successor[part], return_inverse=True)
+            fields += [_pack_keys(own), _pack(index.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32))]
+        body = b"".join(len(x).to_bytes(8, "little") + x for x in fields)
         yield name, k, int(shard[part[0]]), body, _pack(counts[part]), len(part)
 
 
 def _read(order: int, body: bytes):
-    n = int.from_bytes(body[:8], "little")
-    return _unpack_keys(body[8 : 8 + n]), _unpack(body[8 + n :]) if order > 1 else None
+    """The keys of what a block asks, and of n-grams the successors, which were sent as distinct ones and places among them."""
+    fields = _fields(body)
+    return _unpack_keys(fields[0]), _unpack_keys(fields[1])[_unpack(fields[2])] if order > 1 else None
+
+
+def _fields(body: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(body):
+        size = int.from_bytes(body[at : at + 8], "little")
+        out.append(body[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list):
@@ -434,24 +450,14 @@ def _score(order: int, shards: int, n: int, v: int):
                     body = row["body"]
                 else:
                     answers[row["order"], row["shard"]] = row["body"]
-        parts, at = [], 0
-        while at < len(body):
-            size = int.from_bytes(body[at : at + 8], "little")
-            parts.append(_unpack(body[at + 8 : at + 8 + size]))
-            at += 8 + size
-        _, ids, null, train, ends, tokens, hashes = parts
+        _, ids, null, train, ends, tokens, hashes = map(_unpack, _fields(body))
         cut = np.concatenate(([0], ends[:-1]))
         p, context_count, base, seen, n_texts = None, None, None, None, 0
         for k in range(1, order + 1):
             context, successor = _keyed(*_ngrams(tokens, ends, hashes, k), k)
             places, inverse = _distinct(context, successor if k > 1 else context, k)
-            context, successor = context[places], successor[places] if k > 1 else None
-            shard = _shards(context, successor, k, shards)
-            by = np.argsort(shard, kind="stable")
-            found = np.concatenate([_unpack(answers[k, s]) for s in np.unique(shard)])
-            values = np.empty(len(places), np.float64)
-            values[by] = found if k == 1 else weights(found)
-            count = values[inverse]
+            found = np.concatenate([_unpack(answers[k, s]) for s in np.unique(_shards(context[places], shards))])
+            count = (found.astype(np.float64) if k == 1 else weights(found))[inverse]
             if k == 1:
                 p = (count + 1) / (n + v + 1)
                 base, seen = np.log10(p), count > 0
