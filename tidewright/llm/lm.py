@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-ORDER, MASS = 2, 4.0
+ORDER, MASS = 3, 4.0
 #: Tokens after which a block is closed, and n-grams that a shard holds on average at most.
 BLOCK, SHARD = 2_250_000, 1_500_000
 SPREAD = 16
