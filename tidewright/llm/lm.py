@@ -57,8 +57,12 @@ class EliasFano:
         values = np.asarray(values, np.uint64)
         n = len(values)
         width = max(0, (universe // max(n, 1)).bit_length() - 1)
-        bits = (values[:, None] >> np.arange(width, dtype=np.uint64)[None, :]) & np.uint64(1) if width else np.zeros((n, 0), np.uint64)
-        low = np.concatenate((np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"), np.zeros(16, np.uint8)))
+        # so many numbers at a time, a multiple of 8, that their bits fit the cache and end with a byte
+        places, pieces = np.arange(width, dtype=np.uint64)[None, :], [np.zeros(0, np.uint8)]
+        for i in range(0, n if width else 0, 1 << 12):
+            bits = (values[i : i + (1 << 12), None] >> places) & np.uint64(1)
+            pieces.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"))
+        low = np.concatenate((*pieces, np.zeros(16, np.uint8)))
         at = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         size = (n + (universe >> width) + 2 + 63) // 64 * 64 + 64
         unary = np.zeros(size, np.uint8)
