@@ -195,6 +195,39 @@ def test_simhash_links_every_near_pair(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.groups(df).collect()} == smallest_reachable(prints)
 
 
+def slow_shingles(t, width=5):
+    w = [x.lower() for x in words(t)]
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+
+
+def test_deduplicate_finds_every_near_copy(spark):
+    r, texts = random.Random(9), []
+    for g in range(50):
+        base = prose(r.randint(30, 400), 1000 + g).split()
+        for edits in (0, 1, 1, 2, 3, 5):
+            w = list(base)
+            for _ in range(edits * len(base) // 100 + (edits > 0)):
+                w[r.randrange(len(w))] = r.choice(VOCABULARY)
+            texts.append(" ".join(w))
+    # a group whose members share a base, most of them beyond the similarity from each other
+    base = prose(200, 77).split()
+    for i in range(40):
+        w = list(base)
+        for _ in range(5):
+            w[r.randrange(len(w))] = f"new{i}"
+        texts.append(" ".join(w))
+    sets, root = [slow_shingles(t) for t in texts], list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in near:
+        low, high = sorted((root[i], root[j]))
+        root = [low if x == high else x for x in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = [slow_fingerprint(t) for t in texts]
+    far = [(i, j) for i, j in near if (prints[i] ^ prints[j]).bit_count() > 3]
+    assert len(far) > 100
+    assert sorted(x["doc_id"] for x in simhash.deduplicate(df).collect()) == sorted(set(root))
+
+
 def test_topk(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in np.round(rng.normal(0, 1, 8), 1)], i) for i in range(200)]

@@ -13,27 +13,37 @@ Defined cases: a null text has no words; texts without words have fingerprint ze
 than a shingle have one shingle; repeated rows and equal ids count as copies; rows with a null id get
 a component from the others in it (null if none has an id); an empty table gives an empty result; further columns pass through
 fingerprinted(), whose own column replaces one of the same name.
+
+deduplicate(), the stage, doesn't use fingerprints: at a similarity of 0.8 they differ in some 10 of 64 bits, which no ball reaches.
+Two texts are near copies if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Texts with equal sets are one
+from the start. Candidates share a band of minima (MinHash): at 0.8 a pair is missed with probability (1 - 0.8^ROWS)^BANDS,
+under 0.0001. All candidates that could join two components are verified on the whole sets: first each with one member of its
+band's bucket, which joins large groups at a cost in proportion to their size, then every pair of a bucket that is still in two
+components, so the number of those pairs grows with the square of a bucket only where its texts are not near copies of each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import repeat
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructType
 
 from .common import table, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
+#: The stage's words a shingle and least similarity, as a fraction; bands of so many minima each.
+STAGE_SHINGLE, SIMILAR, BANDS, ROWS = 5, (4, 5), 24, 5
 #: A text is split into words by so many bytes at a time.
 CHUNK = 1 << 20
 #: Variants by one flip or none, 130 for each fingerprint, per partition of the join that finds collisions; the others stream past them.
 PER_PARTITION = 1_000_000
 
 
-def _pieces(raw: bytes) -> Iterator[list[bytes]]:
+def _pieces(raw: bytes, width: int = SHINGLE) -> Iterator[list[bytes]]:
     """The words of a text, in lists of bounded length; each list starts with the last words of the one before."""
     last: list[bytes] = []
     at = 0
@@ -43,7 +53,7 @@ def _pieces(raw: bytes) -> Iterator[list[bytes]]:
             end += 1
         words = last + raw[at:end].split()
         yield words
-        last = words[1 - SHINGLE :]
+        last = words[1 - width :]
         at = end
 
 
@@ -155,10 +165,119 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(prints).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(raw: bytes):
+    """The distinct hashes of a text's shingles of STAGE_SHINGLE words, sorted; of fewer words the one of them all, of none none."""
+    import numpy as np
+    import xxhash
+
+    found, few = [], []
+    for words in _pieces(raw.lower(), STAGE_SHINGLE):
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(STAGE_SHINGLE)), strict=False))
+        found.append(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+        few = words
+    if few and not any(map(len, found)):
+        found = [np.array([xxhash.xxh64_intdigest(b" ".join(few), SEED)], np.uint64)]
+    return np.unique(np.concatenate(found)) if found else np.array([], np.uint64)
+
+
+@cache
+def _permutations():
+    """What hashes are XORed with and the odd factors that they are multiplied by."""
+    import numpy as np
+
+    flip, factor = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+    return flip, factor | np.uint64(1)
+
+
+def bands(hashes) -> list[int]:
+    """A key for each band, the hash of its number and of the minima of ROWS permutations of the set; none of an empty set."""
+    import numpy as np
+    import xxhash
+
+    if not len(hashes):
+        return []
+    flip, factor = _permutations()
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(hashes), 2048):
+        least = np.minimum(least, ((hashes[i : i + 2048] ^ flip) * factor).min(axis=1))
+    return [_signed(xxhash.xxh64_intdigest(x.tobytes(), i)) for i, x in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _set_id(hashes) -> int:
+    import xxhash
+
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+
+
+@F.arrow_udf(StructType().add("set", LongType()).add("bands", ArrayType(LongType())))
+def _sketches(texts):
+    import pyarrow as pa
+
+    sets = [shingle_set(x.as_py() if x.is_valid else b"") for x in texts.cast(pa.binary())]
+    return pa.StructArray.from_arrays([pa.array(map(_set_id, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))], ["set", "bands"])
+
+
+@F.arrow_udf(BinaryType())
+def _sets(texts):
+    import pyarrow as pa
+
+    return pa.array([shingle_set(x.as_py() if x.is_valid else b"").tobytes() for x in texts.cast(pa.binary())], pa.binary())
+
+
+@F.arrow_udf(BooleanType())
+def _similar(a, b):
+    import numpy as np
+    import pyarrow as pa
+
+    def similar(x: bytes, y: bytes) -> bool:
+        n, (part, whole) = (len(x) + len(y)) // 8, SIMILAR
+        # no more can be shared than the smaller set holds
+        if whole * min(len(x), len(y)) < part * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        return whole * both >= part * (n - both)
+
+    return pa.array([similar(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.bool_())
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of set ids those that are similar."""
+    side = lambda name: sets.select(F.col("set").alias(name), F.col("hashes").alias(f"__{name}"))
+    pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    return written(pairs.where(_similar("__a", "__b")).select("a", "b"), "similar")
+
+
+def near_copies(sketches: DataFrame, sets_of) -> DataFrame:
+    """For each set id that is a near copy of another its root, as components() gives them. sketches: set and bands; sets_of(ids): a table of set and hashes."""
+    keys = written(sketches.select("set", F.explode("bands").alias("key")).distinct(), "bands")
+    # each bucket has a centre of its own, so a large group gets as many as it has buckets
+    mixed = F.struct(F.xxhash64("set", "key").alias("h"), "set")
+    centres = keys.groupBy("key").agg(F.min(mixed)["set"].alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = written(keys.join(centres, "key"), "shared")
+    sets = written(sets_of(shared.select("set").distinct()), "sets")
+    edges = _verified(shared.where("set != b").select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")), sets)
+    roots = components(edges)
+    placed = shared.select("key", "set").join(roots, F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("root", "set").alias("root"))
+    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    placed = written(placed.join(split, "key"), "split")
+    other = placed.select("key", F.col("set").alias("b"), F.col("root").alias("other"))
+    more = _verified(placed.join(other, "key").where("set < b and root != other").select(F.col("set").alias("a"), "b"), sets)
+    return roots if more.isEmpty() else components(edges.union(more))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with the columns they came with."""
-    prints = written(fingerprinted(docs).select("doc_id", "fingerprint"), "fingerprints")
-    stay = groups(prints).where("doc_id = component_id").select(F.col("doc_id").alias("__stay"), F.col("fingerprint").alias("__print"))
-    # equal ids with different texts: the smallest fingerprint stays
-    stay = stay.groupBy("__stay").agg(F.min("__print").alias("__print"))
-    return docs.join(stay, F.col("doc_id") == F.col("__stay")).drop("__stay", "__print").dropDuplicates(["doc_id"])
+    """One document of each group of near copies, the one with the smallest doc_id, with the columns they came with."""
+    digest = F.xxhash64("text")
+    sketched = docs.select("doc_id", digest.alias("digest"), _sketches("text").alias("s"))
+    sketched = written(sketched.select("doc_id", "digest", "s.set", "s.bands"), "sketches")
+    first = written(sketched.groupBy("set").agg(F.min(F.struct("doc_id", "digest")).alias("first")), "first")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        held = ids.join(first, "set").select("set", F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
+        texts = docs.select("doc_id", "text").join(held, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
+        return texts.dropDuplicates(["set"]).select("set", _sets("text").alias("hashes"))
+
+    roots = near_copies(sketched.select("set", "bands"), sets_of)
+    named = first.join(roots, F.col("set") == F.col("node"), "left").select(F.coalesce("root", "set").alias("root"), "first")
+    stay = named.groupBy("root").agg(F.min("first.doc_id").alias("__stay"))
+    return docs.join(stay.select("__stay"), F.col("doc_id") == F.col("__stay")).drop("__stay").dropDuplicates(["doc_id"])
