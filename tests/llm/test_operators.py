@@ -228,6 +228,14 @@ def test_deduplicate_finds_every_near_copy(spark):
     assert sorted(x["doc_id"] for x in simhash.deduplicate(df).collect()) == sorted(set(root))
 
 
+def test_deduplicate_keeps_one_row_of_each_group(spark):
+    a, b, c, d = (prose(60, 500 + i) for i in range(4))
+    # a text without an id, copies of which none has one, a copy with an id, and one id with two texts
+    rows = [(None, a), (None, b), (None, b), (None, c), (3, c), (4, d), (4, a + " x"), (5, None), (None, ""), (6, prose(50, 600)), (6, prose(50, 601))]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(x) for x in got), key=repr) == sorted([(None, b), (3, c), (4, d), (4, a + " x"), (5, None), rows[9], rows[10]], key=repr)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in np.round(rng.normal(0, 1, 8), 1)], i) for i in range(200)]

@@ -266,11 +266,11 @@ def near_copies(sketches: DataFrame, sets_of) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id, with the columns they came with."""
+    """One document of each group of near copies, the one with the smallest doc_id (nulls last) and of these the smallest hash of its text, with the columns they came with."""
     digest = F.xxhash64("text")
     sketched = docs.select("doc_id", digest.alias("digest"), _sketches("text").alias("s"))
     sketched = written(sketched.select("doc_id", "digest", "s.set", "s.bands"), "sketches")
-    first = written(sketched.groupBy("set").agg(F.min(F.struct("doc_id", "digest")).alias("first")), "first")
+    first = written(sketched.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first")), "first")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         held = ids.join(first, "set").select("set", F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
@@ -279,5 +279,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     roots = near_copies(sketched.select("set", "bands"), sets_of)
     named = first.join(roots, F.col("set") == F.col("node"), "left").select(F.coalesce("root", "set").alias("root"), "first")
-    stay = named.groupBy("root").agg(F.min("first.doc_id").alias("__stay"))
-    return docs.join(stay.select("__stay"), F.col("doc_id") == F.col("__stay")).drop("__stay").dropDuplicates(["doc_id"])
+    stay = named.groupBy("root").agg(F.min("first").alias("first"))
+    stay = stay.select(F.col("root").alias("__root"), F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest"))).dropDuplicates(["__root"]).drop("__root", "__id", "__digest")
