@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.expr import ExpressionError, predicate
 from tidewright.functions.numeric import half_up
-from tidewright.operators import clean, explore, features, timeparse
+from tidewright.operators import anomaly, clean, explore, features, timeparse
 from tidewright.plans.order import Halo, with_neighbours, with_running
 from tidewright.plans.pipeline import StaleDetection, Workspace
 from tidewright.sources import io
@@ -121,3 +121,10 @@ def test_bucket_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r["n"] for r in spark.table("buckets").collect()) == sum(x is not None for x in SERIES)
+
+
+def test_isolation_draws_copies_of_a_value_independently(spark):
+    # few values with more copies each than the sample holds
+    values = [float(i % 3) for i in range(24_000)] + [500.0] * 20
+    found = anomaly.isolation(frame(spark, values), "v", 0.01, 42).where("anomaly").collect()
+    assert {r["v"] for r in found} == {500.0} and len(found) == 20

@@ -25,7 +25,7 @@ def detect(df: DataFrame, column: str, method: str, *, expression: str = "", con
     if method == "mad":
         return _mad(df, column, pos)
     if method == "iforest":
-        return isolation(df, column, contamination, seed)
+        return isolation(df, column, contamination, seed, pos=pos)
     stats = column_stats(df, column)
     if method == "3sigma":
         low, high = (None, None) if not stats.n else (stats.mean - 3 * stats.std, stats.mean + 3 * stats.std)
@@ -57,12 +57,12 @@ def _mad(df: DataFrame, column: str, pos: str) -> DataFrame:
     return out.withColumns({"anomaly": flag, "lower": F.lit(low).cast("double"), "upper": F.lit(high).cast("double")}).drop("__m", "__d", "__lo", "__hi")
 
 
-def isolation(df: DataFrame, column: str, contamination: float, seed: int, trees: int = 200, sample: int = 256) -> DataFrame:
-    """A one-dimensional isolation forest: trees are grown on the driver from a bounded sample, every row is scored by nested comparisons in Arrow batches."""
+def isolation(df: DataFrame, column: str, contamination: float, seed: int, trees: int = 200, sample: int = 256, pos: str = "pos") -> DataFrame:
+    """A one-dimensional isolation forest: trees are grown on the driver from a bounded sample of rows, drawn by their positions so that copies of a value are drawn independently, every row is scored by nested comparisons in Arrow batches."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    drawn = [r[0] for r in df.where(F.col(column).isNotNull()).select(column, F.xxhash64(column, F.lit(seed)).alias("h")).orderBy("h", column).limit(trees * sample // 8).select(column).collect()]
+    drawn = [r[0] for r in df.where(F.col(column).isNotNull()).select(column, F.xxhash64(pos, F.lit(seed)).alias("h"), F.col(pos).alias("p")).orderBy("h", "p").limit(trees * sample // 8).select(column).collect()]
     if len(drawn) < 3:
         return _outside(df, column, None, None)
     values = np.array(drawn)
