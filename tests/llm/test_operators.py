@@ -128,6 +128,15 @@ def test_quality_thresholds_hold_their_risk(spark):
     assert not any(i >= 10_000 for i in kept) and sum(i < 10_000 for i in kept) >= 0.98 * len(good)
 
 
+def test_quality_certifies_small_strata(spark):
+    good = [(i, prose(40, i), "es") for i in range(311)]
+    bad = [(10_000 + i, prose(40, i).replace(" ", "*** "), "es") for i in range(40)]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 10_000)) for i, _, _ in good + bad], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in quality.keep(df, labels).collect()}
+    assert not any(i >= 10_000 for i in kept) and sum(i < 10_000 for i in kept) >= 0.98 * len(good)
+
+
 def test_binomial(spark):
     cases = [(0, 50, 0.02), (3, 400, 0.02), (900, 50_000, 0.02), (10, 1000, 0.02)]
     df = spark.createDataFrame([(float(k), float(n)) for k, n, _ in cases], "k double, n double")

@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled thresholds, native.
 
 Each rule turns one ratio of a document into a level on a fixed grid; a document is rejected
-if its level reaches the cutoff of its stratum. Cutoffs come from labelled documents: going
-from the mildest cutoff to stricter ones, a cutoff is certified as long as the exact binomial
-probability of seeing so few false rejections, were their true rate the allowed one, stays
-within the error level (fixed-sequence testing: the grid doesn't depend on the data, so the
-walk needs no correction; strata and rules share the error level by Bonferroni, and the rules of a
-stratum share the allowed rate). Of the certified cutoffs the one that rejects most bad and
-fewest good labelled documents is taken; if none is certified, the rule rejects nothing there.
+if its level reaches the cutoff of its stratum. Cutoffs come from labelled documents. The rules of a stratum are tested together,
+by what they reject jointly, so they don't share the allowed rate or the error level: a path of cutoffs is laid out from
+the bad labelled documents and one in LEARN of the good ones, drawn by a hash of the id; it takes rule after rule, the one that gains
+most first, and lowers its cutoff level by level. The other good documents certify it: as long as the exact binomial
+probability of so few false rejections by all cutoffs so far, were their true rate the allowed one, stays within the error level
+(fixed-sequence testing: the path doesn't depend on the documents that test it, so the walk needs no correction; strata share
+the error level by Bonferroni). Of the certified points of the path the one that rejects most bad and fewest good labelled
+documents is taken; if none is certified, no rule rejects there.
 
 Defined cases: a null text has no words; a null or unlisted language is in the stratum "other"; a
 document labelled twice counts as good if any of its labels is; labels that are null or of
@@ -29,11 +30,13 @@ from .common import or_empty, table, words, written
 WINDOW = 8
 #: Strata are these languages and "other", which bounds the table of cutoffs.
 STRATA = ("en", "de", "fr", "es")
-#: Largest true rate of false rejections in a stratum by all rules together, and the probability that any certified cutoff breaks its share of it.
+#: Largest true rate of false rejections in a stratum by all rules together, and the probability that the certified cutoffs of any stratum break it.
 ALLOWED, ERROR = 0.02, 0.05
 LEVELS = 64
 #: A rejected good document weighs as much as so many rejected bad ones when a certified cutoff is picked.
 PRICE = 10
+#: One in so many good labelled documents helps to lay out the path and doesn't test it.
+LEARN = 5
 #: Rule, its ratio, and the ratio of the highest level.
 RULES = ("symbols", "upper", "marks", "lines", "repeats", "long_words")
 
@@ -94,25 +97,61 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(top + F.ln(terms)))
 
 
+def _path(held: DataFrame) -> dict[str, list[tuple[str, int]]]:
+    """For each stratum the rules in the order in which they come, each with its strictest cutoff: greedily the one with the highest gain on what those before leave. At most strata * rules * (LEVELS + 1) rows of counts come to the driver a round."""
+    stack = "stack({}, {}) as (rule, level)".format(len(RULES), ", ".join(f"'{r}', l_{r}" for r in RULES))
+    path: dict[str, list[tuple[str, int]]] = {}
+    for _ in RULES:
+        left = F.lit(True)
+        for stratum, steps in path.items():
+            for rule, cutoff in steps:
+                left = left & ~((F.col("stratum") == stratum) & (F.col(f"l_{rule}") >= cutoff))
+        counts = held.where(left & (~F.col("good") | F.col("learns"))).selectExpr("stratum", "good", stack).groupBy("stratum", "rule", "level").agg(F.sum(F.when(F.col("good"), -PRICE * LEARN).otherwise(1)).alias("gain"))
+        gains: dict[str, dict[tuple[str, int], int]] = {}
+        for r in counts.where("level > 0").collect():
+            gains.setdefault(r["stratum"], {})[r["rule"], r["level"]] = r["gain"]
+        found = False
+        for stratum, by in gains.items():
+            totals = [(sum(g for (rule, at), g in by.items() if rule == r and at >= level), level, r) for r, level in by if r not in dict(path.get(stratum, []))]
+            gain, level, rule = max(totals, default=(0, 0, ""))
+            if gain > 0:
+                path.setdefault(stratum, []).append((rule, level))
+                found = True
+        if not found:
+            break
+    return path
+
+
 def calibrate(levelled: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", allowed: float = ALLOWED, error: float = ERROR) -> DataFrame:
-    """One row per stratum and rule with a certified cutoff: stratum, rule, cutoff, p_value, false rejections and good documents."""
+    """One row per stratum and rule with a certified cutoff: stratum, rule, cutoff, and of the stratum's cutoffs together p_value, false rejections and good documents, among those that test."""
+    spark = levelled.sparkSession
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max("quality").alias("quality"))
     held = levelled.where(~F.col("base_failed")).select(doc_id, "stratum", *[f"l_{r}" for r in RULES])
     held = held.join(known, held[doc_id] == known["__id"])
-    stack = "stack({}, {}) as (rule, level)".format(len(RULES), ", ".join(f"'{r}', l_{r}" for r in RULES))
-    counts = held.selectExpr("stratum", "quality", stack).groupBy("stratum", "rule", "level").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") == 1, 0).otherwise(1)).alias("bad"))
-    # from here on at most strata * rules * (LEVELS + 1) rows
-    at_least = Window.partitionBy("stratum", "rule").orderBy(F.desc("level"))
-    sums = at_least.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("stratum", "rule")
-    counts = counts.withColumns({"k": F.sum("good").over(sums).cast("double"), "hit": F.sum("bad").over(sums), "n": F.sum("good").over(whole).cast("double")})
-    share = allowed / len(RULES)
-    tested = counts.where(F.col("level") > 0).withColumn("p_value", binomial_cdf(F.col("k"), F.col("n"), share))
-    passed = F.min((F.col("p_value") <= error / (len(RULES) * (len(STRATA) + 1))).cast("int")).over(sums)
-    tested = tested.withColumns({"passed": passed, "gain": F.col("hit") - PRICE * F.col("k")})
-    pick = Window.partitionBy("stratum", "rule").orderBy(F.desc("gain"), F.desc("level"))
-    tested = tested.where((F.col("passed") == 1) & (F.col("gain") > 0)).withColumn("nth", F.row_number().over(pick))
-    return tested.where("nth = 1").select("stratum", "rule", F.col("level").alias("cutoff"), "p_value", F.col("k").cast("long").alias("false_rejections"), F.col("n").cast("long").alias("n_good"))
+    learns = F.pmod(F.xxhash64("__id"), F.lit(LEARN)) == 0
+    held = written(held.select("stratum", (F.col("quality") == 1).alias("good"), learns.alias("learns"), *[f"l_{r}" for r in RULES]), "labelled")
+    path = _path(held)
+    # the step of the path that rejects a document first
+    step = F.lit(None).cast("int")
+    for stratum, steps in path.items():
+        at = [F.when(F.col(f"l_{rule}") >= cutoff, i * LEVELS + LEVELS - F.col(f"l_{rule}")) for i, (rule, cutoff) in enumerate(steps)]
+        step = F.when(F.col("stratum") == stratum, F.array_min(F.array(*at))).otherwise(step)
+    tests = F.col("good") & ~F.col("learns")
+    counts = held.withColumn("step", step).groupBy("stratum", "step").agg(F.count_if(tests).alias("tests"), F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    # from here on at most strata * (rules * LEVELS + 1) rows
+    sums = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("n", F.sum("tests").over(Window.partitionBy("stratum")).cast("double")).where(F.col("step").isNotNull())
+    counts = counts.withColumns({"k": F.sum("tests").over(sums).cast("double"), "gain": F.sum(F.col("bad") - PRICE * F.col("good")).over(sums)})
+    tested = counts.where("n > 0").withColumn("p_value", binomial_cdf(F.col("k"), F.col("n"), allowed))
+    passed = F.min((F.col("p_value") <= error / (len(STRATA) + 1)).cast("int")).over(sums)
+    tested = tested.withColumn("passed", passed).where((F.col("passed") == 1) & (F.col("gain") > 0))
+    best = tested.groupBy("stratum").agg(F.max_by(F.struct("step", "p_value", "k", "n"), F.struct("gain", -F.col("step"))).alias("t"))
+    rows = []
+    for stratum, (last, p_value, k, n) in best.collect():
+        for i, (rule, cutoff) in enumerate(path[stratum]):
+            if last >= i * LEVELS:
+                rows.append((stratum, rule, max(cutoff, i * LEVELS + LEVELS - last), p_value, int(k), int(n)))
+    return spark.createDataFrame(rows, "stratum string, rule string, cutoff int, p_value double, false_rejections long, n_good long")
 
 
 def judge(levelled: DataFrame, cutoffs: DataFrame) -> DataFrame:
