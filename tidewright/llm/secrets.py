@@ -1,7 +1,7 @@
 """Secret scans with a randomness battery, native.
 
 Three fixed patterns find the base spans. The method adds spans of kind ``random``: long tokens are
-read in the encoding that their characters allow, and pass if
+read in the encoding that their characters allow (runs that fit none are read in parts), and pass if
 (1) none of the tests of a chi-squared statistic of the alphabet, of runs above and below its middle, and of serial
 correlation rejects uniform randomness at BATTERY / 3, and
 (2) the likelihood ratio of uniform characters to a model of written words is large. Under the word model its
@@ -27,7 +27,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+# an equals sign is padding if no further character of a token follows; else it ends one token and another may begin
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
 # Alphabets by encoding, the first that holds a token is taken
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = {
@@ -72,6 +73,19 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
+def parted(tokens: Column) -> Column:
+    """tokens (start, end, match), those that fit no encoding replaced by their long parts between slashes, and what fits none then by its long parts between plus signs."""
+    fits = lambda x: x["match"].rlike("|".join(f"(?:{pattern})" for pattern, _ in ENCODINGS.values()))
+
+    def parts(pattern: str):
+        moved = lambda x: F.transform(located(x["match"], pattern, F.lit(True)), lambda y: F.struct((x["start"] + y["start"]).alias("start"), (x["start"] + y["end"]).alias("end"), y["match"].alias("match")))
+        return lambda x: F.when(fits(x), F.array(x)).otherwise(moved(x))
+
+    for sign in "/+":
+        tokens = F.flatten(F.transform(tokens, parts(rf"[^{sign}]{{{BANDS[0]},}}")))
+    return tokens
+
+
 def battery(tokens: Column) -> Column:
     """tokens (start, end, match) with p_random, the smallest p-value of the three tests against uniform randomness, and
     evidence, log10 of the likelihood ratio of uniform characters to written words. Built in steps whose fields later ones reuse."""
@@ -140,7 +154,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     out = df.withColumns({"__assign": assign, "__access": located(t, ACCESS, F.col("__long")), "__hex": located(t, HEX, F.col("__long")), "__tokens": located(t, TOKEN, F.col("__long"))})
     span = lambda kind: lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"))
     out = out.withColumn("base", F.concat(*[F.transform(f"__{kind}", span(kind)) for kind in KINDS[:3]]))
-    free = F.filter("__tokens", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
+    free = F.filter(parted(F.col("__tokens")), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
 
     out = out.withColumn("__free", free).withColumn("tokens", battery(F.col("__free")))
     return out.drop("__assign", "__access", "__hex", "__tokens", "__free", "__long")
