@@ -6,7 +6,7 @@ of its last word, its successor. N-grams go to shards by context and a few bits
 all others together is spread over SPREAD shards; the contents of a shard are bounded by choosing the number of shards from their count.
 A shard adds up the counts and builds its level of the trie: sorted contexts, monotone pointers to their
 successors, and the successors themselves, numbered inside their context's range, all Elias-Fano coded, beside two bytes each for
-the quantised logarithm of the smoothed weight. The levels lie in a file that is mapped into memory, and the blocks' n-grams are
+the quantised raw count; order 1 is in no level, and contexts are hashes in every level, not positions in the level below. The levels lie in a file that is mapped into memory, and the blocks' n-grams are
 looked up in it: context, its range, then the successor inside that range. Each block gets its answers back and its texts are scored.
 
 Smoothing: p_1(w) = (c(w) + 1) / (N + V + 1); p_k(w | context) = (c(context w) + M p_{k-1}) / (c(context) + M), where c(context w)
