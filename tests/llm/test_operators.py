@@ -372,6 +372,70 @@ def test_lm(docs, none):
     assert lm.score(none).count() == 0
 
 
+def test_lm_pieces_and_common_words(spark, monkeypatch):
+    """Texts cut into many pieces, and common words split over shards, score as whole ones do, up to the quantisation."""
+    rows = [(i, t) for i, t, *_ in ROWS] + [(900 + i, "the the " * (40 + i) + prose(30, i)) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(tuple(r) for r in lm.score(df).collect())
+    # the workers import the module anew, so the sizes go through the functions that they run
+    context = type("Context", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 0)})
+    monkeypatch.setattr(lm, "TaskContext", context)
+    raw = TEXTS[48].encode()
+    monkeypatch.setattr(lm, "BLOCK", 700)
+    pieces = list(lm._pieces(raw))
+    assert len(pieces) > 20 and [x[2] for x in pieces] == [False] * (len(pieces) - 1) + [True]
+    own = [p.split()[0 if c == 1 else 2 : None if last else -1] for p, c, last in pieces]
+    assert sum(own, []) == raw.split()
+    assert want == sorted(tuple(r) for r in lm.score(df.repartition(7)).collect())
+
+
+def small_trie(texts, full, shards, block):
+    """Scores by the operator's functions without Spark, for sizes that no small table reaches."""
+    import pyarrow as pa
+
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string()), "held_out": pa.array([i % 5 == 0 for i in range(len(texts))])})
+    n_texts = sum(i % 5 != 0 for i in range(len(texts)))
+    blocks = [b.to_pylist()[0] for b in lm._cut(iter(table.to_batches()))]
+    sent = [r for b in blocks for x in lm._words(1)(iter([pa.RecordBatch.from_pylist([b], lm.BLOCKS)])) for r in x.to_pylist()]
+    answers = [r for x in lm._number(1)(iter([pa.RecordBatch.from_pylist(sent, lm.SENT)])) for r in x.to_pylist()]
+    places, counts = lm._unpack_all(answers[0]["common"])
+    numbering = {0: (lm.FIRST, np.zeros(0, np.int64), np.zeros(0, np.int64))}
+    often = [(lm.START, n_texts)] * (n_texts >= full) + [(lm.FIRST + i, c) for i, c in zip(places.tolist(), counts.tolist(), strict=True) if c >= full]
+    common = tuple(np.array(x, np.int64) for x in (zip(*often, strict=True) if often else ((), ())))
+    given = {b["block"]: [{"block": b["block"], "kind": 0, "shard": 0, "body": b["tokens"]}] for b in blocks}
+    for r in answers[1:]:
+        given[r["block"]].append({"block": r["block"], "kind": 1, "shard": 0, "body": r["body"]})
+    batch = lambda rows: iter([pa.RecordBatch.from_pylist(rows)])
+    asked = defaultdict(list)
+    for rows in given.values():
+        for x in lm._ask(numbering, common, shards, n_texts, full)(batch(rows)):
+            for r in x.to_pylist():
+                asked[r["shard"]].append(r)
+    for rows in asked.values():
+        for x in lm._trie(common)(batch(rows)):
+            for r in x.to_pylist():
+                given[r["block"]].append({"block": r["block"], "kind": 2, "shard": r["shard"], "body": r["body"]})
+    total, scores, tokens = answers[0]["train"] + n_texts, defaultdict(float), Counter()
+    for rows in given.values():
+        for x in lm._score(3, numbering, common, shards, n_texts, full, total, answers[0]["known"] + 1)(batch(rows)):
+            for r in x.to_pylist():
+                scores[r["doc_id"]] += r["score"]
+                tokens[r["doc_id"]] += r["n_tokens"]
+    return scores, tokens, len(blocks), len(asked)
+
+
+def test_lm_sizes(monkeypatch):
+    monkeypatch.setattr(lm, "TaskContext", type("Context", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 0)}))
+    texts = [t or "" for t in TEXTS] + ["the the " * (40 + i) + prose(30, i) for i in range(6)]
+    whole = small_trie(texts, 1 << 40, 1, None)
+    assert whole[2] == 1
+    for block, full, shards in ((12 << 20, 30, 7), (700, 1 << 40, 3), (700, 20, 5)):
+        monkeypatch.setattr(lm, "BLOCK", block)
+        scores, tokens, n_blocks, _ = small_trie(texts, full, shards, block)
+        assert tokens == whole[1] and (n_blocks > 20) == (block == 700)
+        assert all(scores[i] == pytest.approx(x, rel=1e-9) for i, x in whole[0].items())
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for universe in (50, 10_000, 1 << 45, 1 << 64):

@@ -1,26 +1,28 @@
 """Language-model scoring by sharded Elias-Fano n-gram tries.
 
-A pass over the texts cuts them into blocks and takes from each, for every n-gram order, the distinct n-grams with their training
-counts; a second one, which must meet the rows in the same order (as a scan of files does, else it stops with an error), takes the tokens. An n-gram is the hash of its context (the words before) and the hash
-of its last word, its successor. N-grams go to shards by context and a few bits of the successor, so a context as common as
-all others together is spread over SPREAD shards; the contents of a shard are bounded by choosing the number of shards from their count.
-A shard adds up the counts and builds its level of the trie: sorted contexts, monotone pointers to their
-successors, and the successors themselves, numbered inside their context's range, all Elias-Fano coded, beside two bytes each for
-the quantised raw count; order 1 is in no level, and contexts are hashes in every level, not positions in the level below. The levels lie in a file that is mapped into memory, and the blocks' n-grams are
-looked up in it: context, its range, then the successor inside that range. Each block gets its answers back and its texts are scored.
-
-Smoothing: p_1(w) = (c(w) + 1) / (N + V + 1); p_k(w | context) = (c(context w) + M p_{k-1}) / (c(context) + M), where c(context w)
-is read from the trie, quantised from EXACT on (relative error under 0.03 %), and c(context) is the count of the context as an n-gram. Every
-training document counts, no n-gram is left out, and nothing is gathered on the driver but N and V.
+Texts are cut into blocks. A block sends its distinct words, as hashes, to shards by ranges of the hash, which number all words of
+the corpus and add up their training counts. With the numbers each block lists its distinct trigrams (of the text between a start
+and an end) with their training counts, and sends them to the shards of the trie: by first word, those of a word that is so
+common that it fills a shard of its own by the first two, and those of a pair of such words by all three.
+A shard merges the lists and builds its trie: level 1 holds the first words, level 2 their successors, level 3 the successors of those.
+A level is one monotone sequence, Elias-Fano coded: place of the parent in the level above, then the word; monotone pointers give
+each parent's range. A node of level k holds two bytes for the quantised smoothed probability u of its word after its context, and two for
+the quantised weight of lower orders after itself. The levels lie in a file that is mapped into memory; what the blocks sent is looked up level
+by level, a successor search inside the range of its parent. Each block gets the codes of its n-grams back and its texts are scored.
+
+Smoothing: p_1(w) = (c(w) + 1) / (N + V + 1), from exact counts; p_k(w | context) = u + g p_{k-1}(w | shorter context) with
+u = c(context w) / (c(context) + M) and g = M / (c(context) + M), both stored quantised (relative error of 0.01 % down to e^-10, 0.09 % below).
+So a node needs no other shard. Every training document counts, no n-gram is left out; the driver gets N, V, one row per shard of words and
+the leading words, of which there can't be more than LEADING / 2.
 
 Defined cases: a null text is empty and has one token, the end; a null doc_id counts as the empty text, so it is trained on; repeated
-rows are documents of their own; without training documents every count is 0; an empty table gives an empty result; very long
-texts are blocks of their own; columns beside id and text are ignored.
+rows are documents of their own; without training documents every count is 0; an empty table gives an empty result; a text
+longer than a block is cut at blanks into pieces that overlap by a trigram, and its pieces are added up; columns beside id and text are ignored;
+the input may come in another order each time it is read, as the blocks are written out once.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -32,13 +34,16 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 ORDER, MASS = 3, 4.0
-#: Tokens after which a block is closed, and n-grams that a shard holds on average at most.
-BLOCK, SHARD = 2_250_000, 1_500_000
-SPREAD = 16
-#: Counts up to EXACT are stored as they are, larger ones by STEPS for each factor e; two bytes reach beyond 10^15.
-EXACT, STEPS = 1024, 2300.0
-BLOCKS = "block string, order int, shard int, keys binary, counts binary, tokens long"
-END, START = 0, 1
+#: Bytes of text after which a block is closed; bytes of the corpus for each shard of words and of the trie.
+BLOCK, WORD_SHARD, TRIE_SHARD = 12 << 20, 45 << 20, 14 << 20
+#: A word is common if it has so many training tokens and one in COMMON bytes of the corpus; a token takes two bytes at least, its blank included.
+FULL, COMMON = 2_000_000, 6000
+#: Words with a training token in so many bytes of the corpus, of which there are at most half as many, get the smallest numbers, and so many words of a block.
+LEADING, FREQUENT = 100_000, 4096
+#: Codes are 1 + FINE * -ln(value) down to e^-DEEP, beyond that in steps of COARSE; 0 means absent.
+FINE, DEEP, COARSE = 5000.0, 10.0, 600.0
+END, START, NONE, FIRST = 0, 1, 2, 3
+BLANKS = b" \t\n\x0b\x0c\r"
 
 
 # --- Elias-Fano -----------------------------------------------------------------------------------------------------------------
@@ -117,8 +122,14 @@ class EliasFano:
 
         zeros = np.arange(len(self.ones)) * 64 - self.ones
         select0 = partial(self._select, zeros, words=lambda w: ~self.high[w])
-        end = select0(high) - high
-        return np.where(high > 0, select0(np.maximum(high - 1, 0)) - np.maximum(high - 1, 0), 0), end
+        at = np.where(high > 0, select0(np.maximum(high - 1, 0)) + 1, 0)
+        # the ones from there on are the bucket; where they reach the end of the word, its end is searched for
+        rest = ~(self.high[at >> 6] >> (at & 63).astype(np.uint64))
+        run = np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        end = at + run
+        over = np.flatnonzero((at & 63) + run >= 64)
+        end[over] = select0(high[over])
+        return at - high, end - high
 
     def find(self, values, lo=None, hi=None):
         """Place of each value inside [lo, hi), or -1: a successor search by high bits, then by halving on the low ones."""
@@ -132,52 +143,51 @@ class EliasFano:
         if lo is not None:
             a, b = np.maximum(a, lo), np.minimum(b, hi)
         end = b.copy()
-        while (open_ := a < b).any():
-            mid = (a + b) >> 1
-            less = open_ & (self.lows(np.minimum(mid, self.n - 1)) < want)
-            a = np.where(less, mid + 1, a)
-            b = np.where(open_ & ~less, mid, b)
+        open_ = np.flatnonzero(a < b)
+        while len(open_):
+            x, y = a[open_], b[open_]
+            mid = (x + y) >> 1
+            less = self.lows(mid) < want[open_]
+            a[open_], b[open_] = np.where(less, mid + 1, x), np.where(less, y, mid)
+            open_ = open_[a[open_] < b[open_]]
         there = a < end
         return np.where(there & (self.lows(np.minimum(a, self.n - 1)) == want), a, -1)
 
 
-def quantise(counts):
-    """Two bytes: counts up to EXACT as they are, larger ones in steps of their logarithm."""
+def quantise(values):
+    """Two bytes for numbers from 0 to 1: a relative error of 1 / (2 FINE) at most down to e^-DEEP, 1 / (2 COARSE) down to 10^-15; 0 for 0."""
     import numpy as np
 
-    counts = np.asarray(counts, np.float64)
-    return np.where(counts <= EXACT, counts, np.minimum(EXACT + np.rint(np.log(np.maximum(counts, 1) / EXACT) * STEPS), 65535)).astype(np.uint16)
+    values = np.asarray(values, np.float64)
+    x = -np.log(np.where(values > 0, values, 1))
+    codes = 1 + np.rint(np.minimum(x, DEEP) * FINE) + np.rint(np.maximum(x - DEEP, 0) * COARSE)
+    return np.where(values > 0, np.minimum(codes, 65535), 0).astype(np.uint16)
 
 
-def weights(codes):
+def value(codes, absent: float):
     import numpy as np
 
-    codes = np.asarray(codes, np.float64)
-    return np.where(codes <= EXACT, codes, EXACT * np.exp((codes - EXACT) / STEPS))
+    steps, deep = np.asarray(codes, np.float64) - 1, DEEP * FINE
+    return np.where(codes > 0, np.exp(-np.minimum(steps, deep) / FINE - np.maximum(steps - deep, 0) / COARSE), absent)
 
 
 class Level:
-    """One order's n-grams in a shard: contexts, pointers and successors relative to their context, and two bytes each."""
+    """One level of a trie: places of the parents in the level above and words, as one monotone sequence; pointers to each parent's first; two bytes each of u and g."""
 
-    SUCCESSOR = 40
-
-    def __init__(self, contexts, successors, counts):
-        """Parallel arrays of distinct n-grams, sorted by context and successor."""
+    def __init__(self, parents, words, above: int, bits: int, u, g):
+        """Parallel arrays sorted by parent and word. above: size of the level above. bits: of a word."""
         import numpy as np
 
-        own, first = np.unique(contexts, return_index=True)
-        self.contexts = EliasFano.encode(own, 1 << 64)
-        self.pointers = EliasFano.encode(np.append(first, len(contexts)), len(contexts) + 1)
-        rank = np.repeat(np.arange(len(own), dtype=np.uint64), np.diff(np.append(first, len(contexts))))
-        # the context's number is put before the successor: one monotone sequence
-        self.successors = EliasFano.encode((rank << np.uint64(self.SUCCESSOR)) | successors, max(1, len(own)) << self.SUCCESSOR)
-        self.codes = quantise(counts)
+        self.bits = np.uint64(bits)
+        self.nodes = EliasFano.encode((parents.astype(np.uint64) << self.bits) | words.astype(np.uint64), max(1, above) << bits)
+        self.pointers = EliasFano.encode(np.searchsorted(parents, np.arange(above + 1)), len(parents) + 1)
+        self.u, self.g = quantise(u), quantise(g)
 
     def mapped(self, file) -> Level:
         """The same level with its arrays mapped from a file."""
         import numpy as np
 
-        parts = [(x, k, a) for x in (self.contexts, self.pointers, self.successors) for k, a in x.arrays().items()] + [(self, "codes", self.codes)]
+        parts = [(x, k, a) for x in (self.nodes, self.pointers) for k, a in x.arrays().items()] + [(self, k, getattr(self, k)) for k in "ug"]
         places = []
         for _, _, a in parts:
             file.write(b"\0" * (-file.tell() % 8))
@@ -185,57 +195,103 @@ class Level:
             file.write(np.ascontiguousarray(a).tobytes())
         file.flush()
         for (x, k, a), at in zip(parts, places, strict=True):
-            setattr(x, k, np.memmap(file.name, a.dtype, "r", at, a.shape) if a.size else a)
+            setattr(x, k, np.asarray(np.memmap(file.name, a.dtype, "r", at, a.shape)) if a.size else a)
         return self
 
-    def look_up(self, contexts, successors):
-        """The code of each n-gram, 0 if it isn't there."""
+    def find(self, parents, words):
+        """The place of each word among the successors of its parent, -1 if it or the parent isn't there. The parents ascend."""
         import numpy as np
 
-        out = np.zeros(len(contexts), np.uint16)
-        context = self.contexts.find(contexts)
-        there = np.flatnonzero(context >= 0)
+        out = np.full(len(words), -1, np.int64)
+        there = np.flatnonzero(parents >= 0)
         if len(there):
-            context = context[there]
-            lo, hi = (self.pointers.access(context + k).astype(np.int64) for k in (0, 1))
-            place = self.successors.find((context.astype(np.uint64) << np.uint64(self.SUCCESSOR)) | successors[there], lo, hi)
-            out[there[place >= 0]] = self.codes[place[place >= 0]]
+            parents, words = parents[there], words[there]
+            new = np.flatnonzero(np.diff(parents, prepend=-1))
+            of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(parents))))
+            lo, hi = (self.pointers.access(parents[new] + k).astype(np.int64)[of] for k in (0, 1))
+            out[there] = self.nodes.find((parents.astype(np.uint64) << self.bits) | words.astype(np.uint64), lo, hi)
         return out
 
+    def codes(self, places):
+        import numpy as np
+
+        at = np.maximum(places, 0)
+        return [np.where(places >= 0, x[at] if len(x) else 0, 0).astype(np.uint16) for x in (self.u, self.g)]
+
 
 # --- packed arrays --------------------------------------------------------------------------------------------------------------
 
 
 def _pack(array) -> bytes:
-    """Compressed bytes, the first bytes of all numbers first."""
+    """Compressed bytes, the first bytes of all numbers first, without the high bytes that are 0 in all."""
     import numpy as np
     import zstandard
 
     a = np.ascontiguousarray(array)
-    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T
-    return a.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    size = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) and a.dtype.kind in "iu" and a.min() >= 0 else a.itemsize
+    planes = a.view(np.uint8).reshape(len(a), a.itemsize)[:, :size].T
+    return a.dtype.char.encode() + bytes([size]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack(raw: bytes):
     import numpy as np
     import zstandard
 
-    kind = np.dtype(raw[:1].decode())
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8)
-    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
+    kind, size = np.dtype(raw[:1].decode()), raw[1]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[2:]), np.uint8).reshape(size, -1)
+    out = np.zeros((planes.shape[1], kind.itemsize), np.uint8)
+    out[:, :size] = planes.T
+    return out.view(kind).ravel()
+
+
+def _pack_codes(codes) -> bytes:
+    """Of many equal numbers: the distinct ones, most frequent first, and which of them each is."""
+    import numpy as np
+
+    own, inverse, counts = np.unique(codes, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(own), np.uint16)
+    rank[order] = np.arange(len(own))
+    return _pack_all(own[order], rank[inverse])
+
+
+def _unpack_codes(body: bytes):
+    own, rank = _unpack_all(body)
+    return own[rank]
+
+
+def _joined(parts: list[bytes]) -> bytes:
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def _parts(body: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(body):
+        size = int.from_bytes(body[at : at + 8], "little")
+        out.append(body[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
+
+
+def _pack_all(*arrays) -> bytes:
+    return _joined([_pack(a) for a in arrays])
+
 
+def _unpack_all(body: bytes) -> list:
+    return [_unpack(x) for x in _parts(body)]
 
-def _pack_keys(keys) -> bytes:
-    """Sorted numbers as differences."""
+
+def _differences(keys):
+    """Of ascending numbers."""
     import numpy as np
 
-    return _pack(np.diff(keys, prepend=np.uint64(0)))
+    return np.diff(keys, prepend=keys.dtype.type(0))
 
 
-def _unpack_keys(raw: bytes):
+def _sums(differences):
     import numpy as np
 
-    return np.cumsum(_unpack(raw), dtype=np.uint64)
+    return np.cumsum(differences, dtype=differences.dtype)
 
 
 def _mix(a, b):
@@ -248,251 +304,418 @@ def _mix(a, b):
     return x ^ (x >> np.uint64(32))
 
 
-# --- blocks ---------------------------------------------------------------------------------------------------------------------
-
+def _range(hashes, shards: int):
+    """Equal ranges of the hash."""
+    import numpy as np
 
-class _Block:
-    def __init__(self, seen=None):
-        from array import array
+    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
-        import xxhash
 
-        self.words = {b"": END, b" ": START}
-        self.tokens, self.ends, self.ids, self.train = array("i"), array("q"), [], array("b")
-        self.seen = seen or xxhash.xxh3_128(seed=1)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    def add(self, doc_id: int | None, text: bytes) -> None:
-        self.seen.update(f"{doc_id} {len(text)} ".encode() + text)
-        words, number = self.words, len(self.words)
-        for w in text.lower().split():
-            k = words.setdefault(w, number)
-            number += k == number
-            self.tokens.append(k)
-        self.tokens.append(END)
-        self.ends.append(len(self.tokens))
-        self.ids.append(doc_id)
-        self.train.append(zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 7 != 2)
 
+# --- blocks ---------------------------------------------------------------------------------------------------------------------
 
-def _hashes(words):
+BLOCKS = pa.schema([("block", pa.string()), ("words", pa.binary()), ("tokens", pa.binary())])
+
+
+def _pieces(raw: bytes) -> Iterator[tuple[bytes, int, bool]]:
+    """A long text in pieces, each with the number of words in front that are context only, and whether it is the last one. All but the last end with a word that looks ahead."""
+    at, before = 0, b""
+    while True:
+        end = min(len(raw), at + BLOCK)
+        # up to the end of a word, and then of one more
+        for _ in range(2):
+            while end < len(raw) and raw[end] in BLANKS:
+                end += 1
+            while end < len(raw) and raw[end] not in BLANKS:
+                end += 1
+        words = raw[at:end].rsplit(None, 3)
+        last = end >= len(raw) or not raw[end:].strip(BLANKS) or len(words) < 4
+        if last:
+            yield before + raw[at:], 2 if before else 1, True
+            return
+        yield before + raw[at:end], 2 if before else 1, False
+        before, at = b" ".join(words[-3:-1]) + b" ", end - len(words[-1])
+
+
+def _split(texts):
+    """The distinct words of a string array, which of them each word is, and the number of words of each text."""
     import numpy as np
-    import xxhash
+    import pyarrow.compute as pc
 
-    # end and start are no words: words are never empty and hold no blank
-    return np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in words), np.uint64, len(words))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    some = pc.not_equal(pc.binary_length(flat), 0)
+    counts = np.diff(np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))[np.concatenate(([0], ends))])
+    flat = flat.filter(some).dictionary_encode()
+    return flat.dictionary, flat.indices.to_numpy(zero_copy_only=False), counts
 
 
-def _ngrams(tokens, ends, hashes, order: int):
-    """For each token its n-gram's context and successor hash. Before the first word of a text stand starts."""
+def _block(texts, rows, ids, held, contexts, lasts) -> tuple:
+    """One row: name, hashes and training counts of the words in order of the hash, and the words of all pieces by their numbers in that order."""
     import numpy as np
+    import xxhash
 
-    first = np.zeros(len(tokens), bool)
-    first[0] = True
-    first[ends[:-1]] = True
-    at = np.arange(len(tokens))
-    begin = np.maximum.accumulate(np.where(first, at, 0))
-    context = np.zeros(len(tokens), np.uint64)
-    for back in range(order - 1, 0, -1):
-        before = np.where(at - back >= begin, tokens[np.maximum(at - back, 0)], START)
-        context = _mix(context, hashes[before])
-    return context, hashes[tokens]
+    dictionary, tokens, counts = _split(texts)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(dictionary))
+    own, number = np.unique(hashes, return_inverse=True)
+    tokens = number[tokens].astype(np.uint32) if len(tokens) else np.zeros(0, np.uint32)
+    rows, contexts, lasts, held = (np.asarray(x) for x in (rows, contexts, lasts, held))
+    # what a piece has besides its own words is not counted: two words before, one after
+    ends = np.cumsum(counts)
+    counted = np.repeat((~held).astype(np.int8), counts)
+    for i in np.flatnonzero(contexts == 2):
+        counted[ends[i] - counts[i] : ends[i] - counts[i] + 2] = 0
+    counted[ends[~lasts] - 1] = 0
+    train = np.bincount(tokens, weights=counted, minlength=len(own)).astype(np.uint32)
+    name = f"{TaskContext.get().partitionId()}-{rows[0]}-{contexts[0]}-{xxhash.xxh3_64_hexdigest(tokens.tobytes())}"
+    null = np.array([x is None for x in ids], np.int8)
+    pieces = (rows.astype(np.int64), np.array([x or 0 for x in ids], np.int64), null, held.astype(np.int8), contexts.astype(np.int8), lasts.astype(np.int8), counts.astype(np.int64))
+    # frequent words get small numbers in front of the others, which takes fewer bytes
+    frequent = np.argsort(-np.bincount(tokens, minlength=len(own)), kind="stable")[:FREQUENT].astype(np.uint32)
+    number = np.arange(len(own), dtype=np.uint32) + np.uint32(len(frequent))
+    number[frequent] = np.arange(len(frequent))
+    return name, _pack_all(_differences(own), train), _pack_all(number[tokens], frequent, *pieces)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of doc_id, text, held_out."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    open_: list[pa.RecordBatch] = []
+    size, row = 0, TaskContext.get().partitionId() << 40
+
+    def close():
+        nonlocal row
+        if open_:
+            rows = pa.Table.from_batches(open_).combine_chunks()
+            n = rows.num_rows
+            text = pc.fill_null(rows["text"].combine_chunks(), "")
+            yield _batch([_block(text, row + np.arange(n), rows["doc_id"].to_pylist(), rows["held_out"].to_numpy(), np.ones(n, np.int8), np.ones(n, bool))], BLOCKS)
+            row += n
+        open_.clear()
+
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        for i, length in enumerate(lengths.tolist()):
+            if length > BLOCK or size + length > BLOCK:
+                if i > at:
+                    open_.append(batch.slice(at, i - at))
+                yield from close()
+                at, size = i, 0
+            if length > BLOCK:
+                raw = batch.column("text")[i].as_buffer().to_pybytes()
+                for piece, context, last in _pieces(raw):
+                    text = pa.array([piece], pa.binary()).view(pa.string())
+                    yield _batch([_block(text, [row], [batch.column("doc_id")[i].as_py()], [batch.column("held_out")[i].as_py()], [context], [last])], BLOCKS)
+                row += 1
+                at = i + 1
+            else:
+                size += length
+        if batch.num_rows > at:
+            open_.append(batch.slice(at))
+    yield from close()
 
 
-def _keyed(context, successor, order: int):
-    """Context and successor of an n-gram as they go to shards: words are single numbers, others two."""
-    import numpy as np
+# --- words ----------------------------------------------------------------------------------------------------------------------
 
-    if order == 1:
-        return successor, None
-    successor = successor >> np.uint64(64 - Level.SUCCESSOR)
-    # the successor's low bits move its context, which spreads a common one over the whole range and can be undone
-    return context + (successor % np.uint64(SPREAD)) * np.uint64((1 << 64) // SPREAD), successor
+SENT = pa.schema([("block", pa.string()), ("shard", pa.int32()), ("body", pa.binary())])
+#: Places and counts of the words that a block sent; of the shard itself number, known, train and its leading words.
+WORDS = pa.schema([("block", pa.string()), ("shard", pa.int32()), ("body", pa.binary()), ("number", pa.int64()), ("known", pa.int64()), ("train", pa.int64()), ("common", pa.binary())])
 
 
-def _distinct(context, successor, order: int):
-    """Order of the distinct n-grams, sorted, as (places, inverse)."""
-    import numpy as np
+def _words(shards: int):
+    """Of each block its words by shard."""
 
-    if order == 1:
-        _, places, inverse = np.unique(successor, return_index=True, return_inverse=True)
-        return places, inverse
-    by = np.lexsort((successor, context))
-    new = np.ones(len(by), bool)
-    new[1:] = (context[by][1:] != context[by][:-1]) | (successor[by][1:] != successor[by][:-1])
-    inverse = np.empty(len(by), np.int64)
-    inverse[by] = np.cumsum(new) - 1
-    return by[new], inverse
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, train = _unpack_all(row["words"])
+                own = _sums(own)
+                cuts = np.searchsorted(_range(own, shards), np.arange(shards + 1))
+                for s in np.flatnonzero(np.diff(cuts)):
+                    part = slice(cuts[s], cuts[s + 1])
+                    yield _batch([(row["block"], int(s), _pack_all(_differences(own[part]), train[part]))], SENT)
 
-def _shards(context, shards: int):
-    """Equal ranges of the hash, so that what a block sends to a shard lies close together and takes fewer bytes as differences."""
-    import numpy as np
+    return send
 
-    return ((context >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
+def _number(leading: int):
+    """Numbers the words of a shard from 0 in order of the hash and tells each block the numbers and counts of its own."""
 
-def _emit(block: _Block, order: int, shards: int, asked: bool) -> Iterator[tuple]:
-    """A block's tokens, or what it asks of the shards. Its name is its partition and a digest of what was read there up to its end, so both come out alike."""
-    import numpy as np
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    hashes, tokens, ends = _hashes(block.words), np.frombuffer(block.tokens, np.int32), np.frombuffer(block.ends, np.int64)
-    train = np.repeat(np.frombuffer(block.train, np.int8), np.diff(ends, prepend=0)).astype(np.int64)
-    name = f"{TaskContext.get().partitionId()}-{block.seen.hexdigest()}"
-    if not asked:
-        yield name, 0, -1, _tokens(block, tokens, ends, hashes), b"", 0
-        return
-    for k in range(1, order + 1):
-        yield from _asked(name, tokens, ends, hashes, train, k, shards)
+        rows = [(r["block"], r["shard"], *_unpack_all(r["body"])) for b in batches for r in b.to_pylist()]
+        own, inverse = np.unique(np.concatenate([_sums(r[2]) for r in rows]), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([r[3] for r in rows]), minlength=len(own)).astype(np.int64)
+        often = np.flatnonzero(total >= leading)
+        yield _batch([(None, rows[0][1], None, len(own), int((total > 0).sum()), int(total.sum()), _pack_all(often, total[often]))], WORDS)
+        at = 0
+        for block, shard, keys, _ in rows:
+            ids = inverse[at : at + len(keys)]
+            at += len(keys)
+            yield _batch([(block, shard, _pack_all(_differences(ids), total[ids]), None, None, None, None)], WORDS)
 
+    return number
 
-def _tokens(block: _Block, tokens, ends, hashes) -> bytes:
-    import numpy as np
 
-    head = np.array([len(block.ids)], np.int64)
-    ids = np.array([0 if x is None else x for x in block.ids], np.int64)
-    null = np.array([x is None for x in block.ids], np.int8)
-    parts = [_pack(x) for x in (head, ids, null, np.frombuffer(block.train, np.int8), ends, tokens, hashes)]
-    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+# --- n-grams --------------------------------------------------------------------------------------------------------------------
 
 
-def _asked(name: str, tokens, ends, hashes, train, k: int, shards: int) -> Iterator[tuple]:
-    """Per shard the block's distinct n-grams of k words and their training counts."""
-    import numpy as np
+class _Grams:
+    """The distinct trigrams of a block in the order in which they go to shards, as (w1, w2, w3) of block numbers, with training counts and shards.
 
-    context, successor = _keyed(*_ngrams(tokens, ends, hashes, k), k)
-    places, inverse = _distinct(context, successor if k > 1 else context, k)
-    counts = np.bincount(inverse, weights=train, minlength=len(places)).astype(np.uint32)
-    context, successor = context[places], successor[places] if k > 1 else None
-    shard = _shards(context, shards)
-    for part in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
-        fields = [_pack_keys(context[part])]
-        if k > 1:
-            own, index = np.unique(successor[part], return_inverse=True)
-            fields += [_pack_keys(own), _pack(index.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32))]
-        body = b"".join(len(x).to_bytes(8, "little") + x for x in fields)
-        yield name, k, int(shard[part[0]]), body, _pack(counts[part]), len(part)
+    Block numbers are END, START, NONE and then the block's words in order of their numbers in the corpus, so both order alike.
+    """
 
+    def __init__(self, tokens: bytes, answers: list[tuple[int, bytes]], numbering, common, shards: int, n_texts: int, full: int, inverse: bool):
+        import numpy as np
 
-def _read(order: int, body: bytes):
-    """The keys of what a block asks, and of n-grams the successors, which were sent as distinct ones and places among them."""
-    fields = _fields(body)
-    return _unpack_keys(fields[0]), _unpack_keys(fields[1])[_unpack(fields[2])] if order > 1 else None
+        words, frequent, self.rows, self.ids, self.null, self.held, self.contexts, lasts, counts = _unpack_all(tokens)
+        parts = [(s, *_unpack_all(body)) for s, body in sorted(answers)]
+        numbers = []
+        for shard, differences, _ in parts:
+            places, (offset, own, ids) = _sums(differences), numbering[shard]
+            number = offset + places
+            at = np.minimum(np.searchsorted(own, places), max(0, len(own) - 1))
+            numbers.append(np.where(own[at] == places, ids[at], number) if len(own) else number)
+        self.numbers = np.concatenate([np.arange(FIRST, dtype=np.int64), *numbers])
+        self.counts = np.concatenate([np.array([n_texts, n_texts, 0]), *[c for _, _, c in parts]])
+        # each piece between START, or two words, and END and NONE, or one word that looks ahead
+        self.size = counts + np.where(self.contexts == 1, 1, 0) + np.where(lasts == 1, 2, 0)
+        self.begin = np.cumsum(self.size) - self.size
+        self.seq = np.zeros(self.size.sum(), np.int64)
+        first = self.begin[self.contexts == 1]
+        self.seq[first] = START
+        ends = (self.begin + self.size)[lasts == 1]
+        self.seq[ends - 1], own = NONE, np.ones(len(self.seq), bool)
+        own[first] = own[ends - 1] = own[ends - 2] = False
+        self.seq[own] = np.concatenate((frequent, np.arange(len(self.numbers) - FIRST)))[words] + FIRST
+        # a trigram starts everywhere but at the last two of a piece
+        self.starts = np.ones(len(self.seq), bool)
+        self.starts[self.begin + self.size - 1] = self.starts[self.begin + self.size - 2] = False
+        train = np.repeat(self.held == 0, self.size)
+        train[self.begin[self.contexts == 2]] = False
+        at = np.flatnonzero(self.starts)
+        a, b, c = (self.seq[at + k] for k in range(3))
+        width = len(self.numbers).bit_length()
+        if 3 * width < 64:
+            keys = (a << (2 * width)) | (b << width) | c
+            low = np.int64((1 << width) - 1)
+            whole = lambda k: (k >> (2 * width), (k >> width) & low, k & low)
+        else:
+            pairs, pair = np.unique((a << 32) | b, return_inverse=True)
+            keys = (pair << 32) | c
+            whole = lambda k: (pairs[k >> 32] >> 32, pairs[k >> 32] & 0xFFFFFFFF, k & 0xFFFFFFFF)
+        if inverse:
+            grams, self.inverse = np.unique(keys, return_inverse=True)
+            n = np.zeros(len(grams), np.int64)
+        else:
+            keys = np.sort((keys.view(np.uint64) << np.uint64(1)) | train[at].astype(np.uint64))
+            trained, keys = (keys & np.uint64(1)).astype(np.int64), (keys >> np.uint64(1)).view(np.int64)
+            new = np.flatnonzero(np.diff(keys, prepend=-1))
+            grams, n = keys[new], np.add.reduceat(trained, new) if len(new) else np.zeros(0, np.int64)
+        w1, w2, w3 = whole(grams)
+        # shards of the pairs; pairs of common words are split by the third
+        pair = np.flatnonzero((np.diff(w1, prepend=-1) != 0) | (np.diff(w2, prepend=-1) != 0))
+        of = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(w1))))
+        p1, p2 = w1[pair], w2[pair]
+        is_common = np.isin(self.numbers, common[0]) if len(common[0]) else np.zeros(len(self.numbers), bool)
+        both = is_common[p1] & is_common[p2] & (p2 != END)
+        splits = np.where(both, np.minimum(self.counts[p1], self.counts[p2]) // full, 1)
+        hashes = _mix(self.numbers[p1].astype(np.uint64), np.where(is_common[p1], self.numbers[p2] + 1, 0).astype(np.uint64))
+        shard = hashes[of]
+        for i in np.flatnonzero(splits > 1):
+            part = slice(pair[i], pair[i + 1] if i + 1 < len(pair) else len(w1))
+            shard[part] = _mix(shard[part], _mix(self.numbers[w3[part]].astype(np.uint64), np.uint64(1)) % np.uint64(splits[i]) + np.uint64(1))
+        shard = _range(shard, shards)
+        # each part of a split pair is told the count of the pair, as that of a successor that can't be
+        extra = []
+        for i in np.flatnonzero(splits > 1):
+            count = n[pair[i] : pair[i + 1] if i + 1 < len(pair) else len(w1)].sum()
+            # parts may meet in a shard, which is told once
+            own = np.unique(_range(_mix(hashes[i], np.arange(1, splits[i] + 1).astype(np.uint64)), shards))
+            extra += [(p1[i], p2[i], count, s) for s in own]
+        if extra:
+            e1, e2, en, es = (np.array(x, np.int64) for x in zip(*extra, strict=True))
+            w1, w2, w3 = np.concatenate((w1, e1)), np.concatenate((w2, e2)), np.concatenate((w3, np.full(len(e1), START)))
+            n, shard = np.concatenate((n, en)), np.concatenate((shard, es))
+            order = np.lexsort((w3, w2, w1, shard))
+        else:
+            order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+        self.w1, self.w2, self.w3, self.n, self.shard, self.order = w1[order], w2[order], w3[order], n[order], shard[order], order
+        # within a shard, where a word and a pair come first
+        change = np.diff(self.shard, prepend=-1) != 0
+        self.new1 = change | (np.diff(self.w1, prepend=-1) != 0)
+        self.new2 = self.new1 | (np.diff(self.w2, prepend=-1) != 0)
+        self.cuts = np.flatnonzero(change)
+
+    def messages(self) -> Iterator[tuple[int, bytes]]:
+        """For each shard the block's part of the trie: words and number of children of the first two levels, words and counts of the third."""
+        import numpy as np
 
+        for lo, hi in zip(self.cuts, np.append(self.cuts[1:], len(self.shard)), strict=True):
+            one, two = np.flatnonzero(self.new1[lo:hi]), np.flatnonzero(self.new2[lo:hi])
+            children1 = np.diff(np.append(np.searchsorted(two, one), len(two)))
+            children2 = np.diff(np.append(two, hi - lo))
+            number = lambda w: self.numbers[w[lo:hi]]  # noqa: B023, E731
+            yield int(self.shard[lo]), _pack_all(number(self.w1)[one], children1, number(self.w2)[two], children2, number(self.w3), self.n[lo:hi])
 
-def _fields(body: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(body):
-        size = int.from_bytes(body[at : at + 8], "little")
-        out.append(body[at + 8 : at + 8 + size])
-        at += 8 + size
-    return out
 
+def _ask(numbering, common, shards: int, n_texts: int, full: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, tokens, answers, _ = _gathered(batches)
+        grams = _Grams(tokens, answers, numbering, common, shards, n_texts, full, False)
+        for shard, body in grams.messages():
+            yield _batch([(name, shard, body)], SENT)
 
-def _batch(rows: list[tuple], names: list[str], kinds: list):
+    return ask
 
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
+#: What a block is given: its tokens (kind 0), numbers and counts of its words (1) and codes of its n-grams (2).
+GIVEN = "block string, kind int, shard int, body binary"
 
-def _cut(order: int, shards: int, asked: bool):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
-        kinds, names = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()], ["block", "order", "shard", "keys", "counts", "tokens"]
-        block = _Block()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block.add(batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer().to_pybytes() if batch.column(1)[i].is_valid else b"")
-                if len(block.tokens) >= BLOCK:
-                    for row in _emit(block, order, shards, asked):
-                        yield _batch([row], names, kinds)
-                    block = _Block(block.seen)
-        if block.ids:
-            for row in _emit(block, order, shards, asked):
-                yield _batch([row], names, kinds)
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[str, bytes, list, list]:
+    name, tokens, given = "", None, {1: [], 2: []}
+    for batch in batches:
+        for row in batch.to_pylist():
+            name = row["block"]
+            if row["kind"]:
+                given[row["kind"]].append((row["shard"], row["body"]))
+            else:
+                tokens = row["body"]
+    return name, tokens, given[1], given[2]
 
-    return cut
 
+def _trie(common):
+    """One shard of the trie: built of all that the blocks sent, and asked for it."""
 
-def _answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard of one order: adds up the counts of all blocks, builds the level and answers each block. Of words it sends exact counts."""
-    import tempfile
+    def trie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tempfile
 
-    import numpy as np
+        import numpy as np
 
-    asked, order = [], 1
-    for batch in rows:
-        for row in batch.to_pylist():
-            order = row["order"]
-            asked.append((row["block"], row["shard"], *_read(order, row["keys"]), _unpack(row["counts"])))
-    names, kinds = ["block", "order", "shard", "answers", "known", "train"], [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-    contexts, counts = (np.concatenate([x[i] for x in asked]) for i in (2, 4))
-    if order == 1:
-        own, inverse = np.unique(contexts, return_inverse=True)
-        total = np.bincount(inverse, weights=counts, minlength=len(own)).astype(np.int64)
-        known, train, at = int((total > 0).sum()), int(total.sum()), 0
-        for i, (block, shard, keys, _, _) in enumerate(asked):
-            yield _batch([(block, order, shard, _pack(total[inverse[at : at + len(keys)]]), known if i == 0 else 0, train if i == 0 else 0)], names, kinds)
-            at += len(keys)
-        return
-    trained = counts > 0
-    contexts, successors, counts = contexts[trained], np.concatenate([x[3] for x in asked])[trained], counts[trained]
-    places, inverse = _distinct(contexts, successors, order) if len(contexts) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    total = np.bincount(inverse, weights=counts, minlength=len(places))
-    with tempfile.NamedTemporaryFile(prefix="level-") as file:
-        level = Level(contexts[places], successors[places], total).mapped(file)
-        for block, shard, keys, last, _ in asked:
-            yield _batch([(block, order, shard, _pack(level.look_up(keys, last)), 0, 0)], names, kinds)
-
-
-def _score(order: int, shards: int, n: int, v: int):
-    def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(r["block"], r["shard"], *_unpack_all(r["body"])) for b in batches for r in b.to_pylist()]
+        every = lambda i: np.concatenate([r[i] for r in rows])
+        one, at1 = np.unique(every(2), return_inverse=True)
+        key2, at2 = np.unique((np.repeat(at1, every(3)) << 40) | every(4), return_inverse=True)
+        key3, at3 = np.unique((np.repeat(at2, every(5)) << 40) | every(6), return_inverse=True)
+        c3 = np.bincount(at3, weights=every(7), minlength=len(key3))
+        word = np.int64((1 << 40) - 1)
+        parent2, two, parent3, three = key2 >> 40, key2 & word, key3 >> 40, key3 & word
+        # a pair's count is the sum over its successors, or what was sent for the whole of a split one
+        told = three == START
+        c2 = np.bincount(parent3, weights=np.where(told, 0, c3), minlength=len(two))
+        c2[parent3[told]] = c3[told]
+        c1 = np.bincount(parent2, weights=c2, minlength=len(one))
+        place = np.searchsorted(common[0], one) if len(common[0]) else np.zeros(0, np.int64)
+        if len(place):
+            place = np.minimum(place, len(common[0]) - 1)
+            c1 = np.where(common[0][place] == one, common[1][place], c1)
+        # only what was seen in training is in the trie
+        bits = max(int(x.max(initial=1)) for x in (one, two, three)).bit_length()
+        in1, in2, in3 = c1 > 0, c2 > 0, (c3 > 0) & ~told
+        rank = lambda there: np.cumsum(there) - 1
+        with tempfile.NamedTemporaryFile(prefix="trie-") as file:
+            levels = [
+                Level(np.zeros(in1.sum(), np.int64), one[in1], 1, bits, np.zeros(in1.sum()), MASS / (c1[in1] + MASS)).mapped(file),
+                Level(rank(in1)[parent2[in2]], two[in2], int(in1.sum()), bits, c2[in2] / (c1[parent2[in2]] + MASS), MASS / (c2[in2] + MASS)).mapped(file),
+                Level(rank(in2)[parent3[in3]], three[in3], int(in2.sum()), bits, c3[in3] / (c2[parent3[in3]] + MASS), np.zeros(in3.sum())).mapped(file),
+            ]
+            found1 = levels[0].find(np.zeros(len(one), np.int64), one)
+            found2 = levels[1].find(found1[parent2], two)
+            found3 = levels[2].find(found2[parent3], three)
+            (_, g1), (u2, g2), (u3, _) = (x.codes(f) for x, f in zip(levels, (found1, found2, found3), strict=True))
+        a, b, c = 0, 0, 0
+        for block, shard, x1, _, x2, _, x3, _ in rows:
+            i, j, k = (at[o : o + len(x)] for at, o, x in ((at1, a, x1), (at2, b, x2), (at3, c, x3)))
+            yield _batch([(block, shard, _joined([_pack_codes(x) for x in (g1[i], u2[j], g2[j], u3[k])]))], SENT)
+            a, b, c = a + len(x1), b + len(x2), c + len(x3)
+
+    return trie
+
+
+SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _score(order: int, numbering, common, shards: int, n_texts: int, full: int, n: int, v: int):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        body, answers = b"", {}
-        for batch in rows:
-            for row in batch.to_pylist():
-                if row["order"] == 0:
-                    body = row["body"]
-                else:
-                    answers[row["order"], row["shard"]] = row["body"]
-        _, ids, null, train, ends, tokens, hashes = map(_unpack, _fields(body))
-        cut = np.concatenate(([0], ends[:-1]))
-        p, context_count, base, seen, n_texts = None, None, None, None, 0
-        for k in range(1, order + 1):
-            context, successor = _keyed(*_ngrams(tokens, ends, hashes, k), k)
-            places, inverse = _distinct(context, successor if k > 1 else context, k)
-            found = np.concatenate([_unpack(answers[k, s]) for s in np.unique(_shards(context[places], shards))])
-            count = (found.astype(np.float64) if k == 1 else weights(found))[inverse]
-            if k == 1:
-                p = (count + 1) / (n + v + 1)
-                base, seen = np.log10(p), count > 0
-                n_texts = count[ends[0] - 1]
-            else:
-                p = (count + MASS * p) / (context_count + MASS)
-            # the count of a token's n-gram is that of the next one's context; the start of a text was seen as often as its end, once per training text
-            context_count = np.empty(len(tokens), np.float64)
-            context_count[1:] = count[:-1]
-            context_count[cut] = n_texts
-        log_p = np.log10(p)
-        sums = lambda x: np.add.reduceat(x, cut)
-        columns = [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(train == 0), pa.array(np.diff(ends, prepend=0)), pa.array(sums(seen.astype(np.int64))), pa.array(np.full(len(ids), n, np.int64)), pa.array(sums(base)), pa.array(sums(log_p))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        _, tokens, words, codes = _gathered(batches)
+        grams = _Grams(tokens, words, numbering, common, shards, n_texts, full, True)
+        parts = [[_unpack_codes(x) for x in _parts(body)] for _, body in sorted(codes)]
+        g1, u2, g2, u3 = (value(np.concatenate([p[i] for p in parts]), absent) for i, absent in enumerate((1, 0, 1, 0)))
+        # codes lie as the n-grams were sent; back to the order of the distinct ones
+        n_grams = int(grams.order.max(initial=-1)) + 1
+        of1, of2, back = np.cumsum(grams.new1) - 1, np.cumsum(grams.new2) - 1, np.empty(n_grams, np.int64)
+        back[grams.order] = np.arange(n_grams)
+        at = np.full(len(grams.seq), -1, np.int64)
+        at[grams.starts] = back[grams.inverse]
+        scored = np.ones(len(grams.seq), bool)
+        scored[grams.begin] = scored[grams.begin + grams.size - 1] = False
+        scored[grams.begin[grams.contexts == 2] + 1] = False
+        j = np.flatnonzero(scored)
+        count = grams.counts[grams.seq[j]]
+        p1 = (count + 1) / (n + v + 1)
+        pair = at[j - 1]
+        p = low = u2[of2[pair]] + g1[of1[pair]] * p1
+        if order > 2:
+            # the first word of a text has START twice before it, which is as good as once
+            first = grams.seq[j - 1] == START
+            gram = np.where(first, pair, at[np.maximum(j - 2, 0)])
+            p = np.where(first, u2[of2[pair]] + g1[of1[pair]] * low, u3[gram] + g2[of2[gram]] * low)
+        piece = np.repeat(np.arange(len(grams.size)), grams.size)[j]
+        sums = lambda x: np.bincount(piece, weights=x, minlength=len(grams.size))
+        columns = [pa.array(grams.rows), pa.array(grams.ids, mask=grams.null.astype(bool)), pa.array(grams.held == 1), pa.array(np.bincount(piece, minlength=len(grams.size))), pa.array(sums(count > 0).astype(np.int64)), pa.array(sums(np.log10(p1))), pa.array(sums(np.log10(p)))]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return score
 
 
 def score(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    shards = max(8, order * size // 8 // SHARD)
-    asked = docs.mapInArrow(_cut(order, shards, True), BLOCKS)
-    found = asked.groupBy("order", "shard").applyInArrow(_answer, "block string, order int, shard int, answers binary, known long, train long")
-    found = written(found, "answers")
-    n, v = (x or 0 for x in found.agg(F.sum("train"), F.sum("known")).first())
-    # the tokens are cut again: kept from the first pass, they and the n-grams would take as much disk as the shuffle
-    tokens = docs.mapInArrow(_cut(order, shards, False), BLOCKS)
-    both = tokens.select("block", "order", "shard", F.col("keys").alias("body")).union(found.select("block", "order", "shard", F.col("answers").alias("body")))
-    return both.groupBy("block").applyInArrow(_score(order, shards, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row. order: 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("the trie has three levels; order is 2 or 3")
+    import numpy as np
+
+    held = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), held.alias("held_out"))
+    size, n_texts = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.count_if(~F.col("held_out"))).first()
+    size = size or 0
+    full = max(FULL, size // COMMON)
+    blocks = written(docs.mapInArrow(_cut, "block string, words binary, tokens binary"), "blocks")
+    sent = blocks.select("block", "words").mapInArrow(_words(max(8, size // WORD_SHARD)), "block string, shard int, body binary")
+    words = sent.groupBy("shard").applyInArrow(_number(max(1, size // LEADING)), "block string, shard int, body binary, number long, known long, train long, common binary")
+    words = written(words, "words")
+    sizes = {r["shard"]: r for r in words.where("number is not null").select("shard", "number", "known", "train", "common").collect()}
+    leading = sorted((-c, s, i) for s, r in sizes.items() for i, c in zip(*(x.tolist() for x in _unpack_all(r["common"])), strict=True))
+    n, v, at, numbering = n_texts, int(n_texts > 0), FIRST + len(leading), {}
+    ids = {(s, i): FIRST + k for k, (_, s, i) in enumerate(leading)}
+    for s in sorted(sizes):
+        own = sorted((i, k) for (shard, i), k in ids.items() if shard == s)
+        numbering[s] = (at, *(np.array(x, np.int64) for x in (zip(*own, strict=True) if own else ((), ()))))
+        at, n, v = at + sizes[s]["number"], n + sizes[s]["train"], v + sizes[s]["known"]
+    often = sorted([(START, n_texts)] * (n_texts >= full) + [(ids[s, i], -c) for c, s, i in leading if -c >= full])
+    common = tuple(np.array(x, np.int64) for x in (zip(*often, strict=True) if often else ((), ())))
+    shards = max(8, size // TRIE_SHARD)
+    given = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("shard"), F.col("tokens").alias("body"))
+    given = given.union(words.where("block is not null").select("block", F.lit(1).alias("kind"), "shard", "body"))
+    asked = given.groupBy("block").applyInArrow(_ask(numbering, common, shards, n_texts, full), "block string, shard int, body binary")
+    codes = asked.groupBy("shard").applyInArrow(_trie(common), "block string, shard int, body binary")
+    given = given.union(codes.select("block", F.lit(2).alias("kind"), "shard", "body"))
+    pieces = given.groupBy("block").applyInArrow(_score(order, numbering, common, shards, n_texts, full, n, v), SCORES)
+    # the pieces of a long text are added up; all others are alone in their group
+    out = pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
