@@ -35,7 +35,7 @@ from .common import table, written
 
 ORDER, MASS = 3, 4.0
 #: Bytes of text after which a block is closed; bytes of the corpus for each shard of words and of the trie.
-BLOCK, WORD_SHARD, TRIE_SHARD = 12 << 20, 45 << 20, 14 << 20
+BLOCK, WORD_SHARD, TRIE_SHARD = 10 << 20, 45 << 20, 8 << 20
 #: A word is common if it has so many training tokens and one in COMMON bytes of the corpus; a token takes two bytes at least, its blank included.
 FULL, COMMON = 2_000_000, 6000
 #: Words with a training token in so many bytes of the corpus, of which there are at most half as many, get the smallest numbers, and so many words of a block.
@@ -603,12 +603,23 @@ def _trie(common):
 
         import numpy as np
 
-        rows = [(r["block"], r["shard"], *_unpack_all(r["body"])) for b in batches for r in b.to_pylist()]
-        every = lambda i: np.concatenate([r[i] for r in rows])
-        one, at1 = np.unique(every(2), return_inverse=True)
-        key2, at2 = np.unique((np.repeat(at1, every(3)) << 40) | every(4), return_inverse=True)
-        key3, at3 = np.unique((np.repeat(at2, every(5)) << 40) | every(6), return_inverse=True)
-        c3 = np.bincount(at3, weights=every(7), minlength=len(key3))
+        rows, parts = [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                parts.append(_unpack_all(r["body"]))
+                rows.append((r["block"], r["shard"], *(len(parts[-1][i]) for i in (0, 2, 4))))
+        columns = list(zip(*parts, strict=True))
+        parts.clear()
+
+        def every(i: int):
+            out = np.concatenate(columns[i])
+            columns[i] = ()
+            return out
+
+        one, at1 = np.unique(every(0), return_inverse=True)
+        key2, at2 = np.unique((np.repeat(at1, every(1)) << 40) | every(2), return_inverse=True)
+        key3, at3 = np.unique((np.repeat(at2, every(3)) << 40) | every(4), return_inverse=True)
+        c3 = np.bincount(at3, weights=every(5), minlength=len(key3))
         word = np.int64((1 << 40) - 1)
         parent2, two, parent3, three = key2 >> 40, key2 & word, key3 >> 40, key3 & word
         # a pair's count is the sum over its successors, or what was sent for the whole of a split one
@@ -635,10 +646,10 @@ def _trie(common):
             found3 = levels[2].find(found2[parent3], three)
             (_, g1), (u2, g2), (u3, _) = (x.codes(f) for x, f in zip(levels, (found1, found2, found3), strict=True))
         a, b, c = 0, 0, 0
-        for block, shard, x1, _, x2, _, x3, _ in rows:
-            i, j, k = (at[o : o + len(x)] for at, o, x in ((at1, a, x1), (at2, b, x2), (at3, c, x3)))
+        for block, shard, n1, n2, n3 in rows:
+            i, j, k = at1[a : a + n1], at2[b : b + n2], at3[c : c + n3]
             yield _batch([(block, shard, _joined([_pack_codes(x) for x in (g1[i], u2[j], g2[j], u3[k])]))], SENT)
-            a, b, c = a + len(x1), b + len(x2), c + len(x3)
+            a, b, c = a + n1, b + n2, c + n3
 
     return trie
 
