@@ -42,6 +42,7 @@ FULL, COMMON = 2_000_000, 6000
 LEADING, FREQUENT = 100_000, 4096
 #: Codes are 1 + FINE * -ln(value) down to e^-DEEP, beyond that in steps of COARSE; 0 means absent.
 FINE, DEEP, COARSE = 5000.0, 10.0, 600.0
+ABSENT = -(1 << 20)
 END, START, NONE, FIRST = 0, 1, 2, 3
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -203,13 +204,15 @@ class Level:
         import numpy as np
 
         out = np.full(len(words), -1, np.int64)
-        there = np.flatnonzero(parents >= 0)
-        if len(there):
-            parents, words = parents[there], words[there]
-            new = np.flatnonzero(np.diff(parents, prepend=-1))
-            of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(parents))))
-            lo, hi = (self.pointers.access(parents[new] + k).astype(np.int64)[of] for k in (0, 1))
-            out[there] = self.nodes.find((parents.astype(np.uint64) << self.bits) | words.astype(np.uint64), lo, hi)
+        # so many at a time stay in the cache
+        for i in range(0, len(words), 1 << 16):
+            there = i + np.flatnonzero(parents[i : i + (1 << 16)] >= 0)
+            if len(there):
+                parent = parents[there]
+                new = np.flatnonzero(np.diff(parent, prepend=-1))
+                of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(parent))))
+                lo, hi = (self.pointers.access(parent[new] + k).astype(np.int64)[of] for k in (0, 1))
+                out[there] = self.nodes.find((parent.astype(np.uint64) << self.bits) | words[there].astype(np.uint64), lo, hi)
         return out
 
     def codes(self, places):
@@ -250,9 +253,9 @@ def _pack_codes(codes) -> bytes:
 
     own, inverse, counts = np.unique(codes, return_inverse=True, return_counts=True)
     order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(own), np.uint16)
+    rank = np.empty(len(own), np.uint16 if len(own) < 1 << 16 else np.uint32)
     rank[order] = np.arange(len(own))
-    return _pack_all(own[order], rank[inverse])
+    return _pack_all(own[order], rank[inverse.ravel()])
 
 
 def _unpack_codes(body: bytes):
@@ -491,7 +494,7 @@ class _Grams:
         # each piece between START, or two words, and END and NONE, or one word that looks ahead
         self.size = counts + np.where(self.contexts == 1, 1, 0) + np.where(lasts == 1, 2, 0)
         self.begin = np.cumsum(self.size) - self.size
-        self.seq = np.zeros(self.size.sum(), np.int64)
+        self.seq = np.zeros(self.size.sum(), np.int32)
         first = self.begin[self.contexts == 1]
         self.seq[first] = START
         ends = (self.begin + self.size)[lasts == 1]
@@ -504,25 +507,30 @@ class _Grams:
         train = np.repeat(self.held == 0, self.size)
         train[self.begin[self.contexts == 2]] = False
         at = np.flatnonzero(self.starts)
-        a, b, c = (self.seq[at + k] for k in range(3))
+        nth = lambda k: self.seq[at + k].astype(np.int64)
         width = len(self.numbers).bit_length()
         if 3 * width < 64:
-            keys = (a << (2 * width)) | (b << width) | c
+            keys = nth(0) << width
+            keys |= nth(1)
+            keys <<= width
+            keys |= nth(2)
             low = np.int64((1 << width) - 1)
             whole = lambda k: (k >> (2 * width), (k >> width) & low, k & low)
         else:
-            pairs, pair = np.unique((a << 32) | b, return_inverse=True)
-            keys = (pair << 32) | c
+            pairs, pair = np.unique((nth(0) << 32) | nth(1), return_inverse=True)
+            keys = (pair << 32) | nth(2)
             whole = lambda k: (pairs[k >> 32] >> 32, pairs[k >> 32] & 0xFFFFFFFF, k & 0xFFFFFFFF)
         if inverse:
             grams, self.inverse = np.unique(keys, return_inverse=True)
-            n = np.zeros(len(grams), np.int64)
+            n = np.zeros(len(grams), np.int32)
         else:
             keys = np.sort((keys.view(np.uint64) << np.uint64(1)) | train[at].astype(np.uint64))
-            trained, keys = (keys & np.uint64(1)).astype(np.int64), (keys >> np.uint64(1)).view(np.int64)
+            trained, keys = (keys & np.uint64(1)).astype(np.int32), (keys >> np.uint64(1)).view(np.int64)
             new = np.flatnonzero(np.diff(keys, prepend=-1))
-            grams, n = keys[new], np.add.reduceat(trained, new) if len(new) else np.zeros(0, np.int64)
-        w1, w2, w3 = whole(grams)
+            grams, n = keys[new], np.add.reduceat(trained, new) if len(new) else np.zeros(0, np.int32)
+        del keys, at, train
+        w1, w2, w3 = (w.astype(np.int32) for w in whole(grams))
+        del grams
         # shards of the pairs; pairs of common words are split by the third
         pair = np.flatnonzero((np.diff(w1, prepend=-1) != 0) | (np.diff(w2, prepend=-1) != 0))
         of = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(w1))))
@@ -550,6 +558,7 @@ class _Grams:
             order = np.lexsort((w3, w2, w1, shard))
         else:
             order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+        del of, hashes
         self.w1, self.w2, self.w3, self.n, self.shard, self.order = w1[order], w2[order], w3[order], n[order], shard[order], order
         # within a shard, where a word and a pair come first
         change = np.diff(self.shard, prepend=-1) != 0
@@ -645,6 +654,9 @@ def _trie(common):
             found2 = levels[1].find(found1[parent2], two)
             found3 = levels[2].find(found2[parent3], three)
             (_, g1), (u2, g2), (u3, _) = (x.codes(f) for x, f in zip(levels, (found1, found2, found3), strict=True))
+        # u is sent by its distance from the parent's g, which depends on little but the n-gram's own count
+        u2, u3 = (np.where(u > 0, u.astype(np.int32) - g[of], ABSENT) for u, g, of in ((u2, g1, parent2), (u3, g2, parent3)))
+        del found1, found2, found3, levels, c1, c2, c3, key2, key3, parent2, parent3, two, three
         a, b, c = 0, 0, 0
         for block, shard, n1, n2, n3 in rows:
             i, j, k = at1[a : a + n1], at2[b : b + n2], at3[c : c + n3]
@@ -664,11 +676,15 @@ def _score(order: int, numbering, common, shards: int, n_texts: int, full: int,
         _, tokens, words, codes = _gathered(batches)
         grams = _Grams(tokens, words, numbering, common, shards, n_texts, full, True)
         parts = [[_unpack_codes(x) for x in _parts(body)] for _, body in sorted(codes)]
-        g1, u2, g2, u3 = (value(np.concatenate([p[i] for p in parts]), absent) for i, absent in enumerate((1, 0, 1, 0)))
+        g1, u2, g2, u3 = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        of1, of2 = (np.cumsum(new, dtype=np.int32) - 1 for new in (grams.new1, grams.new2))
+        u2, u3 = (np.where(u != ABSENT, u + g[of], 0) for u, g, of in ((u2, g1, of1[grams.new2]), (u3, g2, of2)))
+        g1, u2, g2, u3 = (value(x, absent).astype(np.float32) for x, absent in ((g1, 1), (u2, 0), (g2, 1), (u3, 0)))
         # codes lie as the n-grams were sent; back to the order of the distinct ones
         n_grams = int(grams.order.max(initial=-1)) + 1
-        of1, of2, back = np.cumsum(grams.new1) - 1, np.cumsum(grams.new2) - 1, np.empty(n_grams, np.int64)
+        back = np.empty(n_grams, np.int64)
         back[grams.order] = np.arange(n_grams)
+        del parts
         at = np.full(len(grams.seq), -1, np.int64)
         at[grams.starts] = back[grams.inverse]
         scored = np.ones(len(grams.seq), bool)
