@@ -14,12 +14,14 @@ than a shingle have one shingle; repeated rows and equal ids count as copies; ro
 a component from the others in it (null if none has an id); an empty table gives an empty result; further columns pass through
 fingerprinted(), whose own column replaces one of the same name.
 
-deduplicate(), the stage, doesn't use fingerprints: at a similarity of 0.8 they differ in some 10 of 64 bits, which no ball reaches.
-Two texts are near copies if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Texts with equal sets are one
-from the start. Candidates share a band of minima (MinHash): at 0.8 a pair is missed with probability (1 - 0.8^ROWS)^BANDS,
-under 0.0001. All candidates that could join two components are verified on the whole sets: first each with one member of its
-band's bucket, which joins large groups at a cost in proportion to their size, then every pair of a bucket that is still in two
-components, so the number of those pairs grows with the square of a bucket only where its texts are not near copies of each other.
+deduplicate(), the stage, doesn't use fingerprints: at a similarity of 0.8 they differ in some 10 of 64 bits, which no ball reaches
+(half the radius alone gives 8 million variants each). Two texts are near copies if their sets of 5-word shingles have a Jaccard
+similarity of 0.8 or more. Texts with equal sets are one from the start. Candidates share a band of minima (MinHash): at 0.8 a pair is missed with
+probability (1 - 0.8^ROWS)^BANDS, under 0.001. All candidates that could join two components are verified on the whole sets: first each with
+one member of its band's bucket, which joins large groups at a cost in proportion to their size. Buckets that still hold several
+components are joined into clusters, which are compared in whole: cut into blocks of BLOCK sets, each pair of blocks in a task that counts shared
+shingles by postings and returns only the links that join components. A cluster of n sets so sends n * n / BLOCK rows and returns
+no more than 2 BLOCK a task; this part grows with the square of a cluster, whose members are candidates but not near copies of each other.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ from .common import table, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: The stage's words a shingle and least similarity, as a fraction; bands of so many minima each.
-STAGE_SHINGLE, SIMILAR, BANDS, ROWS = 5, (4, 5), 24, 5
+STAGE_SHINGLE, SIMILAR, BANDS, ROWS = 5, (4, 5), 40, 8
+#: Sets in a block that are compared with those of another in one task.
+BLOCK = 1000
 #: A text is split into words by so many bytes at a time.
 CHUNK = 1 << 20
 #: Variants by one flip or none, 130 for each fingerprint, per partition of the join that finds collisions; the others stream past them.
@@ -224,22 +228,64 @@ def _sets(texts):
     return pa.array([shingle_set(x.as_py() if x.is_valid else b"").tobytes() for x in texts.cast(pa.binary())], pa.binary())
 
 
+def _similar_sizes(both, a, b):
+    """Whether sets of a and b hashes that share so many are similar."""
+    part, whole = SIMILAR
+    return whole * both >= part * (a + b - both)
+
+
 @F.arrow_udf(BooleanType())
 def _similar(a, b):
     import numpy as np
     import pyarrow as pa
 
     def similar(x: bytes, y: bytes) -> bool:
-        n, (part, whole) = (len(x) + len(y)) // 8, SIMILAR
+        n, m = len(x) // 8, len(y) // 8
         # no more can be shared than the smaller set holds
-        if whole * min(len(x), len(y)) < part * max(len(x), len(y)):
+        if not _similar_sizes(min(n, m), n, m):
             return False
-        both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-        return whole * both >= part * (n - both)
+        return _similar_sizes(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)), n, m)
 
     return pa.array([similar(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.bool_())
 
 
+def _compare(table):
+    """Links (a, b) between the sets of two blocks (side 0 and 1, or all of one block) by which all that are similar are connected, beyond what their roots connect already."""
+    import numpy as np
+    import pyarrow as pa
+
+    own = {r["set"]: r for r in table.to_pylist()}
+    same = table["i"][0].as_py() == table["j"][0].as_py()
+    one, two = ([r for r in own.values() if same or r["side"] == k] for k in (0, 1))
+    out: list[tuple[int, int]] = []
+    joined: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while joined.get(x, x) != x:
+            joined[x] = joined.get(joined[x], joined[x])
+            x = joined[x]
+        return x
+
+    if one and two:
+        sets = [np.frombuffer(r["hashes"], np.uint64) for r in one]
+        owner, hashes = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        by = np.argsort(hashes, kind="stable")
+        owner, hashes, sizes = owner[by], hashes[by], np.array([len(x) for x in sets])
+        for row in two:
+            x = np.frombuffer(row["hashes"], np.uint64)
+            lo, n = np.searchsorted(hashes, x), np.searchsorted(hashes, x, side="right")
+            n -= lo
+            # the postings of all hashes of x, one after the other
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            for k in np.flatnonzero(_similar_sizes(both, sizes, len(x))).tolist():
+                a, b = root(one[k]["root"]), root(row["root"])
+                if a != b:
+                    joined[max(a, b)] = min(a, b)
+                    out.append((one[k]["set"], row["set"]))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of set ids those that are similar."""
     side = lambda name: sets.select(F.col("set").alias(name), F.col("hashes").alias(f"__{name}"))
@@ -248,8 +294,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_copies(sketches: DataFrame, sets_of) -> DataFrame:
-    """For each set id that is a near copy of another its root, as components() gives them. sketches: set and bands; sets_of(ids): a table of set and hashes."""
-    keys = written(sketches.select("set", F.explode("bands").alias("key")).distinct(), "bands")
+    """For each set id that is a near copy of another its root, as components() gives them. sketches: set and bands, one row each; sets_of(ids): a table of set and hashes."""
+    keys = written(sketches.select("set", F.explode("bands").alias("key")), "bands")
     # each bucket has a centre of its own, so a large group gets as many as it has buckets
     mixed = F.struct(F.xxhash64("set", "key").alias("h"), "set")
     centres = keys.groupBy("key").agg(F.min(mixed)["set"].alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -258,10 +304,19 @@ def near_copies(sketches: DataFrame, sets_of) -> DataFrame:
     edges = _verified(shared.where("set != b").select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")), sets)
     roots = components(edges)
     placed = shared.select("key", "set").join(roots, F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("root", "set").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
     placed = written(placed.join(split, "key"), "split")
-    other = placed.select("key", F.col("set").alias("b"), F.col("root").alias("other"))
-    more = _verified(placed.join(other, "key").where("set < b and root != other").select(F.col("set").alias("a"), "b"), sets)
+    if placed.isEmpty():
+        return roots
+    # what buckets with several components connect is compared in whole, block by block
+    clusters = components(placed.where("root != lo").select(F.col("lo").alias("a"), F.col("root").alias("b")).distinct())
+    members = placed.select("set", "root").distinct().join(clusters.select("node", F.col("root").alias("cluster")), F.col("root") == F.col("node")).drop("node")
+    members = written(members, "members")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("set", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = members.join(sizes, "cluster").join(sets, "set").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "set", "root", "hashes")
+    more = written(dealt.groupBy("cluster", "i", "j").applyInArrow(_compare, "a long, b long"), "similar")
     return roots if more.isEmpty() else components(edges.union(more))
 
 
@@ -270,15 +325,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     digest = F.xxhash64("text")
     sketched = docs.select("doc_id", digest.alias("digest"), _sketches("text").alias("s"))
     sketched = written(sketched.select("doc_id", "digest", "s.set", "s.bands"), "sketches")
-    first = written(sketched.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first")), "first")
+    rows = sketched.groupBy("set", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = written(rows.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n")).alias("first")), "first")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         held = ids.join(first, "set").select("set", F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
         texts = docs.select("doc_id", "text").join(held, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
         return texts.dropDuplicates(["set"]).select("set", _sets("text").alias("hashes"))
 
-    roots = near_copies(sketched.select("set", "bands"), sets_of)
+    roots = near_copies(sketched.groupBy("set").agg(F.first("bands").alias("bands")), sets_of)
     named = first.join(roots, F.col("set") == F.col("node"), "left").select(F.coalesce("root", "set").alias("root"), "first")
     stay = named.groupBy("root").agg(F.min("first").alias("first"))
-    stay = stay.select(F.col("root").alias("__root"), F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest"))).dropDuplicates(["__root"]).drop("__root", "__id", "__digest")
+    stay = written(stay.select(F.col("root").alias("__root"), F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"), F.col("first.n").alias("__n")), "stay")
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
+    # only rows that are alike in id and text need to be told apart
+    kept = kept.where("__n = 1").union(kept.where("__n > 1").dropDuplicates(["__root"]))
+    return kept.drop("__root", "__id", "__digest", "__n")
