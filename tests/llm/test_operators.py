@@ -339,6 +339,30 @@ def test_pii(spark):
     assert len(set(got[7].split())) == 1 and len(got[7].split()) == 2000
 
 
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_pii_names_and_ibans(spark):
+    rows = [(1, "Frau Müller met Frau Anna Müller. Anna Müller left, and Dr Anna Müller came"), (2, "Mr Alex Kim wrote; Alex Kim signed. Alexa Kimball did not"), (3, "Ms Alex Kim"), (None, "Herr JAN SMIT"), (None, "Herr JAN SMIT"), (4, "pay DE89 3704 0044 0532 0130 00 or DE88370400440532013000")]
+    got = [r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).orderBy(F.col("doc_id").asc_nulls_first()).collect()]
+    assert got[0] == got[1] and re.fullmatch(r"Herr [A-Z]+ [A-Z]+", got[0]) and "SMIT" not in got[0]
+    alone, first, again = re.fullmatch(r"Frau (\S+) met Frau (\S+ \S+)\. (\S+ \S+) left, and Dr (?:\S+ \S+) came", got[2]).groups()
+    assert first == again and first in got[2].split("Dr ")[1] and first.split()[1] == alone and first.split()[0] in pii.NAMES["latin_f"].split()
+    kim, signed = re.fullmatch(r"Mr (\S+ \S+) wrote; (\S+ \S+) signed\. Alexa Kimball did not", got[3]).groups()
+    assert kim == signed and kim.split()[0] in pii.NAMES["latin_n"].split() and got[4] == f"Ms {kim}"
+    good, bad = re.fullmatch(r"pay (DE[\d ]+) or (DE\d+)", got[5]).groups()
+    assert len(good) == 27 and mod97(good.replace(" ", "")) == 1 and mod97(bad) == mod97("DE88370400440532013000") and good != rows[5][1][4:31]
+
+
+def test_pii_names_grow(spark):
+    """More names than the lists hold, all of them words without digits, all distinct, first names of one last name as well."""
+    rows = [(pii.LAST_NAME, f"name{i}", "") for i in range(3000)] + [(pii.FIRST_NAME, f"smith\nfirst{i}", "f") for i in range(400)]
+    got = pii.distinct_surrogates(spark.createDataFrame(rows, "kind int, entity string, gender string"), "k").collect()
+    assert len({(r["kind"], r["surrogate"]) for r in got}) == len(rows) and all(re.fullmatch(r"[a-z-]+", r["surrogate"]) for r in got)
+    assert all(x in {n.lower() for n in pii.NAMES["latin_f"].split()} for r in got if r["kind"] == pii.FIRST_NAME for x in r["surrogate"].split("-"))
+
+
 def test_pii_surrogates_are_distinct(spark):
     rows = [(1, f"10.0.{i // 250}.{i % 250}", "") for i in range(5000)] + [(6, f"anna {x}", "f") for x in VOCABULARY]
     df = spark.createDataFrame(rows, "kind int, entity string, gender string").distinct()

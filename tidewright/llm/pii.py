@@ -1,21 +1,24 @@
 """PII surrogates, native.
 
 Entities are found by one pattern per type and get replacements that are keyed (a SHA-256 of key, type and entity), of the same
-type (digits for digits, a card's check digit right or wrong as it was, addresses in range, names of the same gender and script) and
-of each mention's own format (separators, brackets, letter case). A mention is reduced to its entity first: digits of a number,
+type (digits for digits, the check digits of cards and IBANs right or wrong as they were, addresses in range, names of the same gender and
+script) and of each mention's own format (separators, brackets, letter case). A mention is reduced to its entity first: digits of a number,
 lower case of an address or name; so all mentions of an entity, in whatever format, share a surrogate.
+A person is found after a title, and then wherever the same text has the same name again without one. A name is two entities, the last name
+and the first name of that last name: so "Frau Müller" and "Frau Anna Müller" share the last name's surrogate. The gender of a first name is that
+of all titles that it has with that last name in the corpus; unknown if they disagree.
 Distinctness: all entities of the corpus, one row each, are checked for equal surrogates and for surrogates that are entities of
-the corpus themselves; but for one of each, those draw again with the next attempt number, until there are none; after
-ATTEMPTS draws the surrogate is lengthened by characters of the digest, which leaves no chance worth naming.
+the corpus themselves; but for one of each, those draw again with the next attempt number, until there are none. Each
+attempt lengthens names, addresses and numbers by a part of its own, so the space grows with the entities.
 
-Defined cases: a null text stays null; texts without entities stay as they are, to the byte; repeated rows get equal texts; an
-entity that a third of the documents mention is one row, and joins on entities may split its mentions; an empty table gives an empty
+Defined cases: a null text stays null; texts without entities stay as they are, to the byte; repeated rows get equal texts; a null id is
+an id like others; an entity that a third of the documents mention is one row, and joins on entities may split its mentions; an empty table gives an empty
 result; further columns pass through, and those added here replace others of the same name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -32,6 +35,7 @@ PATTERNS = {
     "person": rf"(?:(?<=\b(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? ))\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 TYPES = tuple(PATTERNS)
+PERSON = TYPES.index("person")
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text in which this is not found holds no entity; the search is much cheaper.
 HINT = rf"[0-9@]|\b(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\b"
@@ -40,17 +44,19 @@ NAMES = {
     "latin_f": "Anna Clara Diane Elena Emma Greta Hanna Ines Julia Karin Laura Lucia Maria Nadia Nora Paula Petra Rosa Sarah Sonia Teresa Ursula Vera Zoe",
     "latin_m": "Adam Albert Bruno Carlos David Emil Felix Georg Hugo Ivan Jakob Karl Leon Lukas Martin Nico Oscar Paul Peter Rafael Simon Thomas Victor Walter",
     "latin_n": "Alex Andrea Ariel Charlie Chris Dominique Eden Jamie Jordan Jules Kai Kim Lee Lou Marlow Max Morgan Noa Quinn Robin Sascha Sidney Toni Val",
-    "latin_last": "Adler Arnaud Baker Bauer Bernard Blanco Carter Castro Dubois Ebert Fischer Fontaine Garner Girard Herrera Hoffmann Keller Lambert Lang Marin Mercer Molina Navarro Parker Pascal Renard Romero Sanders Schubert Seidel Torres Walker",
     "cyrillic_f": "Алина Анна Вера Дарья Елена Зоя Ирина Ксения Лидия Мария Нина Ольга Полина Софья Тамара Юлия",
     "cyrillic_m": "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Олег Павел Роман Степан Тимур Юрий",
     "cyrillic_n": "Женя Саша Валя Слава",
-    "cyrillic_last": "Белых Бондаренко Гончаренко Долгих Живаго Коваленко Кравченко Литвиненко Лысенко Марченко Павленко Савченко Седых Ткаченко Черных Шевченко",
 }
+# Parts of which last names are built, by script: one beginning, one middle more each attempt, one ending that fits any gender
+LAST = {
+    "latin": ("Al Ar Ba Be Bo Bra Ca Cor Da De Do Fa Fer Ga Gre Ha Hol Ja Ke Kro La Lo Ma Mer Mo Na Nor Pa Per Ra Ro Sa Sol Ta Tor Va Ver Wa Wil Zan", "ba be bi da de di do ga ge la le li lo ma me mi mo na ne ni no ra re ri ro sa se so ta te ti to va ve vi", "bert der din feld ger hardt kins land ler lin man mer mont nard ner rell ren rick sen ser son stein ton ville vin well"),
+    "cyrillic": ("Ба Бе Бо Ва Ве Га Го Да До За Ка Ко Кра Ла Ли Ло Ма Ми Мо На Но Па Пе Ра Ро Са Се Си Та То Фе Ха Ша", "ба бе ва ве га да де за ка ла ле ли ло ма ме ми на не ни но ра ре ри ро са се та те ти то", "бенко вченко женко ленко менко ненко ренко сенко тенко чук щук ных ских тых дзе швили"),
+}
+#: Attempts after which addresses and numbers get longer.
 ATTEMPTS = 8
-
-
-def _hits(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+#: What is an entity: the types, and names in two parts.
+LAST_NAME, FIRST_NAME = len(PATTERNS), len(PATTERNS) + 1
 
 
 def _kind(mention: Column) -> Column:
@@ -66,15 +72,31 @@ def _entity(kind: Column, mention: Column) -> Column:
     return F.when(digits, F.regexp_replace(mention, "[^0-9]", "")).when(kind == TYPES.index("iban"), F.regexp_replace(mention, " ", "")).otherwise(F.lower(mention))
 
 
+def _found(df: DataFrame, t: Column, pattern: Column) -> DataFrame:
+    """df with __gaps, what stands between matches of the pattern, and __mentions (kind, entity, gender, mention)."""
+    found = _extracted(t, pattern)
+    by_title = lambda gap: F.when(gap.rlike(rf"\b(?:{TITLES_F})\.? $"), "f").when(gap.rlike(rf"\b(?:{TITLES_M})\.? $"), "m").otherwise("n")
+    df = df.withColumn("__gaps", F.when(F.col("__any"), F.split(t, pattern, -1)))
+    pairs = F.filter(F.zip_with("__gaps", F.when(F.col("__any"), found), lambda g, m: F.struct(by_title(g).alias("gender"), m.alias("mention"), F.when(m.isNotNull(), _kind(m)).alias("kind"))), lambda x: x["mention"].isNotNull())
+    person = lambda x: x["kind"] == PERSON
+    return df.withColumn("__mentions", F.transform(pairs, lambda x: F.struct(x["kind"].alias("kind"), _entity(x["kind"], x["mention"]).alias("entity"), F.when(person(x), x["gender"]).otherwise("").alias("gender"), x["mention"].alias("mention"))))
+
+
+def _extracted(t: Column, pattern: Column) -> Column:
+    return F.regexp_extract_all(t, pattern, F.lit(0))
+
+
 def mentions(df: DataFrame, text: str = "text") -> DataFrame:
     """df with __gaps, what stands between mentions, and __mentions (kind, entity, gender, mention); both null if there are none."""
     t = F.col(text)
-    df = df.withColumn("__gaps", F.when(t.rlike(HINT) & t.rlike(ANY), F.split(t, ANY, -1)))
-    found = F.when(F.col("__gaps").isNotNull(), _hits(t, ANY))
-    by_title = lambda gap: F.when(gap.rlike(rf"\b(?:{TITLES_F})\.? $"), "f").when(gap.rlike(rf"\b(?:{TITLES_M})\.? $"), "m").otherwise("n")
-    pairs = F.filter(F.zip_with("__gaps", found, lambda g, m: F.struct(by_title(g).alias("gender"), m.alias("mention"), F.when(m.isNotNull(), _kind(m)).alias("kind"))), lambda x: x["mention"].isNotNull())
-    person = lambda x: x["kind"] == TYPES.index("person")
-    return df.withColumn("__mentions", F.transform(pairs, lambda x: F.struct(x["kind"].alias("kind"), _entity(x["kind"], x["mention"]).alias("entity"), F.when(person(x), x["gender"]).otherwise("").alias("gender"), x["mention"].alias("mention"))))
+    df = df.withColumn("__any", F.coalesce(t.rlike(HINT) & t.rlike(ANY), F.lit(False)))
+    # names that stand after a title are searched for in the whole text, the longest first
+    titled = F.array_distinct(_extracted(t, F.lit(PATTERNS["person"])))
+    longest = F.array_sort(titled, lambda a, b: F.length(b) - F.length(a))
+    quoted = F.transform(longest, lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E")))
+    again = F.concat(F.lit(rf"{ANY}|(?<![\p{{L}}'-])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![\p{L}'-])"))
+    df = df.withColumn("__pattern", F.when(F.col("__any") & t.rlike(rf"\b(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\b") & t.rlike(PATTERNS["person"]), again))
+    return _found(df, t, F.coalesce("__pattern", F.lit(ANY))).drop("__any", "__pattern")
 
 
 def _digest(key: str, attempt: Column) -> Column:
@@ -94,10 +116,25 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10
 
 
+def _mod97(iban: Column) -> Column:
+    """What an IBAN leaves modulo 97, its first four characters put last and letters counted from 10; 1 if it is right."""
+    moved = F.filter(F.split(F.regexp_replace(iban, "^(.{4})(.*)$", "$2$1"), ""), lambda c: c != "")
+    add = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(moved, F.lit(0), add)
+
+
+def _pick(digest: Column, names: str, at: Column | int) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in names.split()]), (_number(digest, at) % len(names.split()) + 1).cast("int"))
+
+
+def _picks(digest: Column, names: str, first: int, last: Column, between: str) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(first), last), lambda i: _pick(digest, names, i)), between)
+
+
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities (kind, entity, gender, attempt) with surrogate, a draw for that attempt."""
     df = entities.withColumn("d", _digest(key, F.col("attempt")))
-    d, e = F.col("d"), F.col("entity")
+    d, e, attempt = F.col("d"), F.col("entity"), F.col("attempt")
     chars = F.filter(F.split(e, ""), lambda c: c != "")
     # letters become letters and digits digits, each by its own part of the digest; the first digit of a card or phone number and a country stay
     def fill(keep: int) -> Column:
@@ -108,45 +145,54 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     body = F.expr("substring(kept, 1, length(kept) - 1)")
     # the last digit is chosen so that the check is right, or wrong by as much as it was
     check = F.pmod(_luhn(e) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
+    open_ = F.concat(F.substring(e, 1, 2), F.lit("00"), F.expr("substring(country, 5, length(country))"))
+    digits = F.pmod(_mod97(e) - _mod97(open_), F.lit(97))
+    iban = F.concat(F.substring(e, 1, 2), F.lpad(F.when(digits < 2, digits + 97).otherwise(digits).cast("string"), 2, "0"), F.expr("substring(country, 5, length(country))"))
     octets = F.concat_ws(".", *[(1 + _number(d, i) % 254).cast("string") for i in range(4)])
     local, host = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     mail = F.concat(F.substring("filled", F.lit(1), F.length(local)), F.lit("@"), F.lit("mail"), (_number(d, 20) % 10_000).cast("string"), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), (_number(d, 19) % 3 + 1).cast("int")))
-    pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names.split()]), (_number(d, i) % len(names.split()) + 1).cast("int"))
+    cyrillic = F.col("entity").rlike(r"\p{IsCyrillic}")
+    # after the first attempt a second first name is joined, then a third, and so on
     first = F.lit(None)
-    for name in (x for x in NAMES if not x.endswith("last")):
+    for name, pool in NAMES.items():
         script, gender = name.split("_")
-        first = F.when((F.col("gender") == gender) & (e.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~e.rlike(r"\p{IsCyrillic}")), pick(NAMES[name], 0)).otherwise(first)
-    last = F.when(e.rlike(r"\p{IsCyrillic}"), pick(NAMES["cyrillic_last"], 1)).otherwise(pick(NAMES["latin_last"], 1))
-    # one name alone is a last name; there are few, so later attempts join a second
-    person = F.when(e.contains(" "), F.concat_ws(" ", first, last)).otherwise(last)
-    second = F.when(e.rlike(r"\p{IsCyrillic}"), pick(NAMES["cyrillic_last"], 2)).otherwise(pick(NAMES["latin_last"], 2))
-    person = F.lower(F.when(F.col("attempt") > 0, F.concat_ws("-", person, second)).otherwise(person))
-    # letters only, so that lengthened names remain names
-    tail = F.translate(F.substring(d, 100, 20), "0123456789", "ghijklmnop")
-    drawn = {"email": mail, "ip": octets, "iban": F.col("country"), "card": F.concat(body, check), "ssn": F.col("filled"), "phone": F.col("kept"), "person": person}
-    longer = {"email": F.concat(tail, mail), "person": F.concat(person, tail)}
-    out = F.lit(None)
+        joined = _picks(d, pool, 0, attempt, "-")
+        first = F.when((F.col("gender") == gender) & (cyrillic if script == "cyrillic" else ~cyrillic), joined).otherwise(first)
+    built = {script: F.concat(_pick(d, begin, 0), _picks(d, middle, 1, attempt + 1, ""), _pick(d, end, 20)) for script, (begin, middle, end) in LAST.items()}
+    last = F.when(cyrillic, built["cyrillic"]).otherwise(built["latin"])
+    drawn = {"email": mail, "ip": octets, "iban": iban, "card": F.concat(body, check), "ssn": F.col("filled"), "phone": F.col("kept")}
+    # where the space of a format may be full, later attempts lengthen what is drawn
+    tail = F.substring(F.translate(F.substring(d, 90, 12), "abcdef", "012345"), F.lit(1), attempt - ATTEMPTS + 1)
+    longer = {"email": F.concat(F.translate(tail, "0123456789", "ghijklmnop"), mail)}
+    out = F.when(F.col("kind") == LAST_NAME, F.lower(last)).when(F.col("kind") == FIRST_NAME, F.lower(first))
+    # a name that comes whole
+    out = out.when(F.col("kind") == PERSON, F.lower(F.concat_ws(" ", F.when(e.contains(" "), first), last)))
     for i, kind in enumerate(TYPES):
-        value = F.when(F.col("attempt") >= ATTEMPTS, longer.get(kind, F.concat(drawn[kind], F.translate(F.substring(d, 90, 12), "abcdef", "012345")))).otherwise(drawn[kind])
-        out = F.when(F.col("kind") == i, value).otherwise(out)
+        if kind != "person":
+            out = out.when(F.col("kind") == i, F.when(attempt >= ATTEMPTS, longer.get(kind, F.concat(drawn[kind], tail))).otherwise(drawn[kind]))
     return df.withColumn("surrogate", out).select(*entities.columns, "surrogate")
 
 
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """entities (kind, entity, gender), one row each, with surrogates of which no two are equal and none is an entity."""
-    entities = written(entities, "entities")
+    """entities (kind, entity, gender), one row each, with surrogates of which no two are equal and none is an entity.
+
+    First names are entities of the form last name, line feed, first name; their surrogates differ among those of one last name.
+    """
+    of = F.when(F.col("kind") == FIRST_NAME, F.substring_index("entity", "\n", 1)).otherwise("")
+    entities = written(entities.withColumn("of", of), "entities")
     given = written(surrogates(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
-    taken = entities.select("kind", F.col("entity").alias("surrogate")).distinct().withColumn("real", F.lit(True))
-    first = Window.partitionBy("kind", "surrogate").orderBy("attempt", "entity", "gender")
-    for _ in range(ATTEMPTS + 1):
-        marked = given.join(taken, ["kind", "surrogate"], "left").withColumn("nth", F.row_number().over(first))
-        clash = F.col("real").isNotNull() | (F.col("nth") > 1)
-        marked = written(marked.withColumn("clash", clash).drop("real", "nth"), "surrogates")
+    taken = entities.select("kind", "of", F.substring_index("entity", "\n", -1).alias("surrogate")).distinct().withColumn("real", F.lit(True))
+    while True:
+        # what has a surrogate of its own needs no window: equal ones are counted first
+        equal = given.groupBy("kind", "of", "surrogate").agg(F.min(F.struct("attempt", "entity", "gender")).alias("first"))
+        marked = given.join(taken, ["kind", "of", "surrogate"], "left").join(equal, ["kind", "of", "surrogate"])
+        clash = F.col("real").isNotNull() | (F.struct("attempt", "entity", "gender") != F.col("first"))
+        marked = written(marked.withColumn("clash", clash).drop("real", "first"), "surrogates")
         if marked.where("clash").isEmpty():
-            return given
-        again = marked.where("clash").select("kind", "entity", "gender", (F.col("attempt") + 1).alias("attempt"))
+            return given.drop("of")
+        again = marked.where("clash").select("kind", "entity", "gender", "of", (F.col("attempt") + 1).alias("attempt"))
         given = marked.where("not clash").select(*given.columns).union(surrogates(again, key).select(*given.columns))
-    return written(given, "surrogates")
+        given = written(given, "surrogates")
 
 
 def _worded(kind: Column, mention: Column, surrogate: Column) -> Column:
@@ -165,8 +211,19 @@ def replace(df: DataFrame, *, key: str = "surrogates-1", doc_id: str = "doc_id",
     found = mentions(df, text).withColumn("__sum", F.xxhash64(text))
     # of each distinct pair of id and text, the mentions
     listed = written(found.where("__mentions is not null").select(F.col(doc_id).alias("__id"), "__sum", F.posexplode("__mentions").alias("at", "m")).select("__id", "__sum", "at", "m.*").distinct(), "mentions")
-    known = distinct_surrogates(listed.select("kind", "entity", "gender").distinct(), key)
-    named = listed.join(known.select("kind", "entity", "gender", "surrogate"), ["kind", "entity", "gender"])
+    person, words = F.col("kind") == PERSON, F.split("entity", " ")
+    last, first = F.element_at(words, -1), F.when(F.size(words) > 1, F.concat_ws("\n", F.element_at(words, -1), F.element_at(words, 1)))
+    names = listed.where(person).select("gender", last.alias("last"), first.alias("first"))
+    all_of = listed.where(~person).select("kind", "entity", F.lit("").alias("gender")).union(names.select(F.lit(LAST_NAME), "last", F.lit("")))
+    genders = names.where("first is not null").groupBy(F.col("first").alias("entity")).agg(F.array_sort(F.collect_set(F.when(F.col("gender") != "n", F.col("gender")))).alias("g"))
+    genders = genders.select(F.lit(FIRST_NAME).alias("kind"), "entity", F.when(F.size("g") == 1, F.get("g", 0)).otherwise("n").alias("gender"))
+    known = distinct_surrogates(all_of.distinct().union(genders), key)
+    known = known.select(F.col("kind").alias("__kind"), F.col("entity").alias("__entity"), "surrogate")
+    # a mention needs the surrogate of its entity, or of its last name and, if it has one, of its first name
+    parts = listed.withColumns({"__first": F.when(person, first), "__main": F.when(person, last).otherwise(F.col("entity")), "__of": F.when(person, LAST_NAME).otherwise(F.col("kind"))})
+    named = parts.join(known, (F.col("__of") == F.col("__kind")) & (F.col("__main") == F.col("__entity"))).drop("__kind", "__entity")
+    firsts = known.where(F.col("__kind") == FIRST_NAME).select(F.col("__entity").alias("__e"), F.col("surrogate").alias("__s"))
+    named = named.join(firsts, F.col("__first") == F.col("__e"), "left").withColumn("surrogate", F.concat_ws(" ", "__s", "surrogate"))
     named = named.select("__id", "__sum", "at", _worded(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("put"))
     by_text = named.groupBy("__id", "__sum").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "put"))), lambda x: x["put"]).alias("__put"))
     by_text = by_text.withColumnRenamed("__sum", "__of")
