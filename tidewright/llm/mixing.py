@@ -1,12 +1,12 @@
 """Mixing sources to target weights.
 
 Tokens are added up per source, targets are set by weight under a ceiling, and each
-document is repeated floor(rate) times plus one copy drawn by a hash of its id with the
-rate's fraction as probability.
+document is repeated floor(rate) times plus one copy drawn by a hash of its id and text with the
+rate's fraction as probability. Of n rows alike in id, source and text, which no hash can tell apart, the first
+floor(n * fraction + 1 - draw) get the copy; for n = 1 that is the plain draw.
 
 Defined cases: a null text has size 0; a null source is a source of its own, sorted last;
-repeated rows draw alike, as the draw depends on doc_id and seed only; a null doc_id draws
-as the empty string; a source of size 0 has target 0; an empty table gives an empty result;
+null and repeated ids draw by their texts; a source of size 0 has target 0; an empty table gives an empty result;
 further columns pass through, and the columns added here replace others of the same name.
 """
 
@@ -17,15 +17,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, table
+from .common import n_words, numbered_copies, table
 
 #: A table of targets with no more sources than this is sent to every executor; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
 
-def draw(doc_id: str, seed: str) -> Column:
-    """A number in [0, 1) from 52 bits of a keyed digest."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+def draw(doc_id: str, digest: str, seed: str) -> Column:
+    """A number in [0, 1) from 52 bits of a keyed digest of id and text."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.col(digest)))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, source: str, size: str, weights: Sequence[float],
 
 def mix(df: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5, 2, 1), ceiling: float = 3.0, seed: str = "mix-1") -> DataFrame:
     """df with size, source_size, target, rate and copies, the number of times each document is taken."""
-    sized = df.withColumn("size", n_words(F.col(text)))
+    sized = df.withColumns({"size": n_words(F.col(text)), "__digest": F.md5(F.coalesce(F.col(text), F.lit("")))})
     goal = targets(sized.select(F.col(source), "size"), source, "size", weights, ceiling)
     few = len(sized.select(source).distinct().limit(BROADCAST_SOURCES + 1).collect()) <= BROADCAST_SOURCES
     goal = goal.withColumnsRenamed({"source": "__source", "source_size": "__source_size", "target": "__target"})
@@ -64,8 +64,9 @@ def mix(df: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text:
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     out = out.withColumns({"source_size": F.col("__source_size"), "target": F.col("__target"), "rate": rate})
     whole = F.floor("rate").cast("int")
-    out = out.withColumn("copies", whole + (draw(doc_id, seed) < F.col("rate") - whole).cast("int"))
-    return out.drop("__source", "__source_size", "__target")
+    out = numbered_copies(out.drop("__source", "__source_size", "__target"), [doc_id, source, "__digest"])
+    drawn = F.floor(F.col("__n") * (F.col("rate") - whole) + (1 - draw(doc_id, "__digest", seed)))
+    return out.withColumn("copies", whole + (F.col("__nth") <= drawn).cast("int")).drop("__n", "__nth", "__digest")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -99,10 +100,11 @@ WITH sized AS (
   SELECT source, source_size, least(weight * level, 3.0::DOUBLE * source_size) AS target FROM levels LEFT JOIN level ON true
 ), drawn AS (
   SELECT s.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
-         CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
+         CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u,
+         count(*) OVER (PARTITION BY doc_id, s.source, digest) AS n, row_number() OVER (PARTITION BY doc_id, s.source, digest) AS nth
   FROM sized s LEFT JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, source_size, target,
-       CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (floor(rate) + CASE WHEN nth <= floor(n * (rate - floor(rate)) + (1 - u)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM drawn
 """
