@@ -5,11 +5,12 @@ read in the encoding that their characters allow (runs that fit none are read in
 (1) none of the tests of a chi-squared statistic of the alphabet, of runs above and below its middle, and of serial
 correlation rejects uniform randomness at BATTERY / 3, and
 (2) the likelihood ratio of uniform characters to a model of written words is large. Under the word model its
-inverse is a valid p-value, which falls with the token's length; over all tokens of a length band the Benjamini-Hochberg
-rule then holds the rate of false discoveries at FDR. Its threshold is read from a histogram of p-values in a
+inverse is a valid p-value, which falls with the token's length. A token that fails (1) has p-value 1: so (1) and (2) are one
+p-value, valid as it is never below that of (2), and over all tokens of a length band the Benjamini-Hochberg
+rule holds the rate of false discoveries at FDR. Its threshold is read from a histogram of p-values in a
 fixed number of bins, whose upper edges count, so it is never too high.
 
-Defined cases: a null text counts as empty; repeated rows have equal results; spans that overlap a base
+Defined cases: a null text counts as empty; a null id is an id like others; repeated rows have equal results; spans that overlap a base
 span aren't added; an empty table gives an empty result; further columns pass through scan(), whose own columns
 replace others of the same name.
 """
@@ -132,7 +133,7 @@ def battery(tokens: Column) -> Column:
         size = x["end"] - x["start"]
         band = sum((F.when(size >= low, 1).otherwise(0) for low in BANDS[1:]), F.lit(0))
         level = F.least(F.greatest(F.floor(evidence * 10), F.lit(0)), F.lit(BINS)).cast("int")
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), band.alias("band"), F.when(usable, p).otherwise(0.0).alias("p_random"), F.when(usable, level).otherwise(0).alias("bin"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), band.alias("band"), F.when(usable, p).otherwise(0.0).alias("p_random"), F.when(usable & (p >= BATTERY / 3), level).otherwise(0).alias("bin"))
 
     keep = ("start", "end", "match", "alphabet")
     tokens = F.transform(tokens, add(keep[:3], encoded))
@@ -172,7 +173,7 @@ def thresholds(measured: DataFrame, fdr: float = FDR) -> dict[int, int]:
 def scan(measured: DataFrame, least: dict[int, int]) -> DataFrame:
     """measured with spans: the base spans and the added ones as (start, kind number, end), in order."""
     needed = F.create_map(*[F.lit(x) for band in range(len(BANDS)) for x in (band, least.get(band, BINS + 1))])
-    more = F.filter("tokens", lambda x: (x["p_random"] >= BATTERY / 3) & (x["bin"] >= needed[x["band"]]))
+    more = F.filter("tokens", lambda x: x["bin"] >= needed[x["band"]])
     more = F.transform(more, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
     return measured.withColumn("spans", F.array_sort(F.concat("base", more)))
 
