@@ -10,7 +10,7 @@ probability of so few false rejections by all cutoffs so far, were their true ra
 the error level by Bonferroni). Of the certified points of the path the one that rejects most bad and fewest good labelled
 documents is taken; if none is certified, no rule rejects there.
 
-Defined cases: a null text has no words; a null or unlisted language is in the stratum "other"; a
+Defined cases: a null text has no words; a null id has no label; a null or unlisted language is in the stratum "other"; a
 document labelled twice counts as good if any of its labels is; labels that are null or of
 no document take no part; without labels only the base rule holds; repeated rows get the same verdict; an empty
 table gives an empty result; further columns pass through, and those added here replace others
@@ -19,7 +19,6 @@ of the same name.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -173,8 +172,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns they came with."""
-    measured = levels(base(docs))
-    cutoffs = calibrate(written(measured.select("doc_id", "stratum", "base_failed", *[f"l_{r}" for r in RULES]), "quality"), labels)
+    own = [f"l_{r}" for r in RULES]
+    measured = levels(base(docs.select("doc_id", "text", "lang"))).select("doc_id", "stratum", "base_failed", *own)
+    cutoffs = calibrate(written(measured, "quality"), labels)
+    # the columns as they came travel in a struct, which no measure can replace
+    carried = levels(base(docs.select(F.struct(*docs.columns).alias("__doc"), "text", "lang"))).select("__doc", "stratum", "base_failed", *own)
     # a condition that differs by row stays above the projections; pushed down, it would be written out with every step of them
-    judged = judge(measured, cutoffs).withColumn("__row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("__row") >= 0)).select(*docs.columns)
+    judged = judge(carried, cutoffs).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("__row") >= 0)).select("__doc.*")
