@@ -6,6 +6,9 @@ which of it is trained on: the texts of assistant turns with their closing marks
 
 Turns are rendered as <|role|>, a line feed, the text, <|end|> and a line feed. Marks inside a text stay as they are.
 
+neighbours() makes pairs of a table that holds none. It drops turns after a conversation's last answer from both sides, conversations
+without an answer, and turns whose conv_id is null, as they belong to no conversation. preferences() drops pairs whose sides are equal, as they prefer nothing.
+
 Defined cases: null roles and texts count as empty; turns are ordered by number, equal numbers by role and text, and counted
 anew; repeated rows are turns of their own; if one side is a prefix of the other, its completion is empty; a pair with one side
 only has that side's turns as completion and an empty other one; empty tables give an empty result; further columns are ignored.
@@ -43,7 +46,7 @@ def preferences(sides: DataFrame) -> DataFrame:
     for side, short in (("chosen", "c"), ("rejected", "r")):
         rest = F.slice(short, F.col("n_shared") + 1, F.greatest(F.size(short) - F.col("n_shared"), F.lit(0)))
         pairs = pairs.withColumn(f"__{short}", rest).withColumns({side: text(F.col(f"__{short}")), f"{side}_spans": spans(F.col(f"__{short}"))})
-    return pairs.select("pair_id", "n_shared", "prompt", "chosen", "rejected", "chosen_spans", "rejected_spans")
+    return pairs.where("size(c) != n_shared or size(r) != n_shared").select("pair_id", "n_shared", "prompt", "chosen", "rejected", "chosen_spans", "rejected_spans")
 
 
 def spans(turns: Column) -> Column:
@@ -106,4 +109,5 @@ WITH t AS (
 SELECT a.conv_id AS pair_id, CAST(a.n_shared AS INTEGER) AS n_shared, a.prompt, a.completion AS chosen, coalesce(b.completion, '') AS rejected,
        a.spans AS chosen_spans, coalesce(b.spans, '') AS rejected_spans
 FROM (SELECT * FROM joined WHERE side = 'c') a LEFT JOIN (SELECT * FROM joined WHERE side = 'r') b USING (conv_id)
+WHERE a.completion <> '' OR coalesce(b.completion, '') <> ''
 """
