@@ -126,6 +126,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, *, vec_id: str = "
         shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in block], np.int64), matrix))
         part = rows.mapInArrow(_searcher(shared, k), "query_id long, vec_id long, score long")
         found.append(written(part, "found"))
+        shared.destroy()
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = found[0]
