@@ -35,7 +35,7 @@ from .common import table, written
 
 ORDER, MASS = 3, 4.0
 #: Bytes of text after which a block is closed; bytes of the corpus for each shard of words and of the trie.
-BLOCK, WORD_SHARD, TRIE_SHARD = 10 << 20, 45 << 20, 8 << 20
+BLOCK, WORD_SHARD, TRIE_SHARD = 8 << 20, 45 << 20, 8 << 20
 #: A word is common if it has so many training tokens and one in COMMON bytes of the corpus; a token takes two bytes at least, its blank included.
 FULL, COMMON = 2_000_000, 6000
 #: Words with a training token in so many bytes of the corpus, of which there are at most half as many, get the smallest numbers, and so many words of a block.

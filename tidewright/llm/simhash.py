@@ -40,7 +40,7 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 #: The stage's words a shingle and least similarity, as a fraction; bands of so many minima each.
 STAGE_SHINGLE, SIMILAR, BANDS, ROWS = 5, (4, 5), 40, 8
 #: Sets in a block that are compared with those of another in one task.
-BLOCK = 1000
+BLOCK = 250
 #: A text is split into words by so many bytes at a time.
 CHUNK = 1 << 20
 #: Variants by one flip or none, 130 for each fingerprint, per partition of the join that finds collisions; the others stream past them.
