@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.expr import ExpressionError, predicate
 from tidewright.functions.numeric import half_up
-from tidewright.operators import anomaly, clean, explore, features, timeparse
+from tidewright.operators import align, anomaly, clean, explore, features, quality, resample, stats, timeparse
 from tidewright.plans.order import Halo, with_neighbours, with_running
 from tidewright.plans.pipeline import StaleDetection, Workspace
 from tidewright.sources import io
@@ -100,6 +100,211 @@ def test_csv_with_odd_names(spark, tmp_path):
     assert df.count() == 2 and df.where("`油温°C` is null").count() == 1
 
 
+ODD = ["a.b(%)", "油温°C `/x"]
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_odd_names(spark, name):
+    """Every operator takes a column of any name, for its values as for its times."""
+    df = frame(spark).withColumnsRenamed({"v": name}).withColumn("t.s", F.timestamp_add("MINUTE", F.col("pos"), F.expr("timestamp_ntz'2024-01-01 00:00:00'"))).withColumn("kind.x", F.lit("a"))
+    plain = frame(spark).withColumn("ts", F.timestamp_add("MINUTE", F.col("pos"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")))
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    q = lambda x, n: x.select(F.col(f"`{n.replace('`', '``')}`"))
+    for algorithm in clean.ALGORITHMS:
+        assert same(q(clean.impute(df, name, algorithm), name), q(clean.impute(plain, "v", algorithm), "v"))
+    assert same(clean.missing_runs(df, name), clean.missing_runs(plain, "v"))
+    assert clean.impute(df, name, "linear", 4, 4).count() == clean.deduplicate(df, "t.s", "mean", [name]).count() == 16
+    assert same(q(clean.convert_unit(df, name, 2.0), name), q(clean.convert_unit(plain, "v", 2.0), "v"))
+    assert same(q(clean.derive(df, "x", [name, name], ["+"]), "x"), q(clean.derive(plain, "x", ["v", "v"], ["+"]), "x"))
+    assert same(resample.resample(df, "t.s", [name], 4).select("pos", f"`{name.replace('`', '``')}`"), resample.resample(plain, "ts", ["v"], 4).select("pos", "v"))
+    assert resample.interval_minutes(df, "t.s") == 1 and same(resample.preview(df.withColumnRenamed("t.s", "t"), "t", 5), resample.preview(plain, "ts", 5))
+    assert stats.stats_of(df, [name])[name] == stats.stats_of(plain, ["v"])["v"] and same(stats.histogram(df, name, 4), stats.histogram(plain, "v", 4))
+    assert same(stats.histogram_marks(df, name), stats.histogram_marks(plain, "v")) and stats.first_complete(df, [name, "kind.x"], 10).first()[1] == 4
+    assert same(stats.overview(df, "t.s", [name]), stats.overview(plain, "ts", ["v"])) and stats.value_counts(df, "kind.x").count() == 1
+    for method in ("3sigma", "iqr", "mad", "iforest"):
+        found, want = anomaly.detect(df, name, method), anomaly.detect(plain, "v", method)
+        assert same(found.select("pos", "anomaly"), want.select("pos", "anomaly"))
+        assert all(same(q(anomaly.repair(found, name, how), name), q(anomaly.repair(want, "v", how), "v")) for how in ("clip", "nan_impute"))
+    assert anomaly.detect(df, name, "expr", expression="v > 5").where("anomaly").count() == 4
+    for made, want in ((features.lags(df, name, [1]), "lag_{}_t1"), (features.rolling(df, name, [3], ["mean", "std", "median"]), "roll_std_{}_w3"), (features.expanding_mean(df, name), "expanding_mean_{}"), (features.ewm(df, name, 5), "ewm_{}_s5"), (features.differences(df, name, [2]), "diff_season2_{}"), (features.dominant(df, name), "fft_top1_{}"), (features.spectral(df, name), "power_ratio_{}")):
+        assert want.format(name) in made.columns and made.count() == 16
+    assert features.spectrum(df, name).count() == 8 and features.calendar(df, "t.s").count() == features.cyclical(df, "t.s").count() == 16
+    assert features.one_hot(df, "kind.x").columns[-1] == "kind.x_a" and features.ordinal(df, "kind.x").count() == features.target_mean(df, "kind.x", name).count() == 16
+    side = df.select(F.col("pos"), F.col("`t.s`").alias("at.it"), F.col("pos").cast("double").alias("r.r"))
+    assert align.align(df, "t.s", side, "at.it", "r.r", "got.it").where("`got.it` = pos").count() == 16
+    assert align.align_table(df, "t.s", side, "at.it", {"r.r": "z.z"}, how="nearest")[0].where("`z.z` = pos").count() == 16
+    assert align.merge([df, df], "t.s").count() == 32 and align.backjumps(df, "t.s").first()[0] == 0 and align.merge_receipt([df, df], "t.s").first()["duplicate_times"] == 16
+    assert align.formula_column(df, "t.s", "f.f", "idx").where("`f.f` = pos").count() == 16
+    assert explore.page(df, 0, 5).count() == 5 and explore.period_window(df, "t.s", "day").count() == 16 and explore.raw_series(df, [name]).count() == explore.downsample_mean(df, name).count() == 16
+    assert explore.downsample_extremes(df, [name], 8).count() > 0 and explore.lttb(df, [name], 8).count() == 8 and explore.column_values(df, name, 3).count() == 3
+    assert quality.column_quality(df, "t.s").count() == 3 and quality.missing_segments(df, "t.s", [name]).count() == 5 and quality.quality_series(df, [name], 8).count() > 0
+
+
+def test_many_columns_are_one_pass(spark, tmp_path):
+    """Forty columns are planned within seconds, with three scans at most."""
+    import time
+
+    made = spark.range(2000).select(F.col("id").alias("pos"), F.timestamp_add("MINUTE", F.col("id"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")).alias("ts"), *[F.when(F.col("id") % (7 + i) > 1, F.col("id") * 1.0).alias(f"s{i}") for i in range(40)])
+    made.write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    for out in (lambda: clean.impute_all(df, {f"s{i}": "linear" for i in range(40)}), lambda: resample.resample(df, "ts", [f"s{i}" for i in range(40)], 5, "interpolate", source_minutes=1)):
+        began = time.time()
+        plan = out()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") <= 3 and time.time() - began < 20
+
+
+def slow_lttb(columns, cap):
+    """The rule as it is told: buckets of equal length, the mean of the next one, the largest area from the last pick."""
+    n = len(columns[0])
+    means = [sum(x for x in c if x is not None) / sum(x is not None for x in c) for c in columns]
+    spans = [(max(x for x in c if x is not None) - min(x for x in c if x is not None)) or 1.0 for c in columns]
+    filled = [[m if x is None else x for x in c] for c, m in zip(columns, means, strict=True)]
+    every, buckets = (n - 2) / (cap - 2), {}
+    for p in range(1, n - 1):
+        buckets.setdefault(math.floor((p - 1) / every), []).append(p)
+    buckets[cap - 2], picks = [n - 1], [0]
+    for b in range(cap - 2):
+        nxt, a = buckets[b + 1], picks[-1]
+        mean_p = sum(nxt) / len(nxt)
+        area = lambda p: sum(abs((a - mean_p) * (f[p] - f[a]) - (a - p) * (sum(f[q] for q in nxt) / len(nxt) - f[a])) / s for f, s in zip(filled, spans, strict=True))  # noqa: B023, E731
+        picks.append(max(buckets[b], key=lambda p: (round(area(p), 9), -p)))
+    return [*picks, n - 1]
+
+
+def test_lttb_against_its_rule(spark):
+    rng = np.random.default_rng(6)
+    a = [None if i % 17 == 3 else float(x) for i, x in enumerate(rng.normal(0, 5, 500).round(3))]
+    b = [float(x) for x in rng.normal(0, 50, 500).cumsum().round(3)]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(a, b, strict=True))], "pos long, a double, b double")
+    for columns in (["b"], ["a", "b"]):
+        got = [r["pos"] for r in explore.lttb(df, columns, 40).orderBy("pos").collect()]
+        assert got == slow_lttb([{"a": a, "b": b}[c] for c in columns], 40)
+
+
+def test_steps_across_buckets_and_times_before_1970(spark):
+    # the only steps of more than a minute lie between buckets of positions
+    df = spark.range(3).select((F.col("id") * 65536).alias("pos"), F.timestamp_add("MINUTE", F.col("id") * 30, F.expr("timestamp_ntz'2024-01-01 00:00:00'")).alias("ts"))
+    df = df.withColumn("pos", F.when(F.col("pos") == 65536, 65535).when(F.col("pos") == 131072, 65536).otherwise(F.col("pos")))
+    assert resample.interval_minutes(df, "ts") == 30
+    old = spark.sql("select 0L as pos, timestamp_ntz'1969-12-31 23:59:59.5' as ts")
+    assert old.select(resample.minute_bucket(F.col("ts"), 1)).first()[0] == -1
+
+
+def test_formula_rounds_ties_up(spark):
+    df = spark.sql("select 0L as pos, timestamp_ntz'2024-01-01 00:00:00' as ts")
+    got = align.formula_column(df, "ts", "x", "idx - 0.12345").first()["x"]
+    assert got == math.floor(-0.12345 * 10**4 + 0.5) / 10**4
+
+
+def test_merge_receipt(spark):
+    at = lambda m: f"timestamp_ntz'2024-01-01 00:{m:02d}:00'"
+    a = spark.sql(f"select * from values (0L, {at(5)}, 1.0), (1L, {at(1)}, 2.0), (2L, cast(null as timestamp_ntz), 3.0) t(pos, ts, power)")
+    b = spark.sql(f"select * from values (0L, {at(1)}, 1.0, 9.0), (1L, cast(null as timestamp_ntz), 2.0, 9.0) t(pos, ts, power, temp)")
+    r = align.merge_receipt([a, b], "ts").first()
+    # the table is 5, 1, none, 1, none and becomes 1, 1, 5, none, none
+    assert (r["rows"], r["columns"], r["union_only"], r["gap_cells"], r["rows_moved"], r["backjumps_before"], r["duplicate_times"], r["empty_times"]) == (5, 3, "temp", 3, 4, 1, 2, 2)
+    assert [x["power"] for x in align.merge([a, b], "ts").orderBy("pos").collect()] == [2.0, 1.0, 1.0, 3.0, 2.0]
+    for bad in ([a], [a, b.withColumnRenamed("ts", "t")], [a, b.limit(0)]):
+        with pytest.raises(ValueError):
+            align.merge(bad, "ts")
+
+
+def test_side_table_refusals(spark):
+    main = frame(spark).withColumn("ts", F.timestamp_add("MINUTE", F.col("pos"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")))
+    side = main.select("pos", F.col("ts").alias("t"), F.when(F.col("pos") % 2 == 0, "x").otherwise("1.5").alias("rain"), F.lit("n").alias("note"))
+    out, receipt = align.align_table(main, "ts", side, "t")
+    assert receipt["nonNumeric"] == ["note"] and receipt["coerced"] == {"rain": 8} and receipt["stats"]["coverage"] == 100.0 and out.where("rain = 1.5").count() == 8
+    far = side.withColumn("t", F.timestamp_add("DAY", F.lit(90), F.col("t")))
+    for args in ((main, "ts", far, "t"), (main, "ts", side, "when"), (main, "ts", side.select("pos", "t"), "t"), (main, "ts", side.select("pos", "t", "note"), "t"), (main, "ts", side, "t", {"rain": "v"}), (main.withColumn("ts", F.lit(None).cast("timestamp_ntz")), "ts", side, "t")):
+        with pytest.raises(align.AlignmentError):
+            align.align_table(*args)
+
+
+def test_text_files(spark, tmp_path):
+    # the first 70,000 bytes are plain, then come characters of GBK
+    body = "时间戳,name\n".encode("gbk") + b"2024-01-01,plain\n" * 5000 + "2024-01-02,中文\n".encode("gbk")
+    (tmp_path / "gbk.csv").write_bytes(b"t,name\n" + body.split(b"\n", 1)[1])
+    df = io.read(spark, str(tmp_path / "gbk.csv"))
+    assert df.columns == ["t", "name", "pos"] and df.count() == 5001 and df.orderBy(F.desc("pos")).first()["name"] == "中文"
+    (tmp_path / "head.csv").write_bytes(body)
+    assert io.read(spark, str(tmp_path / "head.csv")).columns[0] == "时间戳"
+    (tmp_path / "bad.csv").write_bytes(b"a,b\n\xff\xff\xff,1\n")
+    with pytest.raises(ValueError):
+        io.read(spark, str(tmp_path / "bad.csv"))
+    (tmp_path / "q.tsv").write_text('a,b\n"x\ny",1\nNA,2\n', encoding="utf-8")
+    got = io.read(spark, str(tmp_path / "q.tsv")).orderBy("pos").collect()
+    assert [(r["a"], r["b"]) for r in got] == [("x\ny", 1), (None, 2)]
+    (tmp_path / "n.csv").write_text("a,b\n1.5,NA\nNA,x\n2,None\n", encoding="utf-8")
+    assert dict(io.read(spark, str(tmp_path / "n.csv")).dtypes)["a"] == "double"
+    # in typed files only blanks are missing
+    spark.createDataFrame([("NA",), (" null ",), (" ",)], "x string").write.parquet(str(tmp_path / "p.parquet"))
+    assert sorted(map(repr, (r["x"] for r in io.read(spark, str(tmp_path / "p.parquet")).collect()))) == ["'NA'", "'null'", "None"]
+    io.write(df.limit(2).drop("pos"), str(tmp_path / "one.csv"), "csv-file")
+    assert (tmp_path / "one.csv").read_bytes().startswith(b"\xef\xbb\xbft,name")
+    at = io.save_dataset(df, str(tmp_path), "new.parquet", "20240101_000000")
+    assert io.open_dataset(spark, str(tmp_path), "new.parquet").count() == 5001 and io.save_dataset(df, str(tmp_path), "new.parquet", "20240101_000000") != at
+    with pytest.raises(FileNotFoundError):
+        io.open_dataset(spark, str(tmp_path), "../x.csv")
+
+
+def test_side_files(spark, tmp_path):
+    path = tmp_path / "side.csv"
+    path.write_text("timestamp,rain mm,雨,rain-mm,note\n2024-01-01 00:01:00,1.5,2,3,x\n2024-01-01 00:02:00,2.5,2,3,y\n", encoding="utf-8")
+    seen = {c["from"]: c for c in io.inspect(spark, str(path))["columns"]}
+    assert seen["timestamp"]["time"] and seen["rain mm"]["key"] == "rain_mm" and seen["雨"]["reason"] == "not ASCII" and seen["rain-mm"]["reason"] == "name is taken" and not seen["note"]["numeric"]
+    with pytest.raises(ValueError):
+        io.variable_names(["雨"])
+    df = frame(spark).withColumn("ts", F.timestamp_add("MINUTE", F.col("pos"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")))
+    w = Workspace.open(df, "ts").apply("exo-file", path=str(path), time="timestamp", columns={"rain mm": "rain"})
+    assert w.df.where("rain is not null").count() == 2 and w.receipts[-1]["stats"]["matchedMainRows"] == 2
+    assert Workspace.replay(df, w.save_log()).df.where("rain is not null").count() == 2
+    path.write_text(path.read_text(encoding="utf-8").replace("1.5", "9.5"), encoding="utf-8")
+    with pytest.raises(io.ContentChanged):
+        Workspace.replay(df, w.save_log())
+
+
+def test_workspace_pins_repairs_and_families(spark, tmp_path):
+    df = frame(spark, [1.0, 2.0, 1.5, 900.0, *SERIES]).withColumn("ts", F.timestamp_add("MINUTE", F.col("pos"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")))
+    w = Workspace.open(df, "ts")
+    w.detect("v", "iqr")
+    w.repair("v", "clip").apply("feature_lag", columns=["v"], lags=[1, 2]).apply("feature_lag", columns=["v"], lags=[2, 3])
+    assert w.receipts[-1] == {"family": "lag", "columns": ["lag_v_t2", "lag_v_t3"], "created": 1, "removed": ["lag_v_t1"]} and "lag_v_t1" not in w.df.columns
+    w.apply("feature_calendar", cyclical=["hour"], keep=False)
+    assert "feat_hour_sin" in w.df.columns and "feat_hour" not in w.df.columns and "feat_day" in w.df.columns
+    assert w.apply("set_time_format", format="YYYY-MM-DD HH:mm").receipts[-1] == {"changed": 20}
+    w.save(str(tmp_path / "log.json"))
+    again = Workspace.reopen(df, str(tmp_path / "log.json"))
+    assert sorted(map(repr, again.df.collect())) == sorted(map(repr, w.df.collect()))
+    with pytest.raises(StaleDetection):
+        Workspace.reopen(df.withColumn("v", F.col("v") + F.when(F.col("pos") == 0, 500.0).otherwise(0.0)), str(tmp_path / "log.json"))
+    with pytest.raises(ValueError):
+        w.apply("impute", targets=[{"column": "v", "algorithm": "zero", "start": 0, "end": 1}])
+
+
+def test_time_votes(spark):
+    vote = lambda *xs: timeparse.vote(spark.createDataFrame([(x,) for x in xs], "t string"), "t")
+    assert vote("2024-06-01 00:00:00.123") == "YYYY-MM-DD HH:mm:ss.SSS" and vote("6/1/2024 08:30:00") == "MM/DD/YYYY" and vote("1-6-2024") == "DD-MM-YYYY"
+    assert vote("1717200000") == "epoch_s" and vote("1717200000000") == "epoch_ms" and vote("2024-06-01T08:30:00Z") == "YYYY-MM-DDTHH:mm:ss" and vote("昨天", "下周三", "12.5") is None
+    df = spark.createDataFrame([("昨天",), ("下周三",)], "`时间` string")
+    assert timeparse.pick_time_column(df)[0] is None
+    text = spark.createDataFrame([("2024/6/1 08:30",), ("2024/6/1 8:31",)], "t string")
+    assert timeparse.best_format(text, "t") == ("YYYY/MM/DD HH:mm", 2, 2) and timeparse.examples(text, "t", "YYYY/MM/DD HH:mm").first()["after"] == "2024-06-01 08:30:00"
+
+
+def test_entry_without_the_training_operators(tmp_path):
+    """The entry imports and has its queries where both folders of the training operators are gone."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "tidewright", tmp_path / "tidewright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and 'pipeline' not in q and not [x for x in q if x.startswith('op')]; e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60)
+
+
 def test_workspace_undo_and_replay(spark):
     df = frame(spark).withColumn("ts", F.timestamp_add("MINUTE", F.col("pos"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")))
     w = Workspace.open(df, "ts")

@@ -6,13 +6,14 @@ The main series is `events` with pos = event_id; v is value with two rows of eve
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.numeric import half_up, half_up_sql
-from .operators import align, anomaly, clean, explore, features, resample, stats, timeparse
+from .operators import align, anomaly, clean, explore, features, quality, resample, stats, timeparse
 from .plans.order import numbered
 from .sources import presets
 
@@ -126,6 +127,63 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), "o_totalprice", "o_orderpriority")
 
 
+@query("level_totals", f"WITH {EV}, l AS (SELECT count(*) AS n, row_number() OVER (ORDER BY min(pos)) - 1 AS code FROM ev WHERE trim(event_type) <> '' GROUP BY event_type) SELECT count(*) AS unique_total, CAST(coalesce(sum(CASE WHEN code >= 3 THEN n END), 0) AS BIGINT) AS rest_count FROM l")
+def _level_totals(spark, d):
+    return stats.level_totals(events(spark, d), "event_type", 3)
+
+
+@query("histogram_marks", f"""WITH {EV}, s AS (SELECT count(v) AS n, count(*) - count(v) AS missing, min(v) AS min, max(v) AS max, avg(v) AS mean, median(v) AS median, (max(v) - min(v)) / 25 AS w FROM ev)
+SELECT n, missing, min, max, {up('mean', 6)} AS mean, median, {up('w', 6)} AS bin_width, CAST(floor((mean - min) / (max - min) * 25) AS INTEGER) AS mean_bin, CAST(floor((median - min) / (max - min) * 25) AS INTEGER) AS median_bin FROM s""")
+def _marks(spark, d):
+    return _rounded(stats.histogram_marks(events(spark, d), "v"), 6, "mean", "bin_width")
+
+
+_CELLS = f"{EV}, q AS (SELECT pos, CASE WHEN pos % 50 <> 7 THEN date_trunc('hour', ts) END AS t, v, spiked, CASE WHEN pos % 9 = 0 THEN '' ELSE event_type END AS event_type FROM ev)"
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """Hours as times, some of them missing, and levels, some of them empty."""
+    at, level = F.when(F.col("pos") % 50 != 7, F.date_trunc("hour", "ts").cast("timestamp_ntz")), F.when(F.col("pos") % 9 == 0, "").otherwise(F.col("event_type"))
+    return events(spark, d).select("pos", at.alias("t"), "v", "spiked", level.alias("event_type"))
+
+
+@query("quality_columns", f"WITH {_CELLS}, m AS (SELECT count(*) AS n, count(*) - count(t) AS t, count(*) - count(v) AS v, count(*) - count(spiked) AS spiked, sum(CASE WHEN event_type = '' THEN 1 ELSE 0 END)::BIGINT AS e FROM q), x AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, n AS total, {k} AS missing, {i} AS imputable FROM m" for c, k, i in (("t", "t", "false"), ("v", "v", "true"), ("spiked", "spiked", "true"), ("event_type", "e", "false"))) + ") SELECT name, total, missing, total - missing AS valid, missing::DOUBLE / total * 100 AS rate, imputable FROM x")
+def _column_quality(spark, d):
+    return quality.column_quality(_cells(spark, d), "t")
+
+
+@query("quality_totals", f"""WITH {_CELLS}, g AS (SELECT t, count(*) AS n FROM q GROUP BY t), x AS (SELECT (SELECT count(*) FROM q) AS rows, CAST(4 AS BIGINT) AS columns,
+ (SELECT CAST(sum(CASE WHEN t IS NULL THEN 1 ELSE 0 END + CASE WHEN v IS NULL THEN 1 ELSE 0 END + CASE WHEN spiked IS NULL THEN 1 ELSE 0 END + CASE WHEN event_type = '' THEN 1 ELSE 0 END) AS BIGINT) FROM q) AS missing_cells,
+ (SELECT CAST(sum(n - 1) AS BIGINT) FROM g) AS duplicate_rows, (SELECT count(*) FROM g WHERE n > 1) AS duplicate_groups) SELECT *, missing_cells::DOUBLE / (rows * columns) * 100 AS missing_rate, duplicate_rows::DOUBLE / rows * 100 AS duplicate_rate FROM x""")
+def _quality_totals(spark, d):
+    return quality.totals(_cells(spark, d), "t")
+
+
+_GAPS = " UNION ALL ".join(f"SELECT '{c}' AS name, pos, pos - row_number() OVER (ORDER BY pos) AS g, t FROM q WHERE {c} IS NULL" for c in ("v", "spiked"))
+
+
+@query("missing_segments", f"""WITH {_CELLS}, g AS ({_GAPS}), r AS (SELECT name, min(pos) AS start, max(pos) AS "end", arg_min(t, pos) FILTER (true) AS a, max(pos) AS z FROM g GROUP BY name, g), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY start) AS nth, count(*) OVER (PARTITION BY name) > 300 AS truncated FROM r)
+SELECT n.name, n.start, n."end", n."end" - n.start + 1 AS length, b.t AS start_time, e.t AS end_time, truncated FROM n JOIN q b ON b.pos = n.start JOIN q e ON e.pos = n."end" WHERE nth <= 300""")
+def _segments(spark, d):
+    return quality.missing_segments(_cells(spark, d), "t")
+
+
+@query("duplicate_detail", f"""WITH {_CELLS}, g AS (SELECT t AS time, count(*) AS size, min(pos) AS first_pos, list(pos ORDER BY pos) AS l FROM q GROUP BY t HAVING count(*) > 1 ORDER BY size DESC, first_pos LIMIT 200)
+SELECT time, size, first_pos, array_to_string(l[1:100], ',') AS positions, size > 100 AS truncated FROM g""")
+def _duplicate_detail(spark, d):
+    return quality.duplicate_detail(_cells(spark, d), "t").withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+_MARKED = "count(*) FILTER ({f}) OVER (PARTITION BY name ORDER BY pos ROWS UNBOUNDED PRECEDING) <= {n}"
+
+
+@query("quality_series", f"""WITH {EV}, x AS (SELECT 'v' AS name, pos, v AS value, false AS flag FROM ev UNION ALL SELECT 'spiked', pos, spiked, coalesce(spiked > 300, false) FROM ev)
+SELECT name, pos, value, value IS NULL AND {_MARKED.format(f='value IS NULL', n=80)} AS missing_mark, flag AND {_MARKED.format(f='flag', n=2000)} AS anomaly_mark FROM x""")
+def _series(spark, d):
+    df = events(spark, d).withColumn("bad", F.coalesce(F.col("spiked") > 300, F.lit(False)))
+    return quality.quality_series(df, ["v", "spiked"], flags={"spiked": "bad"})
+
+
 # --- cleaning -------------------------------------------------------------------------------------------------------------------
 
 _FILL = {
@@ -188,6 +246,46 @@ def _derived(spark, d):
     return clean.derive(events(spark, d).withColumn("u", F.col("user_id") - 7), "made", ["v", "value", "v", "u"], ["+", "*", "/"]).select("pos", "made")
 
 
+_WIDE = 40
+
+
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    """Forty columns with gaps of their own."""
+    made = [F.when(F.col("pos") % (11 + i) >= 2, F.col("value") + i).alias(f"w{i}") for i in range(_WIDE)]
+    return events(spark, d).select("pos", "ts", *made)
+
+
+_WIDE_SQL = "wide AS (SELECT event_id AS pos, ts, " + ", ".join(f"CASE WHEN event_id % {11 + i} >= 2 THEN value + {i} END AS w{i}" for i in range(_WIDE)) + " FROM events)"
+
+
+def _wide_near(of: str) -> str:
+    """The valid neighbours of all columns: the positions pp, np and values pv, nv."""
+    made = [f"{f}({x} IGNORE NULLS) OVER {w} AS {n}{i}" for i in range(_WIDE) for f, w, n, x in (("last_value", "b", "pp", f"CASE WHEN w{i} IS NOT NULL THEN pos END"), ("last_value", "b", "pv", f"w{i}"), ("first_value", "a", "np", f"CASE WHEN w{i} IS NOT NULL THEN pos END"), ("first_value", "a", "nv", f"w{i}"))]
+    return f"SELECT *, {', '.join(made)} FROM {of} WINDOW b AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+def _own(sql: str, i: int) -> str:
+    for name in ("pp", "pv", "np", "nv"):
+        sql = re.sub(rf"\b{name}\b", f"{name}{i}", sql)
+    return sql
+
+
+@query("impute_wide", f"WITH {_WIDE_SQL}, near AS ({_wide_near('wide')}), y AS (SELECT *, " + ", ".join(f"{_own(_RAW['linear'], i)} AS raw{i}" for i in range(_WIDE)) + " FROM near, (SELECT count(*) AS n FROM wide)) SELECT pos, " + ", ".join(f"coalesce(w{i}, {up(f'raw{i}', 4)}) AS w{i}" for i in range(_WIDE)) + " FROM y")
+def _impute_wide(spark, d):
+    return clean.impute_all(_wide(spark, d), {f"w{i}": "linear" for i in range(_WIDE)}).drop("ts")
+
+
+_LINE = "CASE WHEN w{i} IS NOT NULL THEN w{i} WHEN pp{i} IS NULL THEN nv{i} WHEN np{i} IS NULL THEN pv{i} ELSE pv{i} + (nv{i} - pv{i}) * ((pos - pp{i})::DOUBLE / (np{i} - pp{i})) END"
+
+
+@query("resample_wide", f"""WITH {_WIDE_SQL}, g AS (SELECT CAST(epoch(date_trunc('second', ts)) AS BIGINT) // 900 AS b, {', '.join(f'avg(w{i}) AS w{i}' for i in range(_WIDE))} FROM wide GROUP BY 1),
+ axis AS (SELECT b.b AS b, b.b - lo AS pos FROM (SELECT min(b) AS lo, max(b) AS hi FROM g), LATERAL (SELECT unnest(range(lo, hi + 1)) AS b) b), d AS (SELECT axis.pos, axis.b, g.* EXCLUDE (b) FROM axis LEFT JOIN g USING (b)), near AS ({_wide_near('d')}),
+ x AS (SELECT pos, b, {', '.join(f"{_LINE.format(i=i)} AS r{i}" for i in range(_WIDE))} FROM near)
+SELECT pos, timestamp '1970-01-01' + to_minutes(b * 15) AS ts, {', '.join(f"CASE WHEN r{i} IS NOT NULL THEN {up(f'r{i}', 2)} END AS w{i}" for i in range(_WIDE))} FROM x""")
+def _resample_wide(spark, d):
+    return resample.resample(_wide(spark, d), "ts", [f"w{i}" for i in range(_WIDE)], 15, "interpolate", source_minutes=1)
+
+
 # --- resampling -----------------------------------------------------------------------------------------------------------------
 
 def _resample_sql(method: str, minutes: int, up_: bool) -> str:
@@ -250,6 +348,12 @@ def _summary(spark, d):
     return _rounded(anomaly.summary(anomaly.detect(events(spark, d), "spiked", "iqr"), "spiked"), 6, "lower", "upper").select("name", "count", "lower", "upper")
 
 
+@query("detect_totals", f"WITH {EV}, f AS (SELECT coalesce(spiked > 300, false) AS a, coalesce(v < 1, false) AS b FROM ev), s AS (SELECT CAST(sum(a::INT) AS BIGINT) AS a, CAST(sum(b::INT) AS BIGINT) AS b, count(*) AS n FROM f) SELECT a + b AS total_anomalies, (a + b)::DOUBLE / (n * 2) * 100 AS overall_rate, CAST((a > 0)::INT + (b > 0)::INT AS BIGINT) AS cols_affected, n * 2 AS total_cells FROM s")
+def _totals(spark, d):
+    df = events(spark, d).select(F.coalesce(F.col("spiked") > 300, F.lit(False)).alias("a"), F.coalesce(F.col("v") < 1, F.lit(False)).alias("b"))
+    return anomaly.summary_totals(df, ["a", "b"])
+
+
 @query("detect_iforest")
 def _forest(spark, d):
     return anomaly.detect(events(spark, d), "spiked", "iforest").select("pos", "anomaly")
@@ -309,13 +413,19 @@ for _name, _sql in _ROLL.items():
         return features.rolling(events(spark, d).select("pos", "v"), "v", [5, 16], [name]).drop("v")
 
 
-# DuckDB adds window sums in another order, which moves ties; tests hold this against sequential sums
-@query("expanding_mean")
+def _folded(step: str) -> str:
+    """What a state that starts as NULL is before each row, folded over the rows one after the other; a is the list of states so far, b holds the row's value."""
+    return f"""WITH {EV}, l AS (SELECT list_prepend([NULL::DOUBLE], list([v] ORDER BY pos)) AS l FROM ev), r AS (SELECT list_reduce(l, lambda a, b: list_append(a, {step})) AS r FROM l),
+ s AS (SELECT unnest(r) AS state, generate_subscripts(r, 1) - 1 AS pos FROM r)"""
+
+
+@query("expanding_mean", _folded("CASE WHEN b[1] IS NULL THEN a[-1] ELSE coalesce(a[-1], 0.0) + b[1] END") + f""", n AS (SELECT pos, count(v) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM ev), m AS (SELECT n.pos, CASE WHEN n > 0 THEN state / n END AS m FROM n JOIN s USING (pos))
+SELECT pos, CASE WHEN m IS NOT NULL THEN {up('m', 2)} END AS expanding_mean_v FROM m""")
 def _expanding(spark, d):
     return features.expanding_mean(events(spark, d).select("pos", "v"), "v").drop("v")
 
 
-@query("ewm_prev")
+@query("ewm_prev", _folded(f"CASE WHEN b[1] IS NULL THEN a[-1] WHEN a[-1] IS NULL THEN b[1] ELSE a[-1] + {2 / 13!r}::DOUBLE * (b[1] - a[-1]) END") + f" SELECT s.pos, CASE WHEN state IS NOT NULL THEN {up('state', 2)} END AS ewm_v_s12 FROM s JOIN ev USING (pos)")
 def _ewm(spark, d):
     return features.ewm(events(spark, d).select("pos", "v"), "v", 12).drop("v")
 
@@ -333,7 +443,9 @@ def _energies(spark, d):
     return _rounded(features.spectrum(events(spark, d), "v"), 6, "magnitude")
 
 
-@query("fft_topk")
+@query("fft_topk", f"""WITH {EV}, c AS (SELECT count(*) AS n FROM ev), k AS (SELECT k, n FROM c, LATERAL (SELECT unnest(range(1, CAST(least(50, n // 2) + 1 AS BIGINT))) AS k)), s AS (SELECT k, n, sum(coalesce(v, 0) * cos({2 * math.pi!r}::DOUBLE * ((pos * k) % n) / n)) AS a, sum(coalesce(v, 0) * sin({2 * math.pi!r}::DOUBLE * ((pos * k) % n) / n)) AS b FROM ev, k GROUP BY k, n), m AS (SELECT k, sqrt(a * a + b * b) / n AS m FROM s), top AS (SELECT k, row_number() OVER (ORDER BY m DESC, k) AS i FROM m QUALIFY i <= 3),
+ w AS (SELECT pos, list(coalesce(v, 0.0)) OVER (ORDER BY pos ROWS BETWEEN 64 PRECEDING AND CURRENT ROW) AS l FROM ev), x AS (SELECT pos, i, list_sum(list_transform(l, lambda x, j: x * cos({2 * math.pi!r}::DOUBLE * ((k * (j - 1)) % len(l)) / len(l)))) AS c, list_sum(list_transform(l, lambda x, j: x * sin({2 * math.pi!r}::DOUBLE * ((k * (j - 1)) % len(l)) / len(l)))) AS s, len(l) AS z FROM w, top), y AS (SELECT pos, i, sqrt(c * c + s * s) / z AS r FROM x)
+SELECT pos, """ + ", ".join(f"max(CASE WHEN i = {i} THEN {up('r', 2)} END) AS fft_top{i}_v" for i in (1, 2, 3)) + " FROM y GROUP BY pos")
 def _topk(spark, d):
     return features.dominant(events(spark, d).select("pos", "v"), "v").drop("v")
 
@@ -352,7 +464,10 @@ def _power(spark, d):
     return features.spectral(events(spark, d).select("pos", "v"), "v").select("pos", "power_ratio_v")
 
 
-@query("onehot")
+_TYPES = ("click", "view", "purchase", "signup", "error")
+
+
+@query("onehot", f"WITH {EV} SELECT pos, " + ", ".join(f"CAST(coalesce(event_type = '{t}', false) AS BIGINT) AS event_type_{t}" for t in _TYPES) + " FROM ev")
 def _onehot(spark, d):
     return features.one_hot(events(spark, d).select("pos", "event_type"), "event_type").drop("event_type")
 
@@ -389,6 +504,20 @@ def _nearest(spark, d):
     return align.align(events(spark, d), "ts", _side(spark, d), "t", "rain", "rain", how="nearest", tolerance=1).select("pos", "rain")
 
 
+@query("align_table", f"WITH {EV}, {_SIDE}, l AS (SELECT main, arg_max(rain, side) AS rain, arg_max(side * 2.0::DOUBLE, side) AS twice FROM sd JOIN m USING (sec) GROUP BY main) SELECT pos, rain, twice FROM ev LEFT JOIN l ON pos = main")
+def _table(spark, d):
+    side = _side(spark, d).withColumns({"twice": F.col("pos") * 2.0, "note": F.lit("text")})
+    return align.align_table(events(spark, d).select("pos", "ts"), "ts", side, "t")[0].drop("ts")
+
+
+@query("align_receipt", f"WITH {EV}, {_SIDE}, l AS (SELECT main, max(side) AS side FROM sd JOIN m USING (sec) GROUP BY main), c AS (SELECT (SELECT count(*) FROM sd) AS side_rows, (SELECT count(*) FROM l) AS matched, (SELECT count(*) FROM l WHERE side % 5 = 0) AS coerced, (SELECT count(*) FROM ev) AS main_rows) SELECT side_rows, matched, side_rows - matched AS unmatched, coerced, 'note' AS non_numeric, matched::DOUBLE / main_rows * 100 AS coverage FROM c")
+def _table_receipt(spark, d):
+    side = _side(spark, d).withColumns({"rain": F.when(F.col("pos") % 5 == 0, "none").otherwise(F.col("rain").cast("string")), "note": F.lit("text")})
+    receipt = align.align_table(events(spark, d).select("pos", "ts"), "ts", side, "t")[1]
+    found = receipt["stats"]
+    return spark.createDataFrame([(found["sideRows"], found["matchedSideRows"], found["unmatchedSideRows"], receipt["coerced"]["rain"], ",".join(receipt["nonNumeric"]), found["coverage"])], "side_rows long, matched long, unmatched long, coerced long, non_numeric string, coverage double")
+
+
 def _parts(spark: SparkSession, d: str) -> list[DataFrame]:
     e = events(spark, d)
     at = F.when(F.col("pos") % 1000 != 999, F.date_trunc("hour", "ts").cast("timestamp_ntz")).alias("ts")
@@ -403,7 +532,11 @@ def _merge(spark, d):
     return align.merge(_parts(spark, d), "ts")
 
 
-@query("merge_receipt", f"{_MERGED}, g AS (SELECT ts, count(*) AS n FROM x GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS rows, 'event_type' AS union_only, CAST(sum(CASE WHEN ts IS NULL THEN n ELSE 0 END) AS BIGINT) AS empty_times, CAST(sum(CASE WHEN ts IS NOT NULL THEN n - 1 ELSE 0 END) AS BIGINT) AS duplicate_times FROM g")
+@query("merge_receipt", f"""{_MERGED}, a AS (SELECT *, row_number() OVER (ORDER BY f, old) - 1 AS place, row_number() OVER (ORDER BY ts NULLS LAST, f, old) - 1 AS dest FROM x),
+ j AS (SELECT lag(ts) OVER (ORDER BY place) > ts AS back FROM a WHERE ts IS NOT NULL)
+SELECT CAST(3 AS BIGINT) AS files, count(*) AS rows, CAST(3 AS BIGINT) AS columns, 'event_type' AS union_only, CAST(sum(CASE WHEN f <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS gap_cells, CAST(sum(CASE WHEN place <> dest THEN 1 ELSE 0 END) AS BIGINT) AS rows_moved,
+ (SELECT CAST(sum(CASE WHEN back THEN 1 ELSE 0 END) AS BIGINT) FROM j) AS backjumps_before, CAST(0 AS BIGINT) AS backjumps_after,
+ count(*) - count(DISTINCT ts) - CASE WHEN count(ts) < count(*) THEN 1 ELSE 0 END AS duplicate_times, count(*) - count(ts) AS empty_times, min(ts) AS start, max(ts) AS "end" FROM a""")
 def _receipt(spark, d):
     return align.merge_receipt(_parts(spark, d), "ts")
 
@@ -413,7 +546,7 @@ def _back(spark, d):
     return align.backjumps(events(spark, d).withColumn("ts", F.when(F.col("pos") % 10 == 0, F.timestamp_add("DAY", F.lit(-1), F.col("ts"))).otherwise(F.col("ts"))), "ts")
 
 
-@query("formula_exo", f"WITH {EV}, x AS (SELECT pos, 10 + 3 * sin(2 * pi() * (hour(ts) + minute(ts) / 60.0::DOUBLE) / 24) + greatest(day(ts) / 7.0::DOUBLE, 1) - (pos - floor(pos / 5.0::DOUBLE) * 5) * dayofweek(ts) AS r FROM ev) SELECT pos, {up('r', 4)} AS made FROM x")
+@query("formula_exo", f"WITH {EV}, x AS (SELECT pos, 10 + 3 * sin(2 * pi() * (hour(ts) + minute(ts) / 60.0::DOUBLE) / 24) + greatest(day(ts) / 7.0::DOUBLE, 1) - (pos - floor(pos / 5.0::DOUBLE) * 5) * dayofweek(ts) AS r FROM ev) SELECT pos, floor(r * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS made FROM x")
 def _formula(spark, d):
     return align.formula_column(events(spark, d), "ts", "made", "10 + 3 * sin(2 * PI * hour / 24) + max(day / 7, 1) - idx % 5 * weekday").select("pos", "made")
 
@@ -427,6 +560,13 @@ for _name in explore.SPANS:
         return explore.period_window(events(spark, d), "ts", name, 1).select("pos", "ts", "v")
 
 
+for _name, _unit_ in (("year", "1 YEAR"), ("month", "1 MONTH"), ("week", "7 DAY"), ("day", "1 DAY")):
+
+    @query(f"period_info_{_name}", f"WITH {EV}, p AS (SELECT date_trunc('{_name}', ts)::TIMESTAMP AS s, count(*) AS n FROM ev GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY s) AS i, count(*) OVER () AS c FROM p) SELECT s AS \"from\", s + INTERVAL {_unit_} AS \"to\", n AS window_rows, (SELECT count(*) FROM ev) AS total_rows, c AS period_total, i AS period_index, i - 1 AS \"offset\", c < 4 AS clamped FROM r WHERE i = least(4, c)")
+    def _info(spark, d, name=_name):
+        return explore.period_info(events(spark, d), "ts", name, 3)
+
+
 @query("row_page", f"WITH {EV} SELECT pos, ts, v FROM ev WHERE pos BETWEEN 100 AND 149")
 def _page(spark, d):
     return explore.page(events(spark, d), 100, 50).select("pos", "ts", "v")
@@ -464,6 +604,20 @@ def _render(spark, d):
     return events(spark, d).select("pos", timeparse.render(F.col("ts"), "YYYY/M/D H:mm").alias("short"), timeparse.render(F.col("ts"), "YYYY-MM-DDTHH:mm:ss").alias("iso"), timeparse.render(F.col("ts"), "epoch_s").alias("unix"))
 
 
+@query("time_vote", "SELECT 'MM/DD/YYYY' AS us, 'YYYY-MM-DD' AS iso, 'YYYY/MM/DD HH:mm' AS read, CAST((SELECT count(*) FROM events WHERE event_id % 5 <> 0) AS BIGINT) AS hits, CAST((SELECT count(*) FROM events) AS BIGINT) AS filled")
+def _vote(spark, d):
+    df = events(spark, d)
+    us = timeparse.vote(df.select(F.date_format("ts", "M/d/yyyy HH:mm:ss").alias("t")), "t")
+    iso = timeparse.vote(df.select(F.when(F.col("pos") % 2 == 0, F.date_format("ts", "yyyy-M-d")).otherwise(F.date_format("ts", "dd-MM-yyyy")).alias("t")).where("t is not null"), "t")
+    form, hits, full = timeparse.best_format(df.select(F.when(F.col("pos") % 5 == 0, "soon").otherwise(F.date_format("ts", "yyyy/M/d H:mm")).alias("t")), "t")
+    return spark.createDataFrame([(us, iso, form, hits, full)], "us string, iso string, read string, hits long, filled long")
+
+
+@query("time_changed", f"WITH {EV} SELECT CAST(sum(CASE WHEN strftime(ts, '%Y-%m-%d %H:%M') <> strftime(ts, '%Y-%m-%d %H:%M:%S') THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM ev")
+def _changed(spark, d):
+    return spark.createDataFrame([(timeparse.changed_cells(events(spark, d), "ts", "YYYY-MM-DD HH:mm", "YYYY-MM-DD HH:mm:ss"),)], "changed long")
+
+
 @query("time_detect", "SELECT 'stamp' AS name, 'YYYY-MM-DD HH:mm:ss' AS format")
 def _detect_time(spark, d):
     df = events(spark, d).select("v", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"))

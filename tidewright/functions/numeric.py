@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import col
+
 _SPLIT = 134217729.0  # 2**27 + 1
 
 
@@ -23,7 +25,7 @@ def half_up(x: Column | str, digits: int) -> Column:
 
     A name is used in place, inside generated code; another expression is bound to a lambda's variable, as it would else be written out twenty times."""
     if isinstance(x, str):
-        return _half_up(F.col(x), digits)
+        return _half_up(col(x), digits)
     return F.get(F.transform(F.array(x), lambda v: _half_up(v, digits)), 0)
 
 
@@ -61,8 +63,3 @@ def floor_round(x: Column, digits: int) -> Column:
     """floor(x * 10^digits + 0.5) / 10^digits: ties go up, also below zero."""
     scale = float(10**digits)
     return F.floor(x * scale + 0.5).cast("double") / scale
-
-
-def ratio(a: Column, b: Column) -> Column:
-    """a / b, NULL where b is 0."""
-    return F.try_divide(a, b)

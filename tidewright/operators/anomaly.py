@@ -7,16 +7,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import predicate
+from ..functions.names import col
 from ..functions.numeric import half_up
 from ..plans.order import Halo
 from .clean import impute
-from .stats import column_stats
+from .stats import column_stats, quantile
 
 TRAIL, LEAST, WIDTH = 33, 5, 4.0
 
 
 def _outside(df: DataFrame, column: str, low: float | None, high: float | None) -> DataFrame:
-    flag = F.coalesce((F.col(column) < F.lit(low)) | (F.col(column) > F.lit(high)), F.lit(False))
+    flag = F.coalesce((col(column) < F.lit(low)) | (col(column) > F.lit(high)), F.lit(False))
     return df.withColumns({"anomaly": flag, "lower": F.lit(low).cast("double"), "upper": F.lit(high).cast("double")})
 
 
@@ -35,8 +36,8 @@ def detect(df: DataFrame, column: str, method: str, *, expression: str = "", con
         return _outside(df, column, low, high)
     if method == "expr":
         known = {k: F.lit(getattr(stats, k)).cast("double") for k in ("mean", "std", "median", "q1", "q3", "min", "max")}
-        out = df.withColumn("anomaly", predicate(expression, {"v": F.col(column), **known}))
-        low, high = out.where(~F.col("anomaly")).agg(F.min(column), F.max(column)).first()
+        out = df.withColumn("anomaly", predicate(expression, {"v": col(column), **known}))
+        low, high = out.where(~F.col("anomaly")).agg(F.min(col(column)), F.max(col(column))).first()
         return out.withColumns({"lower": F.lit(low).cast("double"), "upper": F.lit(high).cast("double")})
     raise ValueError(f"unknown method: {method}")
 
@@ -44,16 +45,16 @@ def detect(df: DataFrame, column: str, method: str, *, expression: str = "", con
 def _mad(df: DataFrame, column: str, pos: str) -> DataFrame:
     """Beyond 4 mean absolute deviations from the median of the last 33 rows, of which 5 must be valid; the bounds are the widest of any row judged."""
     halo = Halo(df, TRAIL - 1, pos)
-    out = halo.df.withColumn("__near", F.array_sort(F.collect_list(column).over(halo.last(TRAIL))))
+    out = halo.df.withColumn("__near", F.array_sort(F.collect_list(col(column)).over(halo.last(TRAIL))))
     out = halo.own(out)
     n = F.size("__near")
     middle = (F.get("__near", F.floor((n - 1) / 2).cast("int")) + F.get("__near", F.floor(n / 2).cast("int"))) / 2
-    judged = F.col(column).isNotNull() & (n >= LEAST)
+    judged = col(column).isNotNull() & (n >= LEAST)
     out = out.withColumn("__m", F.when(judged, middle))
     out = out.withColumn("__d", F.when(judged, F.aggregate("__near", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("__m"))) / n))
     out = out.withColumns({"__lo": F.col("__m") - WIDTH * F.col("__d"), "__hi": F.col("__m") + WIDTH * F.col("__d")}).drop("__near")
     low, high = out.agg(F.min("__lo"), F.max("__hi")).first()
-    flag = F.coalesce((F.col(column) < F.col("__lo")) | (F.col(column) > F.col("__hi")), F.lit(False))
+    flag = F.coalesce((col(column) < F.col("__lo")) | (col(column) > F.col("__hi")), F.lit(False))
     return out.withColumns({"anomaly": flag, "lower": F.lit(low).cast("double"), "upper": F.lit(high).cast("double")}).drop("__m", "__d", "__lo", "__hi")
 
 
@@ -62,7 +63,7 @@ def isolation(df: DataFrame, column: str, contamination: float, seed: int, trees
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    drawn = [r[0] for r in df.where(F.col(column).isNotNull()).select(column, F.xxhash64(pos, F.lit(seed)).alias("h"), F.col(pos).alias("p")).orderBy("h", "p").limit(trees * sample // 8).select(column).collect()]
+    drawn = [r[0] for r in df.where(col(column).isNotNull()).select(col(column), F.xxhash64(col(pos), F.lit(seed)).alias("h"), col(pos).alias("p")).orderBy("h", "p").limit(trees * sample // 8).select(col(column)).collect()]
     if len(drawn) < 3:
         return _outside(df, column, None, None)
     values = np.array(drawn)
@@ -84,10 +85,10 @@ def isolation(df: DataFrame, column: str, contamination: float, seed: int, trees
         total = sum(leaf[np.searchsorted(cuts, x, side="right")] for cuts, leaf in forest)
         return pd.Series(np.where(np.isnan(x), np.nan, 2.0 ** (-(total / len(forest)) / _path(min(sample, len(values))))))
 
-    out = df.withColumn("__score", F.when(F.col(column).isNotNull(), depth(F.col(column))))
-    limit = out.agg(F.percentile("__score", 1 - contamination)).first()[0]
+    out = df.withColumn("__score", F.when(col(column).isNotNull(), depth(col(column))))
+    limit = quantile(out, "__score", 1 - contamination)
     out = out.withColumn("anomaly", F.coalesce(F.col("__score") > F.lit(limit), F.lit(False)))
-    low, high = out.where(~F.col("anomaly")).agg(F.percentile(column, 0.005), F.percentile(column, 0.995)).first()
+    low, high = (quantile(out.where(~F.col("anomaly")), column, q) for q in (0.005, 0.995))
     return out.withColumns({"lower": half_up(F.lit(low).cast("double"), 4), "upper": half_up(F.lit(high).cast("double"), 4)}).drop("__score")
 
 
@@ -101,9 +102,17 @@ def summary(detected: DataFrame, column: str) -> DataFrame:
     return detected.agg(F.lit(column).alias("name"), F.sum(F.col("anomaly").cast("long")).alias("count"), F.try_divide(F.sum(F.col("anomaly").cast("double")), F.count(F.lit(1))).alias("rate"), F.max("lower").alias("lower"), F.max("upper").alias("upper"))
 
 
+def summary_totals(df: DataFrame, flags: list[str]) -> DataFrame:
+    """One row over the flag columns of several detections: anomalies, their share of all cells in percent, columns with any, cells."""
+    found = df.agg(F.count(F.lit(1)).alias("__n"), *[F.coalesce(F.sum(col(f).cast("long")), F.lit(0)).alias(f"__{i}") for i, f in enumerate(flags)])
+    counts = [F.col(f"__{i}") for i in range(len(flags))]
+    total, cells = sum(counts, F.lit(0)), F.col("__n") * len(flags)
+    return found.select(total.cast("long").alias("total_anomalies"), F.coalesce(F.try_divide(total, cells) * 100, F.lit(0.0)).alias("overall_rate"), sum(((c > 0).cast("int") for c in counts), F.lit(0)).cast("long").alias("cols_affected"), cells.cast("long").alias("total_cells"))
+
+
 def repair(detected: DataFrame, column: str, how: str, pos: str = "pos") -> DataFrame:
     """clip to the bounds, nan_impute (missing, then linear) or mask_only (a 0/1 column if there is any anomaly)."""
-    flag, v = F.col("anomaly"), F.col(column)
+    flag, v = F.col("anomaly"), col(column)
     if how == "clip":
         # below the lower bound goes to it, everything else that is flagged to the upper
         out = detected.withColumn(column, F.when(flag & (v < F.col("lower")), half_up("lower", 4)).when(flag, half_up("upper", 4)).otherwise(v))

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import col, cols
 from ..functions.numeric import finite, half_up
-from ..plans.order import numbered, with_neighbours
+from ..plans.order import numbered, with_neighbours, with_neighbours_of
 
 ALGORITHMS = ("linear", "ffill", "spline", "zero")
 
 
 def missing_runs(df: DataFrame, column: str, pos: str = "pos") -> DataFrame:
     """start, end and length of each closed interval of consecutive missing values."""
-    marked = with_neighbours(df.select(pos, column), column, pos).where(F.col(column).isNull())
-    runs = marked.groupBy(F.coalesce(F.col("__prev.pos") + 1, F.lit(0)).cast("long").alias("start")).agg(F.max(pos).alias("end"))
+    marked = with_neighbours(df.select(col(pos), col(column)), column, pos).where(col(column).isNull())
+    runs = marked.groupBy(F.coalesce(F.col("__prev.pos") + 1, F.lit(0)).cast("long").alias("start")).agg(F.max(col(pos)).alias("end"))
     return runs.withColumn("length", F.col("end") - F.col("start") + 1)
 
 
@@ -24,40 +25,57 @@ def impute(df: DataFrame, column: str, algorithm: str, start: int | None = None,
     linear goes straight from the last valid value before to the first after (0 if there is none before, that before if none after);
     spline does so along 3t^2 - 2t^3; ffill repeats the one before; zero is 0.
     """
+    if start is None:
+        return impute_all(df, {column: algorithm}, pos)
+    _known(algorithm)
+    v, inside = col(column), col(pos).between(start, end)
+    # the neighbours of the whole interval: the last valid before its start, the first after its end
+    here = F.struct(col(pos).alias("pos"), v.alias("value"))
+    edge = df.where(v.isNotNull()).agg(F.max(F.when(col(pos) < start, here)).alias("b"), F.min(F.when(col(pos) > end, here)).alias("a")).first()
+    low = edge["b"]["value"] if edge["b"] else 0.0
+    high = edge["a"]["value"] if edge["a"] else low
+    first, last = edge["b"]["pos"] if edge["b"] else start - 1, edge["a"]["pos"] if edge["a"] else end + 1
+    filled = _filled(algorithm, col(pos), F.lit(low), F.lit(high), F.lit(first), F.lit(last), F.lit(start), F.lit(end - start + 1))
+    return df.withColumn(column, F.when(inside, F.coalesce(v, filled)).otherwise(v))
+
+
+def impute_all(df: DataFrame, algorithms: dict[str, str], pos: str = "pos") -> DataFrame:
+    """df with all missing values of these columns filled, each by its algorithm, in one pass over the rows."""
+    for algorithm in algorithms.values():
+        _known(algorithm)
+    zero = {c: F.coalesce(col(c), F.lit(0.0)) for c, a in algorithms.items() if a == "zero"}
+    if zero:
+        df = df.withColumns(zero)
+    columns = [c for c, a in algorithms.items() if a != "zero"]
+    if not columns:
+        return df
+    n = df.count() if any(algorithms[c] != "ffill" for c in columns) else 0
+    out, made = with_neighbours_of(df, columns, pos), {}
+    for i, c in enumerate(columns):
+        before, after = F.col(f"__prev{i}"), F.col(f"__next{i}")
+        low = F.coalesce(before["value"], F.lit(0.0))
+        high = F.coalesce(after["value"], low)
+        first, last = F.coalesce(before["pos"], F.lit(-1)), F.coalesce(after["pos"], F.lit(n))
+        made[c] = F.coalesce(col(c), _filled(algorithms[c], col(pos), low, high, first, last, first + 1, last - first - 1))
+    return out.withColumns(made).drop(*[f"__{x}{i}" for i in range(len(columns)) for x in ("prev", "next")])
+
+
+def _known(algorithm: str) -> None:
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm: {algorithm}")
-    v = F.col(column)
-    inside = F.lit(True) if start is None else F.col(pos).between(start, end)
+
+
+def _filled(algorithm: str, at: Column, low: Column, high: Column, first: Column, last: Column, begin: Column, length: Column) -> Column:
+    """The value at a position between low (at first) and high (at last), or inside the interval from begin of some length."""
     if algorithm == "zero":
-        return df.withColumn(column, F.when(inside, F.coalesce(v, F.lit(0.0))).otherwise(v))
-    out = with_neighbours(df, column, pos)
-    if start is None:
-        before, after = F.col("__prev"), F.col("__next")
-    else:
-        # the neighbours of the whole interval: the last valid before its start, the first after its end
-        edge = df.where(v.isNotNull()).agg(F.max(F.when(F.col(pos) < start, F.struct(pos, F.col(column).alias("value")))).alias("b"), F.min(F.when(F.col(pos) > end, F.struct(pos, F.col(column).alias("value")))).alias("a")).first()
-        as_struct = lambda x: F.struct(F.lit(x[0]).alias("pos"), F.lit(x[1]).alias("value")) if x else F.lit(None).cast("struct<pos:bigint,value:double>")
-        before, after = as_struct(edge["b"]), as_struct(edge["a"])
-    low = F.coalesce(before["value"], F.lit(0.0))
-    high = F.coalesce(after["value"], low)
+        return F.lit(0.0)
     if algorithm == "ffill":
-        filled = low
-    else:
-        if start is None:
-            n = df.count()
-            first = F.coalesce(before["pos"], F.lit(-1))
-            last = F.coalesce(after["pos"], F.lit(n))
-        else:
-            first, last = F.coalesce(before["pos"], F.lit(start - 1)), F.coalesce(after["pos"], F.lit(end + 1))
-        if algorithm == "linear":
-            t = F.when(last - first <= 1, 0.5).otherwise((F.col(pos) - first) / F.greatest(last - first, F.lit(1)))
-            filled = half_up(low + (high - low) * t, 4)
-        else:
-            begin, length = (first + 1, last - first - 1) if start is None else (F.lit(start), F.lit(end - start + 1))
-            t = (F.col(pos) - begin + 1) / (length + 1)
-            h = -2.0 * t * t * t + 3.0 * t * t
-            filled = half_up(low + (high - low) * h, 4)
-    return out.withColumn(column, F.when(inside, F.coalesce(v, filled)).otherwise(v)).drop("__prev", "__next")
+        return low
+    if algorithm == "linear":
+        t = F.when(last - first <= 1, 0.5).otherwise((at - first) / F.greatest(last - first, F.lit(1)))
+        return half_up(low + (high - low) * t, 4)
+    t = (at - begin + 1) / (length + 1)
+    return half_up(low + (high - low) * (-2.0 * t * t * t + 3.0 * t * t), 4)
 
 
 def deduplicate(df: DataFrame, time: str, how: str, columns: list[str], pos: str = "pos") -> DataFrame:
@@ -65,20 +83,20 @@ def deduplicate(df: DataFrame, time: str, how: str, columns: list[str], pos: str
     if how not in ("mean", "first", "last"):
         raise ValueError(f"unknown way: {how}")
     rest = [c for c in df.columns if c not in (time, pos)]
-    row = F.struct(pos, *rest)
+    row = F.struct(col(pos), *cols(rest))
     ends = [F.min(row).alias("__row")] if how != "last" else [F.max(row).alias("__row")]
-    means = [F.avg(c).alias(f"__m{i}") for i, c in enumerate(columns)] if how == "mean" else []
-    out = df.groupBy(time).agg(*ends, F.min(pos).alias("__first"), F.count(F.lit(1)).alias("__n"), *means)
+    means = [F.avg(col(c)).alias(f"__m{i}") for i, c in enumerate(columns)] if how == "mean" else []
+    out = df.groupBy(col(time)).agg(*ends, F.min(col(pos)).alias("__first"), F.count(F.lit(1)).alias("__n"), *means)
     of = lambda c: F.col("__row")[c]
     value = {c: F.when(F.col("__n") > 1, F.coalesce(half_up(f"__m{i}", 4), of(c))).otherwise(of(c)) for i, c in enumerate(columns)} if how == "mean" else {}
-    kept = out.select(of(pos).alias("__pos"), time, *[value.get(c, of(c)).alias(c) for c in rest])
-    return numbered(kept, [F.col("__pos")], F.floor(F.col("__pos") / 65536), pos).drop("__pos").select(*df.columns)
+    kept = out.select(of(pos).alias("__pos"), col(time), *[value.get(c, of(c)).alias(c) for c in rest])
+    return numbered(kept, [F.col("__pos")], F.floor(F.col("__pos") / 65536), pos).drop("__pos").select(*cols(df.columns))
 
 
 def mask(df: DataFrame, name: str, start: int, end: int, pos: str = "pos") -> DataFrame:
     if name in df.columns:
         raise ValueError(f"there is a column {name}")
-    return df.withColumn(name, F.col(pos).between(start, end).cast("bigint"))
+    return df.withColumn(name, col(pos).between(start, end).cast("bigint"))
 
 
 def split(df: DataFrame, ratio: int, pos: str = "pos", name: str = "split") -> DataFrame:
@@ -88,11 +106,11 @@ def split(df: DataFrame, ratio: int, pos: str = "pos", name: str = "split") -> D
     n = df.count()
     train = n * ratio // 100
     val = n - train - (n - train) // 2
-    return df.withColumn(name, F.when(F.col(pos) < train, "train").when(F.col(pos) < train + val, "val").otherwise("test"))
+    return df.withColumn(name, F.when(col(pos) < train, "train").when(col(pos) < train + val, "val").otherwise("test"))
 
 
 def convert_unit(df: DataFrame, column: str, factor: float, offset: float = 0.0) -> DataFrame:
-    return df.withColumn(column, half_up(F.col(column).try_cast("double") * F.lit(float(factor)) + F.lit(float(offset)), 4))
+    return df.withColumn(column, half_up(col(column).try_cast("double") * F.lit(float(factor)) + F.lit(float(offset)), 4))
 
 
 def derive(df: DataFrame, name: str, terms: list[str], operators: list[str]) -> DataFrame:
@@ -100,14 +118,14 @@ def derive(df: DataFrame, name: str, terms: list[str], operators: list[str]) ->
     if len(terms) < 2 or len(operators) != len(terms) - 1:
         raise ValueError("two terms or more, with an operator between each two")
     apply = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: F.try_divide(a, b)}
-    out: Column = F.col(terms[0]).try_cast("double")
+    out: Column = col(terms[0]).try_cast("double")
     for op, term in zip(operators, terms[1:], strict=True):
-        out = apply[op](out, F.col(term).try_cast("double"))
+        out = apply[op](out, col(term).try_cast("double"))
     staged = df.withColumn("__raw", finite(out))
     return staged.withColumn(name, half_up("__raw", 4)).drop("__raw")
 
 
 def duplicate_groups(df: DataFrame, time: str, pos: str = "pos") -> DataFrame:
     """Times that several rows share: the number of rows and the first one."""
-    out = df.groupBy(time).agg(F.count(F.lit(1)).alias("size"), F.min(pos).alias("first_pos"))
+    out = df.groupBy(col(time)).agg(F.count(F.lit(1)).alias("size"), F.min(col(pos)).alias("first_pos"))
     return out.where("size > 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import col, cols
 from ..functions.numeric import half_up
 
 SPANS = ("year", "month", "week", "day")
@@ -14,15 +15,15 @@ MAX_CELLS, MAX_POINTS = 600_000, 6000
 def page(df: DataFrame, offset: int, limit: int, pos: str = "pos") -> DataFrame:
     if not 1 <= limit <= 500:
         raise ValueError("a page has 1 to 500 rows")
-    return df.where(F.col(pos).between(offset, offset + limit - 1)).orderBy(pos)
+    return df.where(col(pos).between(offset, offset + limit - 1)).orderBy(col(pos))
 
 
 def periods(df: DataFrame, time: str, span: str) -> DataFrame:
     """The natural periods (weeks from Monday) that hold rows: start and number of rows."""
     if span not in SPANS:
         raise ValueError(f"unknown span: {span}")
-    start = F.date_trunc(span, F.col(time)).cast("timestamp_ntz")
-    return df.where(F.col(time).isNotNull()).groupBy(start.alias("start")).agg(F.count(F.lit(1)).alias("rows"))
+    start = F.date_trunc(span, col(time)).cast("timestamp_ntz")
+    return df.where(col(time).isNotNull()).groupBy(start.alias("start")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def period_window(df: DataFrame, time: str, span: str, offset: int = 0) -> DataFrame:
@@ -33,20 +34,45 @@ def period_window(df: DataFrame, time: str, span: str, offset: int = 0) -> DataF
     row = found.offset(at).limit(1).collect()
     if not row:
         return df.limit(0)
-    return df.where(F.date_trunc(span, F.col(time)).cast("timestamp_ntz") == F.lit(row[0]["start"]).cast("timestamp_ntz"))
+    return df.where(F.date_trunc(span, col(time)).cast("timestamp_ntz") == F.lit(row[0]["start"]).cast("timestamp_ntz"))
+
+
+def period_info(df: DataFrame, time: str, span: str, offset: int = 0) -> DataFrame:
+    """One row: start and end of the offset-th period, its rows and all rows, how many periods there are, its number from 1, the offset that was
+    taken and whether it was moved. span may be "all"."""
+    total = df.count()
+    if span == "all":
+        return df.sparkSession.createDataFrame([(None, None, total, total, 1, 1, 0, False)], _PERIOD)
+    found = periods(df, time, span)
+    n = found.count()
+    if not n:
+        raise ValueError("no time can be read")
+    at = min(max(offset, 0), n - 1)
+    row = found.orderBy("start").offset(at).limit(1)
+    end = F.date_trunc(span, F.timestamp_add("HOUR", F.lit({"year": 24 * 370, "month": 24 * 32, "week": 24 * 7, "day": 24}[span]), F.col("start"))).cast("timestamp_ntz")
+    return row.select(F.col("start").alias("from"), end.alias("to"), F.col("rows").alias("window_rows"), F.lit(total).cast("long").alias("total_rows"), F.lit(n).cast("long").alias("period_total"), F.lit(at + 1).cast("long").alias("period_index"), F.lit(at).cast("long").alias("offset"), F.lit(at != offset).alias("clamped"))
+
+
+_PERIOD = "`from` timestamp_ntz, `to` timestamp_ntz, window_rows long, total_rows long, period_total long, period_index long, offset long, clamped boolean"
+
+
+def column_values(df: DataFrame, column: str, max_rows: int | None = None, pos: str = "pos") -> DataFrame:
+    """A column in row order, of the first max_rows rows if given."""
+    kept = df if max_rows is None else df.where(col(pos) < max_rows)
+    return kept.select(col(pos), col(column)).orderBy(col(pos))
 
 
 def raw_series(df: DataFrame, columns: list[str], pos: str = "pos") -> DataFrame:
     if df.count() * len(columns) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells")
-    return df.select(pos, *columns).orderBy(pos)
+    return df.select(col(pos), *cols(columns)).orderBy(col(pos))
 
 
 def downsample_mean(df: DataFrame, column: str, every: int = 4, pos: str = "pos") -> DataFrame:
     """The mean of each four rows (all rows as they are if there are 500 or fewer), to 2 places."""
     if df.count() <= 500:
-        return df.select(F.col(pos).alias("pos"), F.col(column).alias(column))
-    out = df.groupBy(F.floor(F.col(pos) / every).alias("g")).agg(F.avg(column).alias("__m"))
+        return df.select(col(pos).alias("pos"), col(column).alias(column))
+    out = df.groupBy(F.floor(col(pos) / every).alias("g")).agg(F.avg(col(column)).alias("__m"))
     return out.select((F.col("g") * every).alias("pos"), half_up("__m", 2).alias(column))
 
 
@@ -54,17 +80,17 @@ def downsample_extremes(df: DataFrame, columns: list[str], cap: int, pos: str =
     """Positions of the first smallest and largest value and the first and last missing one of each column in cap // 4 buckets; thinned evenly beyond cap, the last kept."""
     n = df.count()
     if n <= cap:
-        return df.select(pos)
+        return df.select(col(pos))
     buckets = max(1, cap // 4)
-    bucket = F.floor(((F.col(pos) + 1) * buckets - 1) / n)
+    bucket = F.floor(((col(pos) + 1) * buckets - 1) / n)
     picks = []
     for c in columns:
-        low, high, gap = F.struct(F.col(c), F.col(pos)), F.struct(F.col(c), -F.col(pos)), F.when(F.col(c).isNull(), F.col(pos))
-        valid = F.col(c).isNotNull()
+        low, high, gap = F.struct(col(c), col(pos)), F.struct(col(c), -col(pos)), F.when(col(c).isNull(), col(pos))
+        valid = col(c).isNotNull()
         picks += [F.min(F.when(valid, low))[pos], -F.max(F.when(valid, high))["col2"], F.min(gap), F.max(gap)]
-    found = df.groupBy(bucket.alias("b")).agg(F.array(*picks).alias("p")).select(F.explode("p").alias(pos)).where(F.col(pos).isNotNull()).distinct()
+    found = df.groupBy(bucket.alias("b")).agg(F.array(*picks).alias("p")).select(F.explode("p").alias(pos)).where(col(pos).isNotNull()).distinct()
     # at most 4 positions per column and bucket from here on
-    at = [r[0] for r in found.orderBy(pos).collect()]
+    at = [r[0] for r in found.orderBy(col(pos)).collect()]
     if len(at) > cap:
         step = -(-len(at) // cap)
         at = sorted({*at[::step], at[-1]})
@@ -78,11 +104,11 @@ def lttb(df: DataFrame, columns: list[str], cap: int, pos: str = "pos") -> DataF
 
     n = df.count()
     if n <= cap or cap < 3:
-        return df.select(pos)
-    stats = df.agg(*[f(c) for c in columns for f in (F.avg, F.min, F.max)]).first()
+        return df.select(col(pos))
+    stats = df.agg(*[f(col(c)) for c in columns for f in (F.avg, F.min, F.max)]).first()
     mean, span = np.array([x if x is not None else 0.0 for x in stats[::3]]), np.array([(b - a) if a is not None and b > a else 1.0 for a, b in zip(stats[1::3], stats[2::3], strict=True)])
     every = (n - 2) / (cap - 2)
-    filled = df.select(F.col(pos).alias("p"), *[F.coalesce(F.col(c), F.lit(float(m))).alias(f"v{i}") for i, (c, m) in enumerate(zip(columns, mean, strict=True))])
+    filled = df.select(col(pos).alias("p"), *[F.coalesce(col(c), F.lit(float(m))).alias(f"v{i}") for i, (c, m) in enumerate(zip(columns, mean, strict=True))])
     bucket = F.when(F.col("p") == 0, -1).when(F.col("p") == n - 1, cap - 2).otherwise(F.floor((F.col("p") - 1) / F.lit(every)))
     rows = filled.withColumn("b", bucket.cast("int"))
     centres = {r["b"]: np.array(list(r)[1:]) for r in rows.groupBy("b").agg(F.avg("p"), *[F.avg(f"v{i}") for i in range(len(columns))]).collect()}

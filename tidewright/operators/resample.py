@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import col, cols
 from ..functions.numeric import half_up
-from ..plans.order import with_neighbours
+from ..plans.order import Halo, with_neighbours_of
 
 METHODS = ("mean", "sum", "first", "interpolate")
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
@@ -14,7 +15,7 @@ EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 def minute_bucket(ts: Column, minutes: int) -> Column:
     """Number of the bucket since 1970."""
-    return F.floor(F.timestamp_diff("SECOND", F.expr(EPOCH), ts) / (60 * minutes))
+    return F.floor(F.timestamp_diff("MICROSECOND", F.expr(EPOCH), ts) / (60_000_000 * minutes))
 
 
 def bucket_start(bucket: Column, minutes: int) -> Column:
@@ -23,8 +24,11 @@ def bucket_start(bucket: Column, minutes: int) -> Column:
 
 def interval_minutes(df: DataFrame, time: str, pos: str = "pos") -> int:
     """Median of the positive steps of time in row order, in minutes: 1 at least, ties to even."""
-    step = F.timestamp_diff("MICROSECOND", F.lag(time).over(Window.partitionBy(F.floor(F.col(pos) / 65536)).orderBy(pos)), F.col(time)) / 1e6
-    middle = df.where(F.col(time).isNotNull()).select(step.alias("d")).where("d > 0").agg(F.percentile("d", 0.5)).first()[0]
+    halo = Halo(df.select(col(pos), col(time)).where(col(time).isNotNull()), 1, pos)
+    step = F.timestamp_diff("MICROSECOND", F.lag(col(time)).over(halo.window), col(time)) / 1e6
+    steps = halo.own(halo.df.withColumn("__step", step)).where("__step > 0").groupBy("__step").agg(F.count(F.lit(1)).alias("n"))
+    # equal steps are counted first, so the median's buffer holds distinct ones
+    middle = steps.agg(F.percentile("__step", 0.5, F.col("n"))).first()[0]
     return max(1, round(middle / 60)) if middle else 1
 
 
@@ -32,20 +36,20 @@ def aggregate(df: DataFrame, time: str, columns: list[str], minutes: int, method
     """Bucket number and value of each column for the buckets that hold rows."""
     if method not in METHODS or not 1 <= minutes <= 1440:
         raise ValueError("unknown method or width")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(time, pos)))
+    first = lambda c: F.min_by(col(c), F.when(col(c).isNotNull(), F.struct(col(time), col(pos))))
     kinds = dict(df.dtypes)
 
     def value(c: str) -> Column:
         if kinds[c] in ("string",) or method == "first" or (method == "interpolate" and up):
             return first(c)
-        return F.sum(c) if method == "sum" else F.avg(c)
+        return F.sum(col(c)) if method == "sum" else F.avg(col(c))
 
-    return df.where(F.col(time).isNotNull()).groupBy(minute_bucket(F.col(time), minutes).alias("bucket")).agg(*[value(c).alias(c) for c in columns])
+    return df.where(col(time).isNotNull()).groupBy(minute_bucket(col(time), minutes).alias("bucket")).agg(*[value(c).alias(c) for c in columns])
 
 
 def preview(df: DataFrame, time: str, minutes: int) -> DataFrame:
     """One row of counts, without the rows: source_rows, unparsed, bucket_count, filled_buckets, empty_buckets."""
-    per = df.groupBy(minute_bucket(F.col(time), minutes).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    per = df.groupBy(minute_bucket(col(time), minutes).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     held = F.count("bucket")
     return per.agg(F.sum("n").alias("source_rows"), F.coalesce(F.sum(F.when(F.col("bucket").isNull(), F.col("n"))), F.lit(0)).alias("unparsed"), (F.max("bucket") - F.min("bucket") + 1).alias("bucket_count"), held.alias("filled_buckets"), (F.max("bucket") - F.min("bucket") + 1 - held).alias("empty_buckets"))
 
@@ -60,16 +64,14 @@ def resample(df: DataFrame, time: str, columns: list[str], minutes: int, method:
     axis = df.sparkSession.range(low, high + 1).withColumnRenamed("id", "__at") if low is not None else df.sparkSession.range(0).withColumnRenamed("id", "__at")
     out = axis.join(held, F.col("__at") == F.col("bucket"), "left").withColumn(pos, F.col("__at") - F.lit(low or 0))
     kinds = dict(df.dtypes)
-    for c in columns:
-        text = kinds[c] == "string"
-        if up or (method == "interpolate" and not text):
-            out = with_neighbours(out, c, pos)
-            a, b = F.col("__prev"), F.col("__next")
-            if method == "interpolate" and not text:
-                line = a["value"] + (b["value"] - a["value"]) * ((F.col(pos) - a["pos"]) / F.greatest(b["pos"] - a["pos"], F.lit(1)))
-                filled = F.coalesce(c, line, a["value"], b["value"])
-            else:
-                filled = F.coalesce(c, a["value"], b["value"])
-            out = out.withColumn(c, filled).drop("__prev", "__next")
-    numbers = {c: half_up(c, 2) for c in columns if kinds[c] != "string"}
-    return out.withColumns({time: bucket_start(F.col("__at"), minutes), **numbers}).select(pos, time, *columns)
+    gaps = [c for c in columns if up or (method == "interpolate" and kinds[c] != "string")]
+    if gaps:
+        out, made = with_neighbours_of(out, gaps, pos), {}
+        for i, c in enumerate(gaps):
+            a, b = F.col(f"__prev{i}"), F.col(f"__next{i}")
+            line = [a["value"] + (b["value"] - a["value"]) * ((col(pos) - a["pos"]) / F.greatest(b["pos"] - a["pos"], F.lit(1)))] if method == "interpolate" and kinds[c] != "string" else []
+            made[c] = F.coalesce(col(c), *line, a["value"], b["value"])
+        out = out.withColumns(made)
+    # many columns written out in place would be more code than a generated method may hold
+    numbers = {c: half_up(c if len(columns) <= 8 else col(c), 2) for c in columns if kinds[c] != "string"}
+    return out.withColumns({time: bucket_start(F.col("__at"), minutes), **numbers}).select(col(pos), col(time), *cols(columns))

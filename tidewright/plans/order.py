@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.names import col
+
 POS = "pos"
 BUCKET = 65_536
 
@@ -29,7 +31,7 @@ def numbered(df: DataFrame, order: list[Column], bucket: Column | None = None, p
 
 def hours(ts: Column) -> Column:
     """The hour since 1970 of a timestamp without time zone: a coarser key for numbered()."""
-    return F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts) / 3600)
+    return F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts) / 3_600_000_000)
 
 
 class Halo:
@@ -37,10 +39,10 @@ class Halo:
 
     def __init__(self, df: DataFrame, reach: int, pos: str = POS, size: int = BUCKET):
         size = max(size, reach)
-        at = F.floor(F.col(pos) / size)
-        both = F.when(F.col(pos) % size >= size - reach, F.array(at, at + 1)).otherwise(F.array(at))
+        at = F.floor(col(pos) / size)
+        both = F.when(col(pos) % size >= size - reach, F.array(at, at + 1)).otherwise(F.array(at))
         self.df = df.withColumn("__b", F.explode(both)).withColumn("__own", at == F.col("__b"))
-        self.window: WindowSpec = Window.partitionBy("__b").orderBy(pos)
+        self.window: WindowSpec = Window.partitionBy("__b").orderBy(col(pos))
 
     def before(self, n: int) -> WindowSpec:
         return self.window.rowsBetween(-n, -1)
@@ -53,28 +55,37 @@ class Halo:
         return df.where("__own").drop("__b", "__own")
 
 
-def with_neighbours(df: DataFrame, column: str, pos: str = POS, size: int = BUCKET) -> DataFrame:
-    """df with __prev and __next, the nearest valid (pos, value) before and after each row, itself included; NULL beyond the ends."""
-    df = df.withColumn("__b", F.floor(F.col(pos) / size))
-    here = F.when(F.col(column).isNotNull(), F.struct(F.col(pos).alias("pos"), F.col(column).alias("value")))
-    ends = df.groupBy("__b").agg(F.max(here).alias("__last"), F.min(here).alias("__first"))
-    carry = Window.orderBy("__b")
-    ends = ends.select(F.col("__b").alias("__k"), F.last("__last", True).over(carry.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.last("__first", True).over(Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)).alias("__after"))
-    inside = Window.partitionBy("__b").orderBy(pos)
+def with_neighbours_of(df: DataFrame, columns: list[str], pos: str = POS, size: int = BUCKET) -> DataFrame:
+    """df with __prev0, __next0, __prev1 and so on: for each column the nearest valid (pos, value) before and after each row, itself included; NULL
+    beyond the ends. All columns share one window in each direction and one table of what is carried between buckets."""
+    df = df.withColumn("__b", F.floor(col(pos) / size))
+    here = [F.when(col(c).isNotNull(), F.struct(col(pos).alias("pos"), col(c).alias("value"))) for c in columns]
+    ends = df.groupBy("__b").agg(*[f(h).alias(f"__{name}{i}") for i, h in enumerate(here) for f, name in ((F.max, "last"), (F.min, "first"))])
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.last(f"__{name}{i}", True).over(w).alias(f"__{to}{i}") for i in range(len(columns)) for name, w, to in (("last", before, "before"), ("first", after, "after"))]
+    ends = ends.select(F.col("__b").alias("__k"), *carried)
+    inside = Window.partitionBy("__b").orderBy(col(pos)).rowsBetween(Window.unboundedPreceding, 0)
     # what follows is looked up backwards: a frame that is open at its end would be gone through anew for every row
-    back = Window.partitionBy("__b").orderBy(F.desc(pos))
-    out = df.withColumns({"__prev": F.last(here, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "__next": F.last(here, True).over(back.rowsBetween(Window.unboundedPreceding, 0))})
+    back = Window.partitionBy("__b").orderBy(col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({f"__{name}{i}": F.last(h, True).over(w) for i, h in enumerate(here) for name, w in (("prev", inside), ("next", back))})
     out = out.join(ends, F.col("__b") == F.col("__k"))
-    return out.withColumns({"__prev": F.coalesce("__prev", "__before"), "__next": F.coalesce("__next", "__after")}).drop("__b", "__k", "__before", "__after")
+    out = out.withColumns({f"__{name}{i}": F.coalesce(f"__{name}{i}", f"__{beyond}{i}") for i in range(len(columns)) for name, beyond in (("prev", "before"), ("next", "after"))})
+    return out.drop("__b", "__k", *[f"__{x}{i}" for i in range(len(columns)) for x in ("before", "after")])
+
+
+def with_neighbours(df: DataFrame, column: str, pos: str = POS, size: int = BUCKET) -> DataFrame:
+    """with_neighbours_of() for one column: __prev and __next."""
+    return with_neighbours_of(df, [column], pos, size).withColumnsRenamed({"__prev0": "__prev", "__next0": "__next"})
 
 
 def with_running(df: DataFrame, column: str, pos: str = POS, size: int = BUCKET) -> DataFrame:
     """df with __sum and __count of the valid values before each row."""
-    df = df.withColumn("__b", F.floor(F.col(pos) / size))
-    sums = df.groupBy("__b").agg(F.sum(column).alias("__s"), F.count(column).alias("__n"))
+    df = df.withColumn("__b", F.floor(col(pos) / size))
+    sums = df.groupBy("__b").agg(F.sum(col(column)).alias("__s"), F.count(col(column)).alias("__n"))
     carry = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("__b").alias("__k"), F.coalesce(F.sum("__s").over(carry), F.lit(0.0)).alias("__s0"), F.coalesce(F.sum("__n").over(carry), F.lit(0)).alias("__n0"))
-    inside = Window.partitionBy("__b").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumns({"__sum": F.coalesce(F.sum(column).over(inside), F.lit(0.0)), "__count": F.coalesce(F.count(column).over(inside), F.lit(0))})
+    inside = Window.partitionBy("__b").orderBy(col(pos)).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumns({"__sum": F.coalesce(F.sum(col(column)).over(inside), F.lit(0.0)), "__count": F.coalesce(F.count(col(column)).over(inside), F.lit(0))})
     out = out.join(sums, F.col("__b") == F.col("__k"))
     return out.withColumns({"__sum": F.col("__s0") + F.col("__sum"), "__count": F.col("__n0") + F.col("__count")}).drop("__b", "__k", "__s0", "__n0")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..operators import align, anomaly, clean, explore, features, resample, stats, timeparse
 
 
@@ -19,11 +21,18 @@ class Meta:
     labels: dict = field(default_factory=dict)
     holidays: tuple = ()
     derived: tuple = ()
+    #: The family of each generated column.
+    features: dict = field(default_factory=dict)
     epoch: int = 0
 
 
 class StaleDetection(ValueError):
-    """The values have changed since the detection."""
+    """The values have changed since the detection, or it finds something else now."""
+
+
+#: Generated columns of a command at most.
+MAX_FEATURES = 400
+FAMILIES = {"feature_calendar": "time", "feature_lag": "lag", "feature_diff": "diff", "feature_category": "category"}
 
 
 COMMANDS: dict[str, Callable[[DataFrame, Meta, dict], tuple[DataFrame, Meta]]] = {}
@@ -47,7 +56,11 @@ def _with(meta: Meta, **changes) -> Meta:
 def _rename(df, meta, p):
     if p["to"] in df.columns:
         raise ValueError(f"there is a column {p['to']}")
-    return df.withColumnRenamed(p["column"], p["to"]), _with(meta, time=p["to"] if meta.time == p["column"] else meta.time, derived=tuple(p["to"] if x == p["column"] else x for x in meta.derived))
+    moved = lambda x: p["to"] if x == p["column"] else x
+    known = {moved(k): v for k, v in meta.labels.items()}
+    if p.get("label"):
+        known[p["to"]] = p["label"]
+    return df.withColumnRenamed(p["column"], p["to"]), _with(meta, time=moved(meta.time), labels=known, derived=tuple(map(moved, meta.derived)), features={moved(k): v for k, v in meta.features.items()})
 
 
 @command("delete_column")
@@ -101,6 +114,8 @@ def _set_time(df, meta, p):
 def _format(df, meta, p):
     if len(p["format"]) > 64:
         raise ValueError("at most 64 characters")
+    if not meta.time:
+        raise ValueError("there is no time column")
     return df, _with(meta, time_format=p["format"])
 
 
@@ -112,9 +127,11 @@ def _resample(df, meta, p):
 @command("impute")
 def _impute(df, meta, p):
     for t in p.get("targets", []):
+        if df.where(names.col("pos").between(t["start"], t["end"]) & names.col(t["column"]).isNull()).isEmpty():
+            raise ValueError(f"nothing is missing in {t['column']} from {t['start']} to {t['end']}")
         df = clean.impute(df, t["column"], t["algorithm"], t["start"], t["end"])
-    for column, algorithm in p.get("all", {}).items():
-        df = clean.impute(df, column, algorithm)
+    if p.get("all"):
+        df = clean.impute_all(df, p["all"])
     if p.get("dedupe"):
         df = clean.deduplicate(df, meta.time, p["dedupe"], [c for c, k in df.dtypes if k == "double"])
     return df, meta
@@ -130,7 +147,8 @@ def _repair(df, meta, p):
 @command("feature_calendar")
 def _calendar(df, meta, p):
     df = features.calendar(df, meta.time, list(meta.holidays))
-    return (features.cyclical(df, meta.time) if p.get("cyclical") else df), meta
+    parts = ("hour", "weekday", "month") if p.get("cyclical") is True else tuple(p.get("cyclical") or ())
+    return (features.cyclical(df, meta.time, parts, p.get("keep", True)) if parts else df), meta
 
 
 @command("feature_lag")
@@ -182,17 +200,47 @@ def _preset(df, meta, p):
 def _side(df, meta, p):
     from ..sources import io
 
+    # the file is pinned by its content when the command is given, and must be the same when it is replayed
+    io.check_content(p["path"], p.get("sha"))
+    p["sha"] = io.content_sha(p["path"])
     side = io.read(df.sparkSession, p["path"])
     side = timeparse.set_time(side, p["time"], p["format"]) if p.get("format") else side
-    return align.align(df, meta.time, side, p["time"], p["column"], p["name"], how=p.get("how", "exact"), tolerance=p.get("tolerance")), meta
+    wanted = p.get("columns") or ({p["column"]: p["name"]} if p.get("column") else io.variable_names([c for c in side.columns if c not in (p["time"], "pos")]))
+    out, p["receipt"] = align.align_table(df, meta.time, side, p["time"], wanted, how=p.get("how", "exact"), tolerance=p.get("tolerance"))
+    return out, meta
+
+
+@command("repair")
+def _pinned_repair(df, meta, p):
+    """A repair by a detection that is made again; it must find as many anomalies and the same bounds as when it was recorded."""
+    found = anomaly.detect(df, p["column"], p["method"], **p.get("options", {}))
+    seen = list(found.agg(F.count_if("anomaly"), F.max("lower"), F.max("upper")).first())
+    if p.get("found") not in (None, seen):
+        raise StaleDetection(f"{p['column']}: recorded {p['found']}, now {seen}")
+    p["found"] = seen
+    return anomaly.repair(found, p["column"], p["how"]), meta
+
+
+def _generated(before: DataFrame, base: DataFrame, after: DataFrame, meta: Meta, family: str) -> tuple[DataFrame, Meta, dict]:
+    """The columns that a command generated are registered under its family; those of the family that it didn't generate again have gone."""
+    made = [c for c in after.columns if c not in base.columns]
+    if not made:
+        raise ValueError("no column was generated")
+    if len(made) > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} columns")
+    gone = [c for c in before.columns if c not in base.columns and c not in made]
+    kept = {c: f for c, f in meta.features.items() if c not in gone}
+    return after, _with(meta, features=kept | dict.fromkeys(made, family)), {"family": family, "columns": made, "created": sum(c not in before.columns for c in made), "removed": gone}
 
 
 class Workspace:
     def __init__(self, df: DataFrame, meta: Meta):
         self.versions: list[tuple[DataFrame, Meta]] = [(df, meta)]
         self.log: list[dict] = []
+        #: What each command of the log reported.
+        self.receipts: list[dict] = []
         self.cursor = 0
-        self.detections: dict[str, tuple[int, DataFrame]] = {}
+        self.detections: dict[str, tuple[int, DataFrame, dict]] = {}
 
     @classmethod
     def open(cls, df: DataFrame, time: str | None = None) -> Workspace:
@@ -210,12 +258,26 @@ class Workspace:
         """One command more; what was undone is dropped only if it succeeds."""
         if kind not in COMMANDS:
             raise ValueError(f"unknown command: {kind}")
-        df, meta = COMMANDS[kind](self.df, self.meta, params)
+        before, meta, receipt = self.df, self.meta, {}
+        if family := FAMILIES.get(kind):
+            # the family's columns are made anew
+            base = before.drop(*[c for c, f in meta.features.items() if f == family])
+            df, meta = COMMANDS[kind](base, meta, params)
+            df, meta, receipt = _generated(before, base, df, meta, family)
+        else:
+            df, meta = COMMANDS[kind](before, meta, params)
+            receipt = params.pop("receipt", {})
+        if kind == "set_time_format":
+            receipt = {"changed": timeparse.changed_cells(df, meta.time, self.meta.time_format or timeparse.DISPLAY[0], meta.time_format)}
+        return self._commit(df, meta, kind, params, receipt)
+
+    def _commit(self, df: DataFrame, meta: Meta, kind: str, params: dict, receipt: dict) -> Workspace:
         if kind not in QUIET:
             meta = _with(meta, epoch=meta.epoch + 1)
-        del self.versions[self.cursor + 1 :], self.log[self.cursor :]
+        del self.versions[self.cursor + 1 :], self.log[self.cursor :], self.receipts[self.cursor :]
         self.versions.append((df, meta))
         self.log.append({"kind": kind, "params": params})
+        self.receipts.append(receipt)
         self.cursor += 1
         return self
 
@@ -233,19 +295,16 @@ class Workspace:
 
     def detect(self, column: str, method: str, **options) -> DataFrame:
         found = anomaly.detect(self.df, column, method, **options)
-        self.detections[column] = (self.meta.epoch, found)
+        self.detections[column] = (self.meta.epoch, found, {"method": method, "options": options})
         return found
 
     def repair(self, column: str, how: str) -> Workspace:
         """Repairs by the detection made last; refused if values changed since."""
         if column not in self.detections or self.detections[column][0] != self.meta.epoch:
             raise StaleDetection(column)
-        df = anomaly.repair(self.detections[column][1], column, how)
-        del self.versions[self.cursor + 1 :], self.log[self.cursor :]
-        self.versions.append((df, _with(self.meta, epoch=self.meta.epoch + 1)))
-        self.log.append({"kind": "repair", "params": {"column": column, "how": how}})
-        self.cursor += 1
-        return self
+        _, found, by = self.detections[column]
+        seen = list(found.agg(F.count_if("anomaly"), F.max("lower"), F.max("upper")).first())
+        return self._commit(anomaly.repair(found, column, how), self.meta, "repair", {"column": column, "how": how, **by, "found": seen}, {"repaired": seen[0]})
 
     def stats(self, columns: list[str]) -> DataFrame:
         return stats.stats_matrix(self.df, columns)
@@ -262,7 +321,18 @@ class Workspace:
         state = json.loads(saved)
         out = cls.open(df, state["time"])
         for step in state["log"]:
-            if step["kind"] == "repair":
-                raise ValueError("a repair needs its detection; record it as anomaly-repair")
             out.apply(step["kind"], **step["params"])
         return out
+
+    def save(self, path: str) -> None:
+        """The log as a file, which is there whole or not at all."""
+        with open(f"{path}.part", "w", encoding="utf-8") as f:
+            f.write(self.save_log())
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(f"{path}.part", path)
+
+    @classmethod
+    def reopen(cls, df: DataFrame, path: str) -> Workspace:
+        with open(path, encoding="utf-8") as f:
+            return cls.replay(df, f.read())
