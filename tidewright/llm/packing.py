@@ -5,8 +5,9 @@ the bucket boundaries that need the least padding. Inside a bucket all documents
 holds floor(budget / boundary) of them (one at least), and the n-th document of a bucket belongs to batch n div that number.
 n is counted in two steps, inside salted parts of a bucket and by sums over the parts, so a hot bucket isn't one task.
 
-Lengths up to EXACT are classes of their own; longer ones are rounded up to 10 significant bits, which pads them by under
-0.2 %. A document longer than the budget is a batch of its own: none is cut or dropped.
+Lengths up to EXACT are classes of their own; longer ones are rounded up to 10 significant bits, for the choice of boundaries only: a
+bucket is padded to the longest document in it, so the padding is the least there is up to EXACT and, beyond, exceeds it by under 0.2 % of the
+longer documents' lengths. A document longer than the budget is a batch of its own: none is cut or dropped.
 
 Defined cases: a null text has length 1, its end token; equal lengths are ordered by salt and id; repeated rows are packed like any others; an empty
 table gives an empty result; further columns pass through, and those added here replace others of the same name.
@@ -76,20 +77,24 @@ def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
 
 def pack(sized: DataFrame, length: str, *, doc_id: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """sized with bucket, bucket_length, batch_id ("bucket-number"), slot and padding."""
-    sized = sized.withColumn("__class", length_class(F.col(length)))
+    spark, sized = sized.sparkSession, sized.withColumn("__class", length_class(F.col(length)))
     histogram = [(r["__class"], r["n"]) for r in sized.groupBy("__class").agg(F.count(F.lit(1)).alias("n")).collect()]
     bounds = boundaries(histogram, buckets) or [1]
     limits = F.array(*[F.lit(b).cast("long") for b in bounds])
     bucket = F.size(F.filter(limits, lambda b: b < F.col("__class")))
-    capacity = F.array(*[F.lit(max(1, budget // b)).cast("long") for b in bounds])
     part = F.pmod(F.xxhash64(doc_id, length), F.lit(PARTS)).cast("int")
-    out = sized.withColumn("bucket", bucket).withColumns({"bucket_length": F.get(limits, F.col("bucket")), "__part": part})
-    sizes = out.groupBy(F.col("bucket").alias("__b"), F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__b").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__b", "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    out = sized.withColumn("bucket", bucket).withColumn("__part", part)
+    # at most buckets * PARTS rows come to the driver
+    parts = sorted(out.groupBy("bucket", "__part").agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("top")).collect())
+    tops, before, rows = [1] * len(bounds), [0] * len(bounds), []
+    for b, p, n, top in parts:
+        rows.append((b, p, before[b]))
+        before[b], tops[b] = before[b] + n, max(tops[b], top)
+    sizes = spark.createDataFrame(rows, "__b int, __p int, __before long")
+    capacity = F.array(*[F.lit(max(1, budget // t)).cast("long") for t in tops])
+    out = out.withColumn("bucket_length", F.get(F.array(*[F.lit(t).cast("long") for t in tops]), F.col("bucket")))
     inside = Window.partitionBy("bucket", "__part").orderBy(F.col(doc_id), F.col(length))
     out = out.withColumn("__rn", F.row_number().over(inside) - 1)
-    # at most buckets * PARTS rows
     out = out.join(F.broadcast(sizes), (F.col("bucket") == F.col("__b")) & (F.col("__part") == F.col("__p")))
     nth, room = F.col("__before") + F.col("__rn"), F.get(capacity, F.col("bucket"))
     out = out.withColumns({"batch_id": F.concat_ws("-", "bucket", F.floor(nth / room)), "slot": (nth % room).cast("int"), "padding": F.col("bucket_length") - F.col(length)})
