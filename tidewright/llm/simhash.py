@@ -43,6 +43,8 @@ STAGE_SHINGLE, SIMILAR, BANDS, ROWS = 5, (4, 5), 40, 8
 BLOCK = 250
 #: A text is split into words by so many bytes at a time.
 CHUNK = 1 << 20
+#: Parts into which the rows of one fingerprint are dealt where they meet its component.
+SALTS = 8
 #: Variants by one flip or none, 130 for each fingerprint, per partition of the join that finds collisions; the others stream past them.
 PER_PARTITION = 1_000_000
 
@@ -161,7 +163,10 @@ def groups(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = linked.join(least, "root").select("node", "least_id")
     named = per.join(linked, F.col("fingerprint") == F.col("node"), "left").select(F.col("fingerprint").alias("__f"), F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(named, F.col("fingerprint") == F.col("__f")).drop("__f")
+    # a text with many copies is met in SALTS places
+    named = named.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = prints.withColumn("__salt", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int"))
+    return salted.join(named, (F.col("fingerprint") == F.col("__f")) & (F.col("__salt") == F.col("__s"))).drop("__f", "__s", "__salt")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
