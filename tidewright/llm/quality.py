@@ -172,11 +172,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns they came with."""
-    own = [f"l_{r}" for r in RULES]
-    measured = levels(base(docs.select("doc_id", "text", "lang"))).select("doc_id", "stratum", "base_failed", *own)
-    cutoffs = calibrate(written(measured, "quality"), labels)
-    # the columns as they came travel in a struct, which no measure can replace
-    carried = levels(base(docs.select(F.struct(*docs.columns).alias("__doc"), "text", "lang"))).select("__doc", "stratum", "base_failed", *own)
-    # a condition that differs by row stays above the projections; pushed down, it would be written out with every step of them
-    judged = judge(carried, cutoffs).withColumn("__row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("__row") >= 0)).select("__doc.*")
+    # the columns as they came travel in a struct, which no measure can replace; texts are measured once and written with their levels
+    measured = levels(base(docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text", "lang")))
+    measured = written(measured.select("__doc", "doc_id", "stratum", "base_failed", *[f"l_{r}" for r in RULES]), "quality")
+    return judge(measured, calibrate(measured, labels)).where("kept").select("__doc.*")
