@@ -67,7 +67,7 @@ def _overview(spark, d):
 def _stats_sql(column: str, table: str) -> str:
     return f"""SELECT '{column}' AS name, n, missing, {up('mean', 6)} AS mean, {up('std', 6)} AS std, (s[(n - 1) // 2 + 1] + s[n // 2 + 1]) / 2 AS median,
  s[CAST(floor(n * 0.25) AS BIGINT) + 1] AS q1, s[CAST(floor(n * 0.75) AS BIGINT) + 1] AS q3, s[1] AS min, s[n] AS max, {up('rate', 6)} AS missing_rate
-FROM (SELECT count({column}) AS n, count(*) - count({column}) AS missing, avg({column}) AS mean, stddev_pop({column}) AS std, list_sort(list({column}) FILTER ({column} IS NOT NULL)) AS s, (count(*) - count({column}))::DOUBLE / count(*) AS rate FROM {table})"""
+FROM (SELECT count({column}) AS n, count(*) - count({column}) AS missing, avg({column}) AS mean, stddev_pop({column}) AS std, list_sort(list({column}) FILTER ({column} IS NOT NULL)) AS s, (count(*) - count({column}))::DOUBLE / count(*) * 100 AS rate FROM {table})"""
 
 
 @query("stats_matrix", f"WITH {EV} {_stats_sql('v', 'ev')} UNION ALL {_stats_sql('spiked', 'ev')}")
@@ -75,6 +75,11 @@ def _matrix(spark, d):
     return _rounded(stats.stats_matrix(events(spark, d), ["v", "spiked"]), 6, "mean", "std", "missing_rate")
 
 
+@query("matrix_scale", f"WITH {EV} SELECT greatest(1.0, max(v), max(spiked))::DOUBLE AS global_max FROM ev")
+def _scale(spark, d):
+    return stats.matrix_scale(events(spark, d), ["v", "spiked"])
+
+
 @query("stats_lineitem", " UNION ALL ".join(_stats_sql(c, "lineitem") for c in ("l_quantity", "l_extendedprice")))
 def _lineitem(spark, d):
     return _rounded(stats.stats_matrix(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_quantity", "l_extendedprice"]), 6, "mean", "std", "missing_rate")
@@ -343,9 +348,9 @@ def _expr(spark, d):
     return anomaly.detect(events(spark, d), "spiked", "expr", expression="abs(v - mean) > 2 * std && v > 0 || v < 1").select("pos", "anomaly")
 
 
-@query("detect_summary", f"WITH {EV}, {_S}, {_Q}, b AS (SELECT {_BOUNDS['iqr']} FROM q) SELECT 'spiked' AS name, CAST(sum(CAST(coalesce(spiked < lo OR spiked > hi, false) AS BIGINT)) AS BIGINT) AS count, {up('max(lo)', 6)} AS lower, {up('max(hi)', 6)} AS upper FROM ev, b")
+@query("detect_summary", f"WITH {EV}, {_S}, {_Q}, b AS (SELECT {_BOUNDS['iqr']} FROM q), c AS (SELECT count(*) AS total, CAST(sum(CAST(coalesce(spiked < lo OR spiked > hi, false) AS BIGINT)) AS BIGINT) AS count, max(lo) AS lo, max(hi) AS hi FROM ev, b) SELECT 'spiked' AS name, total, count, total - count AS normal, count::DOUBLE / total * 100 AS rate, {up('lo', 6)} AS lower, {up('hi', 6)} AS upper FROM c")
 def _summary(spark, d):
-    return _rounded(anomaly.summary(anomaly.detect(events(spark, d), "spiked", "iqr"), "spiked"), 6, "lower", "upper").select("name", "count", "lower", "upper")
+    return _rounded(anomaly.summary(anomaly.detect(events(spark, d), "spiked", "iqr"), "spiked"), 6, "lower", "upper")
 
 
 @query("detect_totals", f"WITH {EV}, f AS (SELECT coalesce(spiked > 300, false) AS a, coalesce(v < 1, false) AS b FROM ev), s AS (SELECT CAST(sum(a::INT) AS BIGINT) AS a, CAST(sum(b::INT) AS BIGINT) AS b, count(*) AS n FROM f) SELECT a + b AS total_anomalies, (a + b)::DOUBLE / (n * 2) * 100 AS overall_rate, CAST((a > 0)::INT + (b > 0)::INT AS BIGINT) AS cols_affected, n * 2 AS total_cells FROM s")

@@ -99,7 +99,9 @@ def _path(n: int) -> float:
 
 
 def summary(detected: DataFrame, column: str) -> DataFrame:
-    return detected.agg(F.lit(column).alias("name"), F.sum(F.col("anomaly").cast("long")).alias("count"), F.try_divide(F.sum(F.col("anomaly").cast("double")), F.count(F.lit(1))).alias("rate"), F.max("lower").alias("lower"), F.max("upper").alias("upper"))
+    """One row: rows, anomalies, the rest, the rate in percent and the bounds."""
+    n, found = F.count(F.lit(1)), F.count_if("anomaly")
+    return detected.agg(F.lit(column).alias("name"), n.alias("total"), found.alias("count"), (n - found).alias("normal"), F.coalesce(F.try_divide(found, n) * 100, F.lit(0.0)).alias("rate"), F.max("lower").alias("lower"), F.max("upper").alias("upper"))
 
 
 def summary_totals(df: DataFrame, flags: list[str]) -> DataFrame:

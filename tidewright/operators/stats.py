@@ -84,11 +84,16 @@ def column_stats(df: DataFrame, column: str) -> Stats:
 
 
 def stats_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column: its statistics and the share of missing values."""
-    rows = [(c, *astuple(x), x.missing / (x.n + x.missing) if x.n + x.missing else 0.0) for c, x in stats_of(df, columns).items()]
+    """One row per column: its statistics and the share of missing values in percent of all rows."""
+    rows = [(c, *astuple(x), x.missing / (x.n + x.missing) * 100 if x.n + x.missing else 0.0) for c, x in stats_of(df, columns).items()]
     return df.sparkSession.createDataFrame(rows, "name string, n long, missing long, mean double, std double, median double, q1 double, q3 double, min double, max double, missing_rate double")
 
 
+def matrix_scale(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: global_max, the largest value of all columns, 1 at least."""
+    return df.agg(F.greatest(F.lit(1.0), *[F.max(col(c)).cast("double") for c in columns]).alias("global_max"))
+
+
 def histogram_marks(df: DataFrame, column: str, bins: int = 25) -> DataFrame:
     """One row: n, missing, min, max, mean, median, bin_width and the bins that hold mean and median."""
     if not 2 <= bins <= 200:
