@@ -176,9 +176,75 @@ def test_lttb_against_its_rule(spark):
     a = [None if i % 17 == 3 else float(x) for i, x in enumerate(rng.normal(0, 5, 500).round(3))]
     b = [float(x) for x in rng.normal(0, 50, 500).cumsum().round(3)]
     df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(a, b, strict=True))], "pos long, a double, b double")
-    for columns in (["b"], ["a", "b"]):
-        got = [r["pos"] for r in explore.lttb(df, columns, 40).orderBy("pos").collect()]
-        assert got == slow_lttb([{"a": a, "b": b}[c] for c in columns], 40)
+    c = [float(x) for x in rng.uniform(-1, 1, 500).round(4)]
+    df = df.join(spark.createDataFrame(list(enumerate(c)), "at long, c double"), F.col("pos") == F.col("at")).drop("at").repartition(5, "c")
+    for columns in (["b"], ["a", "b"], ["a", "b", "c"]):
+        for cap in (12, 40):
+            got = [r["pos"] for r in explore.lttb(df, columns, cap).orderBy("pos").collect()]
+            assert got == slow_lttb([{"a": a, "b": b, "c": c}[k] for k in columns], cap)
+
+
+def test_corners_hold_every_winner():
+    """For any last pick and any next mean, the first row of the largest area is a corner; and corners are few."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    n, span = 6000, [2.0, 0.5]
+    p, v = np.arange(n, dtype=float), rng.normal(0, 1, (n, 2)).round(2)
+    batches = pa.table({"b": np.arange(n) // 2000, "p": p, "v0": v[:, 0], "v1": v[:, 1]}).to_batches(max_chunksize=333)
+    order = rng.permutation(len(batches))
+    left = pa.Table.from_batches(explore._reducer(span, held=500)(iter([batches[i] for i in order]))).to_pandas()
+    assert len(left) < n / 20 and left["p"].is_monotonic_increasing
+    for _ in range(200):
+        b = rng.integers(3)
+        a, c = np.array([b * 2000 - 1, *rng.normal(0, 2, 2)]), np.array([b * 2000 + 2500, *rng.normal(0, 2, 2)])
+        area = sum(abs((a[0] - c[0]) * (v[:, i] - a[i + 1]) - (a[0] - p) * (c[i + 1] - a[i + 1])) / span[i] for i in range(2))[b * 2000 : b * 2000 + 2000]
+        assert b * 2000 + int(np.argmax(area)) in set(left["p"])
+
+
+def test_merge_splits_rows_without_a_time(spark):
+    none = spark.range(70_000).select(F.col("id").alias("pos"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.col("id").alias("x"))
+    some = spark.sql("select 0L as pos, timestamp_ntz'1950-01-01 00:00:00' as ts, -1L as x")
+    got = align.merge([none, some, none], "ts").orderBy("pos").select("pos", "x").toPandas()
+    assert got["pos"].tolist() == list(range(140_001)) and got["x"].tolist() == [-1, *range(70_000), *range(70_000)]
+
+
+def test_masks(spark):
+    df = frame(spark)
+    assert clean.mask(clean.mask(df, "m", 0, 3), "m", 2, 15).agg(F.sum("m")).first()[0] == 14
+    for bad in (("1m", 0, 3), ("油", 0, 3), ("pos", 0, 3), ("m", 2, 1), ("m", 0, 16), ("m", -1, 2)):
+        with pytest.raises(ValueError):
+            clean.mask(df, *bad)
+
+
+def test_sessions_and_scripts(spark, tmp_path):
+    from tidewright.plans.sessions import Sessions
+
+    frame(spark).drop("pos").coalesce(1).write.parquet(str(tmp_path / "in.parquet"))
+    held = Sessions(str(tmp_path / "logs"), lambda source: io.read(spark, source["path"]), capacity=1)
+    first = held.open({"path": str(tmp_path / "in.parquet")}, name="one")
+    held.get(first).apply("impute", all={"v": "linear"}).apply("convert_unit", column="v", factor=2.0).apply("convert_unit", column="v", factor=3.0).undo()
+    held.save(first)
+    second = held.open({"path": str(tmp_path / "in.parquet")}, name="two")
+    # the first one has left memory, not the disk
+    assert [(x["id"], x["name"], x["version"], x["commands"], x["open"]) for x in held.list()] == [(second, "two", 0, 0, True), (first, "one", 2, 3, False)]
+    assert held.probe(first, 3) == {"alive": True, "version": 2, "rows": 16, "canUndo": True, "canRedo": True, "drift": True}
+    w = held.get(first)
+    names = {}
+    exec(w.script(str(tmp_path / "in.parquet")), names)
+    assert sorted(map(repr, names["build"](spark).collect())) == sorted(map(repr, w.df.collect()))
+    assert w.redo().cursor == 3 and held.close(first) and not held.close(first) and not held.probe(first)["alive"]
+    for bad in (first, "../x"):
+        with pytest.raises(KeyError):
+            held.get(bad)
+
+
+def test_side_store(tmp_path):
+    (tmp_path / "a.csv").write_text("t,x\n1,2\n")
+    at = io.store_side(str(tmp_path), str(tmp_path / "a.csv"))
+    assert io.store_side(str(tmp_path), str(tmp_path / "a.csv")) == at and io.datasets(str(tmp_path)) == ["a.csv"]
+    (tmp_path / "a.csv").write_text("t,x\n1,3\n")
+    assert io.store_side(str(tmp_path), str(tmp_path / "a.csv")) != at and len(io.side_tables(str(tmp_path))) == 2
 
 
 def test_steps_across_buckets_and_times_before_1970(spark):

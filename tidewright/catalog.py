@@ -75,6 +75,13 @@ def _matrix(spark, d):
     return _rounded(stats.stats_matrix(events(spark, d), ["v", "spiked"]), 6, "mean", "std", "missing_rate")
 
 
+@query("frame_info", f"""WITH {EV}, h AS (SELECT *, date_trunc('hour', ts) AS hour FROM ev), d AS (SELECT date_diff('microsecond', lag(hour) OVER (ORDER BY pos), hour) / 1e6 AS step FROM h)
+SELECT CAST(7 AS BIGINT) AS columns, 2 * count(*) AS cells, sum(CAST(v IS NULL AS BIGINT) + CAST(value IS NULL AS BIGINT)) / (2.0 * count(*)) * 100 AS missing_rate, (count(*) - count(DISTINCT hour)) / CAST(count(*) AS DOUBLE) * 100 AS duplicate_rate,
+ (SELECT CAST(greatest(1, round_even(median(step) / 60, 0)) AS BIGINT) FROM d WHERE step > 0) AS interval_minutes FROM h""")
+def _frame_info(spark, d):
+    return stats.frame_info(events(spark, d).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz")), "hour", ["v", "value"])
+
+
 @query("matrix_scale", f"WITH {EV} SELECT greatest(1.0, max(v), max(spiked))::DOUBLE AS global_max FROM ev")
 def _scale(spark, d):
     return stats.matrix_scale(events(spark, d), ["v", "spiked"])
@@ -591,7 +598,20 @@ def _extremes(spark, d):
     return explore.downsample_extremes(events(spark, d), ["v"], 200)
 
 
-@query("lttb")
+_AREA = "abs((l.p - c.p) * (x.v0 - l.v0) - (l.p - x.p) * (c.v0 - l.v0)) / s.s0 + abs((l.p - c.p) * (x.v1 - l.v1) - (l.p - x.p) * (c.v1 - l.v1)) / s.s1"
+
+
+@query("lttb", f"""WITH RECURSIVE {EV}, s AS (SELECT count(*) AS n, avg(v) AS m0, avg(value) AS m1, max(v) - min(v) AS s0, max(value) - min(value) AS s1 FROM ev),
+ r AS (SELECT CAST(CASE WHEN pos = 0 THEN -1 WHEN pos = n - 1 THEN 198 ELSE floor((pos - 1) / (CAST(n - 2 AS DOUBLE) / 198)) END AS INT) AS b, CAST(pos AS DOUBLE) AS p, coalesce(v, m0) AS v0, coalesce(value, m1) AS v1 FROM ev, s),
+ centre AS (SELECT b, avg(p) AS p, avg(v0) AS v0, avg(v1) AS v1 FROM r GROUP BY b),
+ held AS (SELECT b, list(struct_pack(p := p, v0 := v0, v1 := v1) ORDER BY p) AS pts FROM r GROUP BY b),
+ last AS (
+  SELECT b, p, v0, v1 FROM r WHERE b = -1
+  UNION ALL
+  SELECT b, w.p, w.v0, w.v1 FROM (
+   SELECT g.b, list_max(list_transform(g.pts, lambda x: struct_pack(area := {_AREA}, q := -x.p, p := x.p, v0 := x.v0, v1 := x.v1))) AS w
+   FROM last AS l JOIN held AS g ON g.b = l.b + 1 JOIN centre AS c ON c.b = l.b + 2, s))
+SELECT CAST(p AS BIGINT) AS pos FROM last UNION ALL SELECT CAST(p AS BIGINT) FROM r WHERE b = 198""")
 def _lttb(spark, d):
     return explore.lttb(events(spark, d), ["v", "value"], 200)
 

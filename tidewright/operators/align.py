@@ -126,7 +126,10 @@ def merge(frames: list[DataFrame], time: str, pos: str = "pos") -> DataFrame:
 
 
 def _by_time(stacked: DataFrame, time: str, pos: str) -> DataFrame:
-    return numbered(stacked, [col(time).asc_nulls_last(), F.col("__file"), F.col("__old")], hours(col(time)), pos)
+    # rows without a time come last, in parts of 65,536 positions of a file
+    none = col(time).isNull()
+    key = F.struct(F.coalesce(hours(col(time)), F.lit(1 << 62)), F.when(none, F.col("__file")), F.when(none, F.floor(F.col("__old") / 65536)))
+    return numbered(stacked, [col(time).asc_nulls_last(), F.col("__file"), F.col("__old")], key, pos)
 
 
 def merge_receipt(frames: list[DataFrame], time: str, pos: str = "pos") -> DataFrame:

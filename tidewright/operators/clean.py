@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,8 +96,11 @@ def deduplicate(df: DataFrame, time: str, how: str, columns: list[str], pos: str
 
 
 def mask(df: DataFrame, name: str, start: int, end: int, pos: str = "pos") -> DataFrame:
-    if name in df.columns:
-        raise ValueError(f"there is a column {name}")
+    """df with a 0/1 column, 1 from start to end; a column of this name is replaced."""
+    if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_]*", name) or name == pos:
+        raise ValueError(f"bad name: {name}")
+    if not 0 <= start <= end < df.count():
+        raise ValueError(f"no rows from {start} to {end}")
     return df.withColumn(name, col(pos).between(start, end).cast("bigint"))
 
 

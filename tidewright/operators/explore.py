@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions.names import col, cols
 from ..functions.numeric import half_up
 
 SPANS = ("year", "month", "week", "day")
-MAX_CELLS, MAX_POINTS = 600_000, 6000
+MAX_CELLS, MAX_POINTS, MAX_HULLS = 600_000, 6000, 8
 
 
 def page(df: DataFrame, offset: int, limit: int, pos: str = "pos") -> DataFrame:
@@ -97,41 +99,86 @@ def downsample_extremes(df: DataFrame, columns: list[str], cap: int, pos: str =
     return df.sparkSession.createDataFrame([(x,) for x in at], f"{pos} long")
 
 
+def _corners(b, p, v, signs):
+    """Which points, sorted by p, may win: those on the upper or lower hull of (p, sum of signed values) in their bucket for some choice of signs."""
+    import numpy as np
+
+    keep = np.zeros(len(p), bool)
+    for sign in signs:
+        w = v @ sign
+        for way in (w, -w):
+            at = np.arange(len(p))
+            # points on or below the chord of their neighbours go; what is left over after the last round does no harm
+            for _ in range(64):
+                if len(at) < 3:
+                    break
+                i, j, k = at[:-2], at[1:-1], at[2:]
+                below = (way[j] - way[i]) * (p[k] - p[i]) <= (way[k] - way[i]) * (p[j] - p[i])
+                gone = below & (b[i] == b[j]) & (b[j] == b[k])
+                if not gone.any():
+                    break
+                at = np.concatenate((at[:1], j[~gone], at[-1:]))
+            keep[at] = True
+    return keep
+
+
+def _reducer(span: list[float], held: int = 65_536):
+    """A function for mapInArrow that passes on the corners of each bucket; it holds those found so far and some batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    signs = [np.array((1.0, *s)) / span for s in itertools.product((1.0, -1.0), repeat=len(span) - 1)]
+
+    def reduced(batches):
+        table = pa.Table.from_batches(batches).sort_by("p")
+        # rows of a bucket are neighbours, as buckets follow positions
+        x = [table[c].to_numpy() for c in table.column_names]
+        return table.filter(pa.array(_corners(x[0], x[1], np.column_stack(x[2:]), signs))).combine_chunks().to_batches()
+
+    def run(batches):
+        kept, new, rows = [], [], 0
+        for batch in batches:
+            new.append(batch)
+            rows += batch.num_rows
+            if rows > max(held, sum(x.num_rows for x in kept)):
+                kept, new, rows = reduced(kept + new), [], 0
+        if kept or rows:
+            yield from reduced(kept + new)
+
+    return run
+
+
 def lttb(df: DataFrame, columns: list[str], cap: int, pos: str = "pos") -> DataFrame:
     """Positions that largest-triangle-three-buckets keeps, areas added up over columns in units of their ranges; missing values count as the
-    column's mean. Buckets' means come from one aggregation; each pick depends on the last, so buckets are then folded one after the other, each bounded by n / cap rows."""
+    column's mean. Of several rows of the same area the first is kept.
+
+    Each pick depends on the last, but for any choice of signs the area is linear in (p, sum of signed values), so only corners of these
+    points' hulls can win. Tasks reduce buckets to them, first where the rows are, then by bucket, and the driver goes through some dozens of rows a
+    bucket. Beyond MAX_HULLS columns there would be too many choices of signs, and all rows pass through the driver in order, bucket by bucket.
+    """
     import numpy as np
 
     n = df.count()
     if n <= cap or cap < 3:
         return df.select(col(pos))
     stats = df.agg(*[f(col(c)) for c in columns for f in (F.avg, F.min, F.max)]).first()
-    mean, span = np.array([x if x is not None else 0.0 for x in stats[::3]]), np.array([(b - a) if a is not None and b > a else 1.0 for a, b in zip(stats[1::3], stats[2::3], strict=True)])
-    every = (n - 2) / (cap - 2)
-    filled = df.select(col(pos).alias("p"), *[F.coalesce(col(c), F.lit(float(m))).alias(f"v{i}") for i, (c, m) in enumerate(zip(columns, mean, strict=True))])
-    bucket = F.when(F.col("p") == 0, -1).when(F.col("p") == n - 1, cap - 2).otherwise(F.floor((F.col("p") - 1) / F.lit(every)))
-    rows = filled.withColumn("b", bucket.cast("int"))
-    centres = {r["b"]: np.array(list(r)[1:]) for r in rows.groupBy("b").agg(F.avg("p"), *[F.avg(f"v{i}") for i in range(len(columns))]).collect()}
-    picked, last, inside, at = [], None, [], -1
-
-    def close(b: int) -> None:
-        nonlocal last
-        x = np.array(inside, float)
+    mean, span = [x if x is not None else 0.0 for x in stats[::3]], [float(b - a) if a is not None and b > a else 1.0 for a, b in zip(stats[1::3], stats[2::3], strict=True)]
+    every, names = (n - 2) / (cap - 2), [f"v{i}" for i in range(len(columns))]
+    bucket = F.when(F.col("p") == 0, -1).when(F.col("p") == n - 1, cap - 2).otherwise(F.floor((F.col("p") - 1) / F.lit(every))).cast("int")
+    rows = df.select(col(pos).cast("double").alias("p"), *[F.coalesce(col(c).cast("double"), F.lit(float(m))).alias(v) for v, c, m in zip(names, columns, mean, strict=True)]).select(bucket.alias("b"), "p", *names)
+    centres = {r["b"]: np.array(list(r)[1:]) for r in rows.groupBy("b").agg(F.avg("p"), *[F.avg(v) for v in names]).collect()}
+    if len(columns) <= MAX_HULLS:
+        reduce = _reducer(span)
+        rows = rows.mapInArrow(reduce, rows.schema).repartition("b").mapInArrow(reduce, rows.schema)
+    picked, last = [], None
+    for b, group in itertools.groupby(rows.orderBy("p").toLocalIterator(), key=lambda r: r["b"]):
+        x = np.array([list(r)[1:] for r in group])
         if last is None or b == cap - 2:
             choice = 0
         else:
-            nxt = b + 1
-            c = centres[nxt]
+            c = centres[b + 1]
             area = sum(abs((last[0] - c[0]) * (x[:, i] - last[i]) - (last[0] - x[:, 0]) * (c[i] - last[i])) / span[i - 1] for i in range(1, x.shape[1]))
             choice = int(np.argmax(area))
         last = x[choice]
         picked.append((int(last[0]),))
-
-    for row in rows.orderBy("p").select("b", "p", *[f"v{i}" for i in range(len(columns))]).toLocalIterator():
-        if row["b"] != at and inside:
-            close(at)
-            inside = []
-        at = row["b"]
-        inside.append(list(row)[1:])
-    close(at)
     return df.sparkSession.createDataFrame(picked, f"{pos} long")

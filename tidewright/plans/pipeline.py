@@ -313,26 +313,38 @@ class Workspace:
         return explore.page(self.df, offset, limit)
 
     def save_log(self) -> str:
-        return json.dumps({"time": self.versions[0][1].time, "log": self.log[: self.cursor]}, ensure_ascii=False)
+        """All commands, and how many of them are in effect."""
+        return json.dumps({"time": self.versions[0][1].time, "log": self.log, "cursor": self.cursor}, ensure_ascii=False)
 
     @classmethod
     def replay(cls, df: DataFrame, saved: str) -> Workspace:
-        """The plans of a saved log, built again over df."""
+        """The plans of a saved log, built again over df; what was undone can still be redone."""
         state = json.loads(saved)
         out = cls.open(df, state["time"])
         for step in state["log"]:
             out.apply(step["kind"], **step["params"])
-        return out
+        return out.restore(state.get("cursor", len(state["log"])))
 
     def save(self, path: str) -> None:
         """The log as a file, which is there whole or not at all."""
-        with open(f"{path}.part", "w", encoding="utf-8") as f:
-            f.write(self.save_log())
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(f"{path}.part", path)
+        write_whole(path, self.save_log())
 
     @classmethod
     def reopen(cls, df: DataFrame, path: str) -> Workspace:
         with open(path, encoding="utf-8") as f:
             return cls.replay(df, f.read())
+
+    def script(self, path: str) -> str:
+        """A Python program whose build(spark) reads the table at path and gives the frame as it is now."""
+        steps = [f"    w.apply({step['kind']!r}, **{step['params']!r})" for step in self.log[: self.cursor]]
+        head = ["from tidewright.plans.pipeline import Workspace", "from tidewright.sources import io", "", "", "def build(spark):", f"    w = Workspace.open(io.read(spark, {path!r}), {self.versions[0][1].time!r})"]
+        return "\n".join([*head, *steps, "    return w.df", ""])
+
+
+def write_whole(path: str, text: str) -> None:
+    """A file that is there whole or not at all."""
+    with open(f"{path}.part", "w", encoding="utf-8") as f:
+        f.write(text)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(f"{path}.part", path)

@@ -6,6 +6,7 @@ import csv
 import hashlib
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -251,6 +252,25 @@ def content_name(path: str) -> str:
     return f"{stem}__{digest[:12]}{kind}"
 
 
+SIDE_FOLDER = "_exo"
+
+
+def store_side(folder: str, path: str) -> str:
+    """Copies a side table into the dataset folder's own place for them, named by its content: equal files are one, and a changed one leaves the
+    old there for logs that refer to it."""
+    at = os.path.join(folder, SIDE_FOLDER, content_name(path))
+    if not os.path.exists(at):
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        shutil.copyfile(path, f"{at}.part")
+        os.replace(f"{at}.part", at)
+    return at
+
+
+def side_tables(folder: str) -> list[str]:
+    at = os.path.join(folder, SIDE_FOLDER)
+    return datasets(at) if os.path.isdir(at) else []
+
+
 def variable_name(header: str) -> str:
     """An ASCII name for a header: letters, digits and underscores, 64 at most, starting with a letter; empty if nothing is left."""
     out = re.sub(r"_+", "_", re.sub(r"[^A-Za-z0-9_]", "_", header)).strip("_")
