@@ -313,6 +313,33 @@ def test_text_files(spark, tmp_path):
         io.open_dataset(spark, str(tmp_path), "../x.csv")
 
 
+def test_feather_batches(spark, tmp_path):
+    """A file of several batches, also of categories and nanoseconds, keeps its rows in their order."""
+    import pandas as pd
+    import pyarrow.feather
+
+    n = 5000
+    made = pd.DataFrame({"a": np.arange(n), "b": pd.Categorical(np.where(np.arange(n) % 2, "x", " y ")), "ts": pd.date_range("2024-01-01", periods=n, freq="min"), "v": np.where(np.arange(n) % 7 == 0, np.nan, 0.5)})
+    for version, compression in ((2, "lz4"), (2, "uncompressed")):
+        path = str(tmp_path / f"{compression}.feather")
+        pyarrow.feather.write_feather(made, path, version=version, compression=compression, chunksize=300)
+        got = io.read(spark, path).orderBy("pos").toPandas()
+        assert got["a"].tolist() == got["pos"].tolist() == list(range(n)) and got["b"].tolist() == ["x" if i % 2 else "y" for i in range(n)]
+        assert (got["ts"] == made["ts"]).all() and got["v"].isna().sum() == made["v"].isna().sum()
+    pyarrow.feather.write_feather(made[:0], str(tmp_path / "none.feather"))
+    assert io.read(spark, str(tmp_path / "none.feather")).count() == 0
+
+
+def test_interval_of_many_steps(spark, monkeypatch):
+    gaps = np.random.default_rng(4).integers(30, 400, 501)
+    rows = [(i, int(x)) for i, x in enumerate(np.concatenate(([0], gaps.cumsum())))]
+    df = spark.createDataFrame(rows, "pos long, s long").select("pos", F.timestamp_add("SECOND", F.col("s"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")).alias("ts"))
+    want = max(1, round(float(np.median(gaps)) / 60))
+    assert resample.interval_minutes(df, "ts") == want
+    monkeypatch.setattr(resample, "MAX_STEPS", 20)
+    assert resample.interval_minutes(df, "ts") == want and resample.interval_minutes(df.limit(0), "ts") == 1
+
+
 def test_side_files(spark, tmp_path):
     path = tmp_path / "side.csv"
     path.write_text("timestamp,rain mm,雨,rain-mm,note\n2024-01-01 00:01:00,1.5,2,3,x\n2024-01-01 00:02:00,2.5,2,3,y\n", encoding="utf-8")

@@ -79,7 +79,7 @@ def _matrix(spark, d):
 SELECT CAST(7 AS BIGINT) AS columns, 2 * count(*) AS cells, sum(CAST(v IS NULL AS BIGINT) + CAST(value IS NULL AS BIGINT)) / (2.0 * count(*)) * 100 AS missing_rate, (count(*) - count(DISTINCT hour)) / CAST(count(*) AS DOUBLE) * 100 AS duplicate_rate,
  (SELECT CAST(greatest(1, round_even(median(step) / 60, 0)) AS BIGINT) FROM d WHERE step > 0) AS interval_minutes FROM h""")
 def _frame_info(spark, d):
-    return stats.frame_info(events(spark, d).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz")), "hour", ["v", "value"])
+    return quality.frame_info(events(spark, d).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz")), "hour", ["v", "value"])
 
 
 @query("matrix_scale", f"WITH {EV} SELECT greatest(1.0, max(v), max(spiked))::DOUBLE AS global_max FROM ev")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from bisect import bisect
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import col, cols
 from ..functions.numeric import half_up
 from ..plans.order import Halo, with_neighbours_of
+from .stats import quantile
 
 METHODS = ("mean", "sum", "first", "interpolate")
+#: Different steps of time that are gathered on the driver.
+MAX_STEPS = 10_000
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
@@ -26,9 +32,15 @@ def interval_minutes(df: DataFrame, time: str, pos: str = "pos") -> int:
     """Median of the positive steps of time in row order, in minutes: 1 at least, ties to even."""
     halo = Halo(df.select(col(pos), col(time)).where(col(time).isNotNull()), 1, pos)
     step = F.timestamp_diff("MICROSECOND", F.lag(col(time)).over(halo.window), col(time)) / 1e6
-    steps = halo.own(halo.df.withColumn("__step", step)).where("__step > 0").groupBy("__step").agg(F.count(F.lit(1)).alias("n"))
-    # equal steps are counted first, so the median's buffer holds distinct ones
-    middle = steps.agg(F.percentile("__step", 0.5, F.col("n"))).first()[0]
+    steps = halo.own(halo.df.withColumn("__step", step)).where("__step > 0").select("__step")
+    # a series has few different steps as a rule; of more than the driver takes the median is found by ranges
+    counts = sorted(steps.groupBy("__step").agg(F.count(F.lit(1)).alias("n")).limit(MAX_STEPS + 1).collect())
+    if len(counts) > MAX_STEPS:
+        middle = quantile(steps, "__step", 0.5)
+    else:
+        n = sum(r["n"] for r in counts)
+        upto = list(accumulate(r["n"] for r in counts))
+        middle = sum(counts[bisect(upto, k)]["__step"] for k in ((n - 1) // 2, n // 2)) / 2 if n else None
     return max(1, round(middle / 60)) if middle else 1
 
 

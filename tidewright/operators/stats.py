@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.names import col
 from ..plans.order import numbered
-from .resample import interval_minutes
 
 
 @dataclass(frozen=True)
@@ -137,15 +136,6 @@ def overview(df: DataFrame, time: str, columns: list[str]) -> DataFrame:
     return times.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), missing.alias("missing_cells"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"), F.coalesce(F.sum(F.when(F.col("__t").isNull(), F.col("n"))), F.lit(0)).alias("time_missing"), F.min("__t").alias("first_time"), F.max("__t").alias("last_time"))
 
 
-def frame_info(df: DataFrame, time: str, columns: list[str], pos: str = "pos") -> DataFrame:
-    """One row: all columns but the position, cells of `columns`, the share of these that is missing and of rows whose time an earlier one has, in percent, and
-    the sampling interval in minutes."""
-    known = overview(df, time, columns)
-    cells, share = F.col("rows") * len(columns), lambda part, whole: F.coalesce(F.try_divide(part, whole) * 100, F.lit(0.0))
-    made = known.select(F.lit(len([c for c in df.columns if c != pos])).cast("long").alias("columns"), cells.cast("long").alias("cells"), share(F.col("missing_cells"), cells).alias("missing_rate"), share(F.col("duplicate_rows"), F.col("rows")).alias("duplicate_rate"))
-    return made.withColumn("interval_minutes", F.lit(interval_minutes(df, time, pos)).cast("long"))
-
-
 def first_complete(df: DataFrame, columns: list[str], scan_rows: int, pos: str = "pos") -> DataFrame:
     """Smallest position within the first rows at which all columns hold something, and the number of such rows."""
     full = col(pos) < scan_rows

@@ -117,15 +117,42 @@ def _text_frame(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def _feather(spark: SparkSession, path: str) -> DataFrame:
+    """A file of Arrow batches, each read by the task that it falls to; the driver sees the schema only. Files of the first version have no batches and
+    pass through the driver."""
+    import pyarrow as pa
+    import pyarrow.feather
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    try:
+        with pa.OSFile(path) as f:
+            reader = pa.ipc.open_file(f)
+            n, empty = reader.num_record_batches, reader.schema.empty_table()
+    except pa.ArrowInvalid:
+        return spark.createDataFrame(pyarrow.feather.read_table(path))
+    plain = pa.schema([(x.name, x.type.value_type if pa.types.is_dictionary(x.type) else x.type) for x in empty.schema])
+    schema = spark.createDataFrame(empty.cast(plain)).schema
+    kinds = to_arrow_schema(schema).types
+
+    def load(batches):
+        for batch in batches:
+            with pa.OSFile(path) as f:
+                held = pa.ipc.open_file(f)
+                for i in batch.column(0).to_pylist():
+                    one = held.get_batch(i)
+                    yield pa.RecordBatch.from_arrays([c.cast(k, safe=False) for c, k in zip(one.columns, kinds, strict=True)], plain.names)
+
+    # tasks take batches in order, so positions are those of the file
+    return spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(load, schema)
+
+
 def read(spark: SparkSession, path: str, pos: str | None = "pos") -> DataFrame:
     """A table with clean cells, unique names and row positions."""
     kind = os.path.splitext(path)[1].lower()
     if kind == ".parquet":
         df = spark.read.parquet(path)
     elif kind in (".feather", ".ft", ".arrow"):
-        import pyarrow.feather
-
-        df = spark.createDataFrame(pyarrow.feather.read_table(path))
+        df = _feather(spark, path)
     elif kind in (".xlsx", ".xls"):
         df = spark.createDataFrame(pd.read_excel(path))  # needs openpyxl, or xlrd for .xls
     else:
