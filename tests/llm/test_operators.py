@@ -467,6 +467,20 @@ def test_pack_against_brute_force(spark):
         assert len(in_batches) == len(held) and sum(len(x["doc_ids"]) for x in in_batches) == len(rows)
 
 
+def test_pack_in_more_parts(spark, monkeypatch):
+    """More documents are dealt to more parts, whose sizes may be joined by shuffle; batches and padding stay as good."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 50 + 3000).alias("n"))
+    few = packing.pack(df, "n", buckets=3).agg(F.sum("padding"), F.count_distinct("batch_id")).first()
+    monkeypatch.setattr(packing, "PART_ROWS", 10)
+    monkeypatch.setattr(packing, "BROADCAST_PARTS", 5)
+    packed = packing.pack(df, "n", buckets=3)
+    assert packed.agg(F.sum("padding"), F.count_distinct("batch_id")).first() == few
+    full = packed.groupBy("bucket", "batch_id", "bucket_length").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"))
+    assert full.where("n != slots or last != n - 1 or n * bucket_length > 32768").isEmpty()
+    # all batches of a bucket are full but one
+    assert full.groupBy("bucket").agg(F.count_if(F.col("n") < F.floor(32768 / F.col("bucket_length"))).alias("open")).where("open > 1").isEmpty()
+
+
 def test_packing_boundaries_are_optimal():
     r = random.Random(2)
     for _ in range(60):

@@ -23,8 +23,10 @@ from .common import n_words, table, written
 BUCKETS, BUDGET = 16, 32_768
 EXACT = 16_384
 BITS = 10
-#: Salted parts of each bucket; with the number of buckets this bounds the table of their sizes.
-PARTS = 64
+#: Salted parts of each bucket: so many at least, and one for so many documents, as one bucket may hold them all.
+PARTS, PART_ROWS = 64, 1_000_000
+#: A table of the parts' sizes with no more rows than this is sent to every executor; a larger one is joined by shuffle.
+BROADCAST_PARTS = 100_000
 
 
 def length_class(length: Column) -> Column:
@@ -82,9 +84,10 @@ def pack(sized: DataFrame, length: str, *, doc_id: str = "doc_id", buckets: int
     bounds = boundaries(histogram, buckets) or [1]
     limits = F.array(*[F.lit(b).cast("long") for b in bounds])
     bucket = F.size(F.filter(limits, lambda b: b < F.col("__class")))
-    part = F.pmod(F.xxhash64(doc_id, length), F.lit(PARTS)).cast("int")
+    n_parts = max(PARTS, sum(n for _, n in histogram) // PART_ROWS)
+    part = F.pmod(F.xxhash64(doc_id, length), F.lit(n_parts)).cast("int")
     out = sized.withColumn("bucket", bucket).withColumn("__part", part)
-    # at most buckets * PARTS rows come to the driver
+    # a row for each part comes to the driver
     parts = sorted(out.groupBy("bucket", "__part").agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("top")).collect())
     tops, before, rows = [1] * len(bounds), [0] * len(bounds), []
     for b, p, n, top in parts:
@@ -95,7 +98,7 @@ def pack(sized: DataFrame, length: str, *, doc_id: str = "doc_id", buckets: int
     out = out.withColumn("bucket_length", F.get(F.array(*[F.lit(t).cast("long") for t in tops]), F.col("bucket")))
     inside = Window.partitionBy("bucket", "__part").orderBy(F.col(doc_id), F.col(length))
     out = out.withColumn("__rn", F.row_number().over(inside) - 1)
-    out = out.join(F.broadcast(sizes), (F.col("bucket") == F.col("__b")) & (F.col("__part") == F.col("__p")))
+    out = out.join(F.broadcast(sizes) if len(rows) <= BROADCAST_PARTS else sizes, (F.col("bucket") == F.col("__b")) & (F.col("__part") == F.col("__p")))
     nth, room = F.col("__before") + F.col("__rn"), F.get(capacity, F.col("bucket"))
     out = out.withColumns({"batch_id": F.concat_ws("-", "bucket", F.floor(nth / room)), "slot": (nth % room).cast("int"), "padding": F.col("bucket_length") - F.col(length)})
     return out.drop("__class", "__part", "__b", "__p", "__before", "__rn")
