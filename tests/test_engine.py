@@ -326,6 +326,10 @@ def test_feather_batches(spark, tmp_path):
         got = io.read(spark, path).orderBy("pos").toPandas()
         assert got["a"].tolist() == got["pos"].tolist() == list(range(n)) and got["b"].tolist() == ["x" if i % 2 else "y" for i in range(n)]
         assert (got["ts"] == made["ts"]).all() and got["v"].isna().sum() == made["v"].isna().sum()
+    io.write(spark.createDataFrame(made[["a", "ts", "v"]]).orderBy("a"), str(tmp_path / "out.feather"), "feather")
+    assert io.read(spark, str(tmp_path / "out.feather")).where("a = pos").count() == n
+    with pytest.raises(FileExistsError):
+        io.write(spark.range(1), str(tmp_path / "out.feather"), "feather")
     pyarrow.feather.write_feather(made[:0], str(tmp_path / "none.feather"))
     assert io.read(spark, str(tmp_path / "none.feather")).count() == 0
 

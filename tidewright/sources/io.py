@@ -9,6 +9,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -184,17 +185,25 @@ def write(df: DataFrame, path: str, kind: str, *, time: str | None = None, templ
             rows.writerow(df.columns)
             rows.writerows(df.toLocalIterator())
     elif kind == "feather":
-        import pyarrow.feather
-
-        if os.path.exists(path):
-            raise FileExistsError(path)
-        pyarrow.feather.write_feather(df.toArrow(), path)
+        _write_feather(df, path)
     elif kind == "xlsx":
         df.toPandas().to_excel(path, index=False)
     else:
         raise ValueError(f"unknown kind: {kind}")
 
 
+def _write_feather(df: DataFrame, path: str, rows: int = 65_536) -> None:
+    """One file, a batch of rows after the other."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(df.schema)
+    with open(path, "xb") as f, pa.ipc.new_file(f, schema) as out:
+        stream = df.toLocalIterator()
+        while part := list(islice(stream, rows)):
+            out.write_batch(pa.RecordBatch.from_pylist([r.asDict(recursive=True) for r in part], schema))
+
+
 def codecs() -> dict[str, bool]:
     """Which kinds can be written here."""
     import importlib.util
