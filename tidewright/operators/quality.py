@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import col, cols
-from ..plans.order import with_neighbours_of
-from .explore import MAX_CELLS, MAX_POINTS, downsample_extremes
+from ..plans.order import BUCKET, with_neighbours_of
+from .explore import MAX_POINTS, downsample_extremes
 from .resample import interval_minutes
 from .stats import overview
 
@@ -80,26 +80,28 @@ def duplicate_detail(df: DataFrame, time: str, pos: str = "pos") -> DataFrame:
 def quality_series(df: DataFrame, columns: list[str], points: int = 0, flags: dict[str, str] | None = None, pos: str = "pos") -> DataFrame:
     """What a chart of several columns shows: column, pos, value, and whether a point is marked as missing or as an anomaly (flags: the boolean column of each).
 
-    points 0: every row, refused beyond MAX_CELLS cells; else the positions that downsample_extremes keeps. Of the missing ones the first MAX_MARKS of a
-    column are marked, of the anomalies the first of a budget that the columns share."""
+    points 0: every row; else the positions that downsample_extremes keeps. Of the missing ones the first MAX_MARKS of a column are marked, of the anomalies
+    the first of a budget that the columns share: counts inside a bucket of positions, and one row of counts per bucket that is carried over."""
     if not columns:
         raise ValueError("no columns")
     flags = flags or {}
-    if points <= 0:
-        if df.count() * len(columns) > MAX_CELLS:
-            raise ValueError(f"more than {MAX_CELLS} cells")
-        shown = df
-    else:
+    shown = df
+    if points > 0:
         kept = downsample_extremes(df, columns, max(20, min(points, MAX_POINTS)), pos).withColumnRenamed(pos, "__kept")
         shown = df.join(F.broadcast(kept), col(pos) == F.col("__kept"))
     budget = max(200, MAX_ANOMALY_POINTS // len(columns))
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), col(c).cast("double").alias("value"), (F.coalesce(col(flags[c]), F.lit(False)) if c in flags else F.lit(False)).alias("flag")) for c in columns])
-    cells = shown.select(col(pos).alias("pos"), F.explode(cells).alias("x")).select("x.name", "pos", "x.value", "x.flag")
-    # at most MAX_CELLS rows from here on
-    before = Window.partitionBy("name").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.col("value").isNull()
-    marked = {"missing_mark": gap & (F.count_if(gap).over(before) <= MAX_MARKS), "anomaly_mark": F.col("flag") & (F.count_if("flag").over(before) <= budget)}
-    return cells.withColumns(marked).select("name", "pos", "value", *marked)
+    numbers = [col(c).cast("double").alias(f"value{i}") for i, c in enumerate(columns)]
+    found = [(F.coalesce(col(flags[c]), F.lit(False)) if c in flags else F.lit(False)).alias(f"flag{i}") for i, c in enumerate(columns)]
+    shown = shown.select(col(pos).alias("pos"), F.floor(col(pos) / BUCKET).alias("bucket"), *numbers, *found)
+    marks = {f"{k}{i}": m for i in range(len(columns)) for k, m in (("gap", F.col(f"value{i}").isNull()), ("bad", F.col(f"flag{i}")))}
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = shown.groupBy("bucket").agg(*[F.count_if(m).alias(k) for k, m in marks.items()])
+    carried = carried.select(F.col("bucket").alias("key"), *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in marks])
+    inside = Window.partitionBy("bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    shown = shown.withColumns({k: F.count_if(m).over(inside) for k, m in marks.items()}).join(carried, F.col("bucket") == F.col("key"))
+    first = lambda k, n: marks[k] & (F.col(k) + F.col(f"{k}_before") <= n)
+    cells = [F.struct(F.lit(c).alias("name"), F.col(f"value{i}").alias("value"), first(f"gap{i}", MAX_MARKS).alias("missing_mark"), first(f"bad{i}", budget).alias("anomaly_mark")) for i, c in enumerate(columns)]
+    return shown.select("pos", F.explode(F.array(*cells)).alias("x")).select("x.name", "pos", "x.value", "x.missing_mark", "x.anomaly_mark")
 
 
 def quality_counts(df: DataFrame, columns: list[str], flags: dict[str, str] | None = None) -> DataFrame:
