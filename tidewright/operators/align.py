@@ -13,7 +13,7 @@ from ..plans.order import Halo, hours, numbered
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
-MAX_SIDE_ROWS, MAX_SIDE_COLUMNS = 200_000, 100
+MAX_SIDE_COLUMNS = 100
 
 
 class AlignmentError(ValueError):
@@ -67,7 +67,7 @@ def align(df: DataFrame, time: str, side: DataFrame, side_time: str, column: str
 def align_table(df: DataFrame, time: str, side: DataFrame, side_time: str, columns: dict[str, str] | None = None, *, how: str = "exact", tolerance: float | None = None, pos: str = "pos", side_pos: str = "pos") -> tuple[DataFrame, dict]:
     """df with the numeric columns of a side table (name by name, or all under names of their own), and what became of it: columns that held no number
     on the rows that met (`nonNumeric`, left out), cells that were no number (`coerced`), counts of rows and the share of df that has values.
-    Refused: an unknown time column, no column, too many columns or rows, times that can't be read, no meeting at all, no number at all."""
+    Refused: an unknown time column, no column, too many columns, times that can't be read, no meeting at all, no number at all."""
     if side_time not in side.columns:
         raise AlignmentError(f"the side table has no column {side_time}")
     wanted = columns if columns is not None else {c: c for c in side.columns if c not in (side_time, side_pos)}
@@ -78,14 +78,11 @@ def align_table(df: DataFrame, time: str, side: DataFrame, side_time: str, colum
     if len(set(wanted.values())) < len(wanted) or set(wanted.values()) & set(df.columns):
         raise AlignmentError("names that are taken or occur twice")
     side_rows = side.count()
-    if side_rows > MAX_SIDE_ROWS:
-        raise AlignmentError(f"more than {MAX_SIDE_ROWS} rows")
     main_rows, readable = df.agg(F.count(F.lit(1)), F.count(col(time))).first()
     if not readable:
         raise AlignmentError("no time of the main table can be read")
     last = _last_values(df, time, side, side_time, wanted, how, tolerance, pos, side_pos, 86_400)
     names = list(wanted.values())
-    # at most MAX_SIDE_ROWS rows from here on
     matched, *held = last.agg(F.count(F.lit(1)), *[F.count(col(n)) for n in names]).first()
     if not matched:
         raise AlignmentError(f"no row of the side table meets the main one ({how})")
