@@ -45,14 +45,15 @@ def detect(df: DataFrame, column: str, method: str, *, expression: str = "", con
 def _mad(df: DataFrame, column: str, pos: str) -> DataFrame:
     """Beyond 4 mean absolute deviations from the median of the last 33 rows, of which 5 must be valid; the bounds are the widest of any row judged."""
     halo = Halo(df, TRAIL - 1, pos)
-    out = halo.df.withColumn("__near", F.array_sort(F.collect_list(col(column)).over(halo.last(TRAIL))))
-    out = halo.own(out)
+    out = halo.df.withColumn("__near", F.collect_list(col(column)).over(halo.last(TRAIL)))
+    # deviations are added up in row order: in another one the sum may differ in its last bit, which decides where a value lies on a bound
+    out = halo.own(out).withColumn("__sorted", F.array_sort("__near"))
     n = F.size("__near")
-    middle = (F.get("__near", F.floor((n - 1) / 2).cast("int")) + F.get("__near", F.floor(n / 2).cast("int"))) / 2
+    middle = (F.get("__sorted", F.floor((n - 1) / 2).cast("int")) + F.get("__sorted", F.floor(n / 2).cast("int"))) / 2
     judged = col(column).isNotNull() & (n >= LEAST)
     out = out.withColumn("__m", F.when(judged, middle))
     out = out.withColumn("__d", F.when(judged, F.aggregate("__near", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("__m"))) / n))
-    out = out.withColumns({"__lo": F.col("__m") - WIDTH * F.col("__d"), "__hi": F.col("__m") + WIDTH * F.col("__d")}).drop("__near")
+    out = out.withColumns({"__lo": F.col("__m") - WIDTH * F.col("__d"), "__hi": F.col("__m") + WIDTH * F.col("__d")}).drop("__near", "__sorted")
     low, high = out.agg(F.min("__lo"), F.max("__hi")).first()
     flag = F.coalesce((col(column) < F.col("__lo")) | (col(column) > F.col("__hi")), F.lit(False))
     return out.withColumns({"anomaly": flag, "lower": F.lit(low).cast("double"), "upper": F.lit(high).cast("double")}).drop("__m", "__d", "__lo", "__hi")
