@@ -402,6 +402,32 @@ def test_deduplicate_finds_every_near_copy(spark):
     assert sorted(x["doc_id"] for x in simhash.deduplicate(df).collect()) == sorted(set(root))
 
 
+def test_near_copies_takes_candidates_from_fingerprints(spark):
+    """Without any band the components of fingerprints alone bring near copies together."""
+    texts = [prose(400, 900 + i) for i in range(12)]
+    hashes = [simhash.shingle_set(t.encode()) for t in [*texts, *(t + " x" for t in texts)]]
+    ids, prints = [simhash._set_id(h) for h in hashes], [simhash.set_fingerprint(h) for h in hashes]
+    near = [i for i in range(12) if (prints[i] ^ prints[i + 12]).bit_count() <= simhash.RADIUS]
+    assert len(near) > 5
+    sketches = spark.createDataFrame([(i, p, []) for i, p in zip(ids, prints, strict=True)], "set long, fingerprint long, bands array<long>")
+    sets = spark.createDataFrame([(i, bytearray(h.tobytes())) for i, h in zip(ids, hashes, strict=True)], "set long, hashes binary")
+    got = {x["node"]: x["root"] for x in simhash.near_copies(sketches, lambda wanted: sets.join(wanted, "set")).collect()}
+    assert got == {ids[k]: min(ids[i], ids[i + 12]) for i in near for k in (i, i + 12)}
+
+
+def test_components_read_their_edges_once(spark, monkeypatch):
+    """A chain, a star and a dense group: roots are the smallest reached, and each round leaves no more than half of the nodes."""
+    r = random.Random(12)
+    chain = [(i, i + 1) for i in range(60)]
+    star = [(500, i) for i in range(100, 140)] + [(500, 501)]
+    dense = [(600 + r.randrange(40), 600 + r.randrange(40)) for _ in range(800)] + [(600 + i, 601 + i) for i in range(39)]
+    left, written = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, tag: left.append(out.count()) or out if (out := written(df, tag)) is not None and tag == "edges" else out)
+    got = {x["node"]: x["root"] for x in simhash.components(spark.createDataFrame([*chain, *star, *dense], "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys([*range(100, 140), 500, 501], 100), **dict.fromkeys(range(600, 640), 600)}
+    assert left[0] > 400 and left[-1] == 0 and sum(left[1:]) < 140
+
+
 def test_deduplicate_keeps_one_row_of_each_group(spark):
     a, b, c, d = (prose(60, 500 + i) for i in range(4))
     # a text without an id, copies of which none has one, a copy with an id, and one id with two texts

@@ -7,18 +7,20 @@ those with an odd number emit two-bit variants; and as two of any three position
 half are needed. That leaves 65 variants for even and 1,057 for odd fingerprints and loses no pair.
 All that meet in a variant are linked to the smallest that reached it by one flip or none, so a variant
 costs as many edges as it has members, never the square; each edge is then verified by its distance.
-Components: labels spread along edges and jump to their label's label until nothing changes.
+Components: each node points at its smallest neighbour, pointers are followed to their ends, and the ends take the nodes' places in the edges
+that are left, until none is; so all edges are read once, and each round leaves half the nodes at most.
 
 Defined cases: a null text has no words; texts without words have fingerprint zero and link like any others; texts of fewer words
 than a shingle have one shingle; repeated rows and equal ids count as copies; rows with a null id get
 a component from the others in it (null if none has an id); an empty table gives an empty result; further columns pass through
 fingerprinted(), whose own column replaces one of the same name.
 
-deduplicate(), the stage, doesn't use fingerprints: at a similarity of 0.8 they differ in some 10 of 64 bits, which no ball reaches
-(half the radius alone gives 8 million variants each). Two texts are near copies if their sets of 5-word shingles have a Jaccard
-similarity of 0.8 or more. Texts with equal sets are one from the start. Candidates share a band of minima (MinHash): at 0.8 a pair is missed with
+deduplicate(), the stage, links texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more; texts with equal sets are one from the
+start. Candidates come by the method above, from the fingerprints of these sets: all of one component are a bucket. At a similarity of 0.8
+fingerprints differ in some 10 of 64 bits, which no ball reaches (half the radius alone gives 8 million variants each), so
+further candidates share a band of minima (MinHash), a bucket each: at 0.8 a pair is missed with
 probability (1 - 0.8^ROWS)^BANDS, under 0.001. All candidates that could join two components are verified on the whole sets: first each with
-one member of its band's bucket, which joins large groups at a cost in proportion to their size. Buckets that still hold several
+one member of its bucket, which joins large groups at a cost in proportion to their size. Buckets that still hold several
 components are joined into clusters, which are compared in whole: cut into blocks of BLOCK sets, each pair of blocks in a task that counts shared
 shingles by postings and returns only the links that join components. A cluster of n sets so sends n * n / BLOCK rows and returns
 no more than 2 BLOCK a task; this part grows with the square of a cluster, whose members are candidates but not near copies of each other.
@@ -140,21 +142,35 @@ def links(prints: DataFrame) -> DataFrame:
         spark.conf.set(strict, before)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """For each fingerprint with an edge its root: the smallest that it reaches."""
-    edges = written(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "roots")
+def _followed(labels: DataFrame) -> DataFrame:
+    """labels (node and root, which is a node) with the end of the way from each node by roots."""
     while True:
-        seen = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        better = labels.join(seen, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
-        better = better.join(jump, F.col("root") == F.col("__n")).select("node", "old", F.least("root", "__r").alias("root"))
-        better = written(better, "roots")
+        better = written(labels.join(jump, F.col("root") == F.col("__n")).select("node", F.col("root").alias("old"), F.col("__r").alias("root")), "roots")
         labels = better.select("node", "root")
         if better.where("old != root").isEmpty():
             return labels
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """For each node with an edge (a, b) to another its root: the smallest that it reaches."""
+    edges = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    roots = None
+    while True:
+        near = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root"))
+        labels = _followed(written(near, "roots"))
+        step = lambda key, to, labels=labels: labels.select(F.col("node").alias(key), F.col("root").alias(to))
+        if roots is None:
+            roots = labels
+        else:
+            roots = written(roots.join(step("__n", "__r"), F.col("root") == F.col("__n"), "left").select("node", F.coalesce("__r", "root").alias("root")), "roots")
+        # edges inside a tree go, the others join the trees' roots from now on
+        left = edges.join(step("__n", "__a"), F.col("a") == F.col("__n")).join(step("node", "__b"), F.col("b") == F.col("node")).where("__a != __b")
+        edges = written(left.select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            return roots
+
+
 def groups(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """prints (doc_id and fingerprint) with component_id, the smallest doc_id that is reached."""
     per = written(prints.groupBy("fingerprint").agg(F.min(doc_id).alias("first_id")), "prints")
@@ -212,18 +228,29 @@ def bands(hashes) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(x.tobytes(), i)) for i, x in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def set_fingerprint(hashes) -> int | None:
+    """The fingerprint of a set of shingles, as a signed 64-bit number; none of an empty set."""
+    import numpy as np
+
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0]) if len(hashes) else None
+
+
 def _set_id(hashes) -> int:
     import xxhash
 
     return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
 
 
-@F.arrow_udf(StructType().add("set", LongType()).add("bands", ArrayType(LongType())))
+@F.arrow_udf(StructType().add("set", LongType()).add("fingerprint", LongType()).add("bands", ArrayType(LongType())))
 def _sketches(texts):
     import pyarrow as pa
 
     sets = [shingle_set(x.as_py() if x.is_valid else b"") for x in texts.cast(pa.binary())]
-    return pa.StructArray.from_arrays([pa.array(map(_set_id, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))], ["set", "bands"])
+    made = [pa.array(map(_set_id, sets), pa.int64()), pa.array(map(set_fingerprint, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
+    return pa.StructArray.from_arrays(made, ["set", "fingerprint", "bands"])
 
 
 @F.arrow_udf(BinaryType())
@@ -299,8 +326,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_copies(sketches: DataFrame, sets_of) -> DataFrame:
-    """For each set id that is a near copy of another its root, as components() gives them. sketches: set and bands, one row each; sets_of(ids): a table of set and hashes."""
-    keys = written(sketches.select("set", F.explode("bands").alias("key")), "bands")
+    """For each set id that is a near copy of another its root, as components() gives them. sketches: set, fingerprint and bands, one row each; sets_of(ids): a table of
+    set and hashes."""
+    prints = written(sketches.where("fingerprint is not null").select("fingerprint").distinct(), "prints")
+    reached = components(links(prints)).select(F.col("node").alias("__n"), F.col("root").alias("__root"))
+    # a bucket for each component of fingerprints and for each band
+    balls = sketches.where("fingerprint is not null").join(reached, F.col("fingerprint") == F.col("__n"), "left").select("set", F.xxhash64(F.coalesce("__root", "fingerprint")).alias("key"))
+    keys = written(sketches.select("set", F.explode("bands").alias("key")).union(balls), "bands")
     # each bucket has a centre of its own, so a large group gets as many as it has buckets
     mixed = F.struct(F.xxhash64("set", "key").alias("h"), "set")
     centres = keys.groupBy("key").agg(F.min(mixed)["set"].alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -322,14 +354,14 @@ def near_copies(sketches: DataFrame, sets_of) -> DataFrame:
     dealt = members.join(sizes, "cluster").join(sets, "set").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "set", "root", "hashes")
     more = written(dealt.groupBy("cluster", "i", "j").applyInArrow(_compare, "a long, b long"), "similar")
-    return roots if more.isEmpty() else components(edges.union(more))
+    return roots if more.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id (nulls last) and of these the smallest hash of its text, with the columns they came with."""
     digest = F.xxhash64("text")
     sketched = docs.select("doc_id", digest.alias("digest"), _sketches("text").alias("s"))
-    sketched = written(sketched.select("doc_id", "digest", "s.set", "s.bands"), "sketches")
+    sketched = written(sketched.select("doc_id", "digest", "s.set", "s.fingerprint", "s.bands"), "sketches")
     rows = sketched.groupBy("set", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
     first = written(rows.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n")).alias("first")), "first")
 
@@ -338,7 +370,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         texts = docs.select("doc_id", "text").join(held, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
         return texts.dropDuplicates(["set"]).select("set", _sets("text").alias("hashes"))
 
-    roots = near_copies(sketched.groupBy("set").agg(F.first("bands").alias("bands")), sets_of)
+    roots = near_copies(sketched.groupBy("set").agg(F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")), sets_of)
     named = first.join(roots, F.col("set") == F.col("node"), "left").select(F.coalesce("root", "set").alias("root"), "first")
     stay = named.groupBy("root").agg(F.min("first").alias("first"))
     stay = written(stay.select(F.col("root").alias("__root"), F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"), F.col("first.n").alias("__n")), "stay")
